@@ -22,6 +22,13 @@ def op3_partenum_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.withColumnRenamed("id", "doc_id")
 
 
+def op8_kneser_ney_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .kneser_ney import perplexity_filter
+
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    return perplexity_filter(docs, _table(spark, sf_dir, "labels")).drop("text")
+
+
 def op9_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .suffix_dedup import remove_repeats
 
