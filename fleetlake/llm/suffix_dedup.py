@@ -30,7 +30,7 @@ from .textops import BYTE_CODES, U64, mix, span_hashes, text_chunks
 THRESHOLD = 200
 DIGIT = 64
 #: Members up to which a group of differing contexts is compared directly.
-GROUP = 384
+GROUP = 2048
 #: Windows in a run of the third digit.
 RUN = 12
 _CODES2 = np.random.default_rng(29).integers(1, 2**63, 256, dtype=np.uint64)
