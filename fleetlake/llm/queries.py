@@ -24,6 +24,12 @@ def op1_hilbert_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.select(F.col("id").alias("doc_id"), "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
 
 
+def op2_divergence_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .divergence import judge
+
+    return judge(_table(spark, sf_dir, "documents"))
+
+
 def op3_partenum_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .partenum import similar_components
 
@@ -31,6 +37,25 @@ def op3_partenum_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.withColumnRenamed("id", "doc_id")
 
 
+#: The fixed rules of op4.
+URL_RULES = {"org/": "allow", "example.org/es/": "block", "example.org/en/1": "block", "com/fr/": "allow", "com/de/": "block"}
+
+
+def op4_link_graph(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .linkgraph import judge_pages
+
+    return judge_pages(_table(spark, sf_dir, "pages"), URL_RULES)
+
+
+def op5_byte_cnn(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .langid import predict_languages
+
+    docs = _table(spark, sf_dir, "documents")
+    held_out = F.coalesce(F.crc32(F.col("doc_id").cast("string")) % 5 == 0, F.lit(False))
+    given = docs.select("doc_id", "text", held_out.alias("held_out"))
+    return predict_languages(given, docs.where(~held_out).select("text", "lang")).drop("text")
+
+
 def op6_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .licenses import scan_licenses
 
@@ -58,6 +83,13 @@ def op9_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return remove_repeats(docs).select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
 
 
+def op10_positional_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .decontam import contamination
+
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    return contamination(docs, _table(spark, sf_dir, "benchmark")).drop("text")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {name: f for name, f in globals().items() if name.startswith("op") and callable(f)}
 
