@@ -26,7 +26,7 @@ COMMON_WORDS = (
 )
 #: Distances (square roots of divergences in bits, 0 to 1) above which a text is rejected.
 MAX_CHAR_DISTANCE = 0.30
-MAX_WORD_DISTANCE = 0.55
+MAX_WORD_DISTANCE = 0.36
 #: Words below which the histograms are not judged.
 MIN_WORDS = 50
 
