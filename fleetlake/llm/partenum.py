@@ -225,8 +225,12 @@ def similar_components(docs: DataFrame, n: int = 5, percent: int = 80, id_col: s
     classes = saved(sets.where("n_shingles > 0").groupBy("h1", "h2").agg(F.min("id").alias("rep"), F.max("n_shingles").alias("size")).where("rep is not null"), "classes")
 
     sigs = docs.select("text").mapInArrow(_signatures(n, percent), "sig long, h1 long")
-    edges = sigs.repartition("sig").sortWithinPartitions("sig").mapInArrow(_shared, "a long, b long").distinct()
-    family = components(saved(edges, "shared"))
+    edges = sigs.repartition("sig").sortWithinPartitions("sig", "h1").mapInArrow(_shared, "a long, b long")
+    # a set's first ones over all its signatures join it and each other through the least of them:
+    # one edge for each set, and few between first ones, instead of one for each shared signature
+    firsts = edges.groupBy("b").agg(F.array_sort(F.collect_set("a")).alias("firsts"))
+    spokes = firsts.select(F.get("firsts", 0).alias("a"), F.explode(F.concat(F.array("b"), F.slice("firsts", 2, F.size("firsts")))).alias("b"))
+    family = components(saved(spokes.distinct(), "shared"))
 
     edge = F.array(*(F.lit(x) for x in Bands(percent).upper))
     members = classes.join(family.withColumnRenamed("node", "h1").withColumnRenamed("label", "family"), "h1")
