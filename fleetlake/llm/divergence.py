@@ -43,11 +43,11 @@ def base_counts(docs: DataFrame, text_col: str = "text") -> DataFrame:
     text = F.coalesce(F.col(text_col), F.lit(""))
     df = docs.withColumn("words", F.filter(F.split(text, GAP), lambda w: w != ""))
     n = F.size("words")
-    # windows of three words, sorted with their places: equal ones become neighbours
-    df = df.withColumn(
-        "windows",
-        F.when(n >= 3, F.array_sort(F.transform(F.sequence(F.lit(1), n - 2), lambda i: F.struct(F.concat_ws(" ", F.slice("words", i, 3)).alias("w"), i.alias("i"))))),
-    )
+    # windows of three words, as 64-bit hashes
+    df = df.withColumn("windows", F.transform(F.slice("words", F.lit(1), F.greatest(n - 2, F.lit(0))), lambda w, i: F.xxhash64(w, F.get("words", i + 1), F.get("words", i + 2))))
+    # only texts that hold a window twice need them sorted with their places, where equal ones become neighbours
+    placed = F.array_sort(F.transform("windows", lambda w, i: F.struct(w.alias("w"), (i + 1).alias("i"))))
+    df = df.withColumn("windows", F.when(F.size(F.array_distinct("windows")) < F.size("windows"), placed))
     last = F.size("windows") - 1
     twice = lambda x, j: ((j > 0) & (F.get("windows", j - 1)["w"] == x["w"])) | ((j < last) & (F.get("windows", j + 1)["w"] == x["w"]))
     df = df.withColumn("places", F.array_sort(F.transform(F.filter("windows", twice), lambda x: x["i"])))
@@ -98,13 +98,13 @@ def judge(
     lang = F.coalesce(F.col(lang_col), F.lit("")).alias("lang")
     df = base_counts(docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), lang))
     df = df.withColumn("common", F.filter(F.transform("words", lambda w: F.lower(w)), lambda w: w.isin(*COMMON_WORDS)))
+    of_word = [F.size("common") - F.size(F.array_remove("common", w)) for w in COMMON_WORDS]
     counts = [_length_of(F.col("text"), c) for c in CHAR_CLASSES]
-    found = F.transform(F.array(*map(F.lit, COMMON_WORDS)), lambda w: F.size(F.filter("common", lambda x: x == w)))
     df = df.select(
         "doc_id", "lang", *BASE,
         ((F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))).alias("base_failed"),
         F.xxhash64("text").alias("digest"), F.length("text").alias("n_chars"),
-        F.array(*counts).alias("char_counts"), F.concat(found, F.array(F.size("words") - F.size("common"))).alias("word_counts"),
+        F.array(*counts).alias("char_counts"), F.array(*of_word, F.size("words") - F.size("common")).alias("word_counts"),
     )
     df = df.withColumn("char_counts", F.concat("char_counts", F.array(F.col("n_chars") - reduce(lambda a, b: a + b, (F.get("char_counts", i) for i in range(len(CHAR_CLASSES)))))))
     df = df.select("doc_id", "lang", *BASE, "base_failed", "digest", _shares(F.col("char_counts"), F.col("n_chars")).alias("chars"), _shares(F.col("word_counts"), F.col("n_words")).alias("words"))
