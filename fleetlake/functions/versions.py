@@ -12,7 +12,7 @@ _PATTERN = (
     r"(?:[-_.]?(dev)[-_.]?(\d*))?"
     r"(?:\+([a-z0-9]+(?:[-_.][a-z0-9]+)*))?$"
 )
-_LAST = 10**30
+_LAST = "9" * 30
 
 
 def parse_version(c: Column) -> Column:

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.helpers import indel_ratio
 from ..functions.text import glob_pattern, normalize_name
+from ..sources.storage import saved
 
 #: Titles that are never matched.
 IGNORED_TITLES = ("Apple macOS *", "Oracle Java SE *", "Eclipse Temurin *", "Apple Safari", "Apple Xcode", "Microsoft Visual Studio", "Adobe *", "Jamf *")
@@ -127,12 +128,19 @@ def match_titles(titles: DataFrame, names: DataFrame, apps: DataFrame, code_inde
 
     Feed the result to attach_sources and enrich_native_ids; the number of its titles is the updated count.
     """
-    slugs = candidate_apps(apps, enabled).select("slug")
-    live = drop_ignored(titles, ignored)
-    out = match_by_code(live, code_index, slugs).withColumn("step", F.lit("code"))
-    rest = lambda df: df.join(out.select("title_id").distinct(), "title_id", "left_anti")
-    named = names.join(live.select("title_id"), "title_id", "left_semi")
-    out = out.unionByName(match_direct(rest(named), slugs).withColumn("step", F.lit("direct")))
-    out = out.unionByName(match_fuzzy(rest(named), slugs, threshold).withColumn("step", F.lit("fuzzy")))
-    out = out.unionByName(second_pass(rest(live), slugs, threshold).withColumn("step", F.lit("second pass")))
+    slugs = saved(candidate_apps(apps, enabled).select("slug"), "slugs")
+    live = saved(drop_ignored(titles, ignored), "live")
+    named = saved(names.join(live.select("title_id"), "title_id", "left_semi"), "names")
+    steps = (
+        ("code", lambda titles, names: match_by_code(titles, code_index, slugs)),
+        ("direct", lambda titles, names: match_direct(names, slugs)),
+        ("fuzzy", lambda titles, names: match_fuzzy(names, slugs, threshold)),
+        ("second pass", lambda titles, names: second_pass(titles, slugs, threshold)),
+    )
+    out = None
+    for step, match in steps:
+        found = saved(match(live, named).select("title_id", F.lit(step).alias("step"), "pos", "slug"), "matches")
+        done = found.select("title_id").distinct()
+        live, named = (df.join(done, "title_id", "left_anti") for df in (live, named))
+        out = found if out is None else out.union(found)
     return out.select("title_id", "step", "pos", "slug")

@@ -128,6 +128,9 @@ def canonical_sources(**present: Column) -> Column:
     return F.array_compact(F.array(*(F.when(present[s], s) for s in SOURCE_ORDER if s in present)))
 
 
+LABEL_DETAIL = "struct<label_name:string,label_url:string,raw:map<string,array<string>>>"
+
+
 def _payloads(df: DataFrame, casks: DataFrame, recipes: DataFrame, installers: DataFrame) -> DataFrame:
     """Cask, recipe and installer details for (token, key, slug, bundle, …)."""
     cask = casks.select("token", F.struct("token", "name", "url", "version", "sha256").alias("cask_detail"))
@@ -173,7 +176,6 @@ def cask_only_apps(labels: DataFrame, casks: DataFrame, recipes: DataFrame, inst
     df = _payloads(df, casks, recipes, installers)
     c, i = F.col("cask_detail"), F.col("installer_detail")
     none = F.lit(None)
-    kind = label_apps(labels, casks, recipes, installers).schema["label_detail"].dataType
     return df.withColumns(
         {
             "bundle_id": backfill_bundle_id(F.col("bundle"), i["bundle_id"]),
@@ -184,7 +186,7 @@ def cask_only_apps(labels: DataFrame, casks: DataFrame, recipes: DataFrame, inst
             "expected_team_id": none.cast("string"),
             "sha256": c["sha256"],
             "sources": canonical_sources(homebrew_cask=F.lit(True), autopkg=F.col("recipe_detail").isNotNull(), jamf_app_installer=i.isNotNull()),
-            "label_detail": none.cast(kind),
+            "label_detail": none.cast(LABEL_DETAIL),
         }
     ).select(*_APP)
 

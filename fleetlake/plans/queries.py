@@ -194,20 +194,20 @@ add("a22_label_names", lambda t: catalogs.label_names(t.table("documents").selec
 # --- filters, sorts and top-k ----------------------------------------------------------------------
 
 t_query("b01_sort_titles", lambda df: titles.sort_titles(df, "Total Hosts"), "")
-t_query("b02_omit_recent", lambda df: titles.omit_recent(df, at(AS_OF)), f"WHERE at < TIMESTAMP '{AS_OF}' - INTERVAL 48 HOUR")
+t_query("b02_omit_recent", lambda df: titles.omit_recent(df, at(AS_OF)), f"WHERE day < TIMESTAMP '{AS_OF}' - INTERVAL 48 HOUR")
 t_query("b03_most_installed", lambda df: titles.most_installed(df, 25), "ORDER BY total_hosts DESC, title, title_id LIMIT 25")
 t_query("b04_least_installed", lambda df: titles.least_installed(df, 25), "ORDER BY total_hosts, title, title_id LIMIT 25")
 t_query("b05_oldest_least_complete", lambda df: titles.oldest_least_complete(df, 25), "ORDER BY released, completion_percent, title, title_id LIMIT 25")
 t_query("b06_below_threshold", lambda df: titles.below_threshold(df), "WHERE completion_percent < 70")
 t_query("b07_high_missing", lambda df: titles.high_missing(df, 25), "WHERE missing_patch > total_hosts * 0.5 ORDER BY missing_patch, title, title_id LIMIT 25")
-t_query("b08_recent_release", lambda df: titles.recent_release(df, at(AS_OF), 25), f"WHERE at >= TIMESTAMP '{AS_OF}' - INTERVAL 7 DAY ORDER BY released DESC, title, title_id LIMIT 25")
+t_query("b08_recent_release", lambda df: titles.recent_release(df, at(AS_OF), 25), f"WHERE day >= TIMESTAMP '{AS_OF}' - INTERVAL 7 DAY ORDER BY released DESC, title, title_id LIMIT 25")
 t_query("b09_zero_completion", titles.zero_completion, "WHERE completion_percent = 0")
 t_query("b10_top_performers", lambda df: titles.top_performers(df, 25), "WHERE completion_percent > 90 ORDER BY completion_percent DESC, title, title_id LIMIT 25")
 t_query("b11_installomator_covered", lambda df: titles.installomator_covered(df, 25), "WHERE src IN (1, 3) ORDER BY title, title_id LIMIT 25")
-_SCORE = f"CAST(missing_patch * greatest(floor(epoch(TIMESTAMP '{AS_OF}' - at) / 86400), 0) AS BIGINT)"
-t_query("b12_impact_weighted_risk", lambda df: titles.impact_weighted_risk(df, at(AS_OF), 25), f"WHERE at IS NOT NULL ORDER BY {_SCORE} DESC, title, title_id LIMIT 25", f"{_SCORE} AS score")
+_SCORE = f"CAST(missing_patch * greatest(floor(epoch(TIMESTAMP '{AS_OF}' - day) / 86400), 0) AS BIGINT)"
+t_query("b12_impact_weighted_risk", lambda df: titles.impact_weighted_risk(df, at(AS_OF), 25), f"WHERE day IS NOT NULL ORDER BY {_SCORE} DESC, title, title_id LIMIT 25", f"{_SCORE} AS score")
 t_query("b13_coverage_gaps", lambda df: titles.coverage_gaps(df, 25), "WHERE src = 0 ORDER BY missing_patch DESC, title, title_id LIMIT 25")
-t_query("b14_where_titles", lambda df: titles.where_titles(df, 40.0, 20, "1998-06-01"), "WHERE completion_percent >= 40 AND total_hosts >= 20 AND at >= TIMESTAMP '1998-06-01'")
+t_query("b14_where_titles", lambda df: titles.where_titles(df, 40.0, 20, "1998-06-01"), "WHERE completion_percent >= 40 AND total_hosts >= 20 AND day >= TIMESTAMP '1998-06-01'")
 t_query("b15_apply_criterion", lambda df: titles.apply_criterion(df, "most-installed", where={"min_hosts": 25}, top_n=10, threshold=5), "WHERE total_hosts >= 25 ORDER BY total_hosts DESC, title, title_id LIMIT 10")
 
 # --- trends ----------------------------------------------------------------------------------------
@@ -217,17 +217,17 @@ def s_query(name: str, plan: Callable[[DataFrame], DataFrame], sql: str) -> None
     add(name, lambda t: plan(t.snapshots), f"WITH {SNAPSHOTS}\n{sql}")
 
 
-_ADOPT = f"SELECT title, {PCT.format('avg(completion_percent)')} AS completion_percent, strftime(max(at), '%Y-%m-%d') AS released FROM snaps GROUP BY 1"
+_ADOPT = f"SELECT title, {PCT.format('avg(completion_percent)')} AS completion_percent, strftime(max(day), '%Y-%m-%d') AS released FROM snaps GROUP BY 1"
 s_query("c01_patch_adoption", trends.patch_adoption, _ADOPT)
-s_query("c02_release_frequency", trends.release_frequency, "SELECT title, count(DISTINCT at) AS release_count FROM snaps GROUP BY 1")
-s_query("c03_completion_trends", trends.completion_trends, f"SELECT strftime(at, '%Y-%m-%d') AS released, title, {PCT.format('avg(completion_percent)')} AS completion_percent FROM snaps GROUP BY at, title")
-_DAYS = "floor(epoch(snapshot_ts - at) / 86400)"
-s_query("c04_time_to_patch", trends.time_to_patch, f"SELECT title, round_even(avg({_DAYS}), 2) AS avg_days, count(*) AS sample_size, 80.0::DOUBLE AS threshold FROM snaps WHERE completion_percent >= 80 AND at IS NOT NULL GROUP BY 1")
-s_query("c04_first_crossing", lambda s: trends.time_to_patch(s, 80.0, first_crossing_only=True), f"SELECT title, min_by({_DAYS}, snapshot_ts)::DOUBLE AS avg_days, 1::BIGINT AS sample_size, 80.0::DOUBLE AS threshold FROM snaps WHERE completion_percent >= 80 AND at IS NOT NULL GROUP BY 1")
+s_query("c02_release_frequency", trends.release_frequency, "SELECT title, count(DISTINCT day) AS release_count FROM snaps GROUP BY 1")
+s_query("c03_completion_trends", trends.completion_trends, f"SELECT strftime(day, '%Y-%m-%d') AS released, title, {PCT.format('avg(completion_percent)')} AS completion_percent FROM snaps GROUP BY day, title")
+_DAYS = "floor(epoch(snapshot_ts - day) / 86400)"
+s_query("c04_time_to_patch", trends.time_to_patch, f"SELECT title, round_even(avg({_DAYS}), 2) AS avg_days, count(*) AS sample_size, 80.0::DOUBLE AS threshold FROM snaps WHERE completion_percent >= 80 AND day IS NOT NULL GROUP BY 1")
+s_query("c04_first_crossing", lambda s: trends.time_to_patch(s, 80.0, first_crossing_only=True), f"SELECT title, min_by({_DAYS}, snapshot_ts)::DOUBLE AS avg_days, 1::BIGINT AS sample_size, 80.0::DOUBLE AS threshold FROM snaps WHERE completion_percent >= 80 AND day IS NOT NULL GROUP BY 1")
 s_query("c05_stale_apps", trends.stale_apps, "SELECT title, min(latest_version) AS latest_version, min(p) AS completion_percent, CAST(floor(epoch(max(snapshot_ts) - min(snapshot_ts)) / 86400) AS BIGINT) AS days_stale FROM (SELECT *, round_even(completion_percent, 2) AS p, row_number() OVER (PARTITION BY title ORDER BY snapshot_ts DESC) AS r FROM snaps) WHERE r <= 3 GROUP BY title HAVING count(*) = 3 AND count(DISTINCT latest_version) = 1 AND count(DISTINCT p) = 1")
-s_query("c06_excluded_titles", trends.excluded_titles, "SELECT count(*) AS excluded FROM (SELECT title FROM snaps GROUP BY 1 HAVING NOT coalesce(bool_or(completion_percent >= 80 AND at IS NOT NULL), false))")
+s_query("c06_excluded_titles", trends.excluded_titles, "SELECT count(*) AS excluded FROM (SELECT title FROM snaps GROUP BY 1 HAVING NOT coalesce(bool_or(completion_percent >= 80 AND day IS NOT NULL), false))")
 s_query("c07_sort_trend", lambda s: trends.sort_trend(trends.patch_adoption(s), "released", ascending=False), _ADOPT)
-s_query("c08_apply_trend", lambda s: trends.apply_trend(s, "release-frequency", "release_count"), "SELECT title, count(DISTINCT at) AS release_count FROM snaps GROUP BY 1")
+s_query("c08_apply_trend", lambda s: trends.apply_trend(s, "release-frequency", "release_count"), "SELECT title, count(DISTINCT day) AS release_count FROM snaps GROUP BY 1")
 
 # --- snapshot selection and diff -------------------------------------------------------------------
 
@@ -303,7 +303,7 @@ apps AS (SELECT slug, coalesce(bundle, i_bundle) AS bundle_id, name,
  coalesce(CASE WHEN l_url LIKE 'http%' THEN l_url END, c_url, CASE WHEN i_source = 'External' THEN i_url END) AS download_url,
  CASE WHEN is_label THEN CASE WHEN install_type IN ('dmg', 'pkg', 'zip', 'tbz', 'pkgInDmg', 'pkgInZip', 'appInDmgInZip') THEN install_type END
   WHEN lower(c_url) LIKE '%.dmg' THEN 'dmg' WHEN lower(c_url) LIKE '%.pkg' THEN 'pkg' WHEN lower(c_url) LIKE '%.tar.bz2' THEN 'tbz' END AS install_method,
- expected_team_id, sha256, list_filter([CASE WHEN is_label THEN 'installomator' END, CASE WHEN token IS NOT NULL THEN 'homebrew_cask' END, CASE WHEN n_recipes > 0 THEN 'autopkg' END, CASE WHEN i_title IS NOT NULL THEN 'jamf_app_installer' END], s -> s IS NOT NULL) AS src,
+ expected_team_id, sha256, list_filter([CASE WHEN is_label THEN 'installomator' END, CASE WHEN token IS NOT NULL THEN 'homebrew_cask' END, CASE WHEN n_recipes > 0 THEN 'autopkg' END, CASE WHEN i_title IS NOT NULL THEN 'jamf_app_installer' END], lambda s: s IS NOT NULL) AS src,
  is_label, install_type, app_new_version, l_url, token, c_name, c_url, c_version, n_recipes, ids, repos, i_title, i_source, i_url, jamf_id, key FROM k)
 """
 )
@@ -338,7 +338,7 @@ add("i17_stitch_counts", lambda t: stitch.stitch_counts(t.apps), APPS + """SELEC
 # --- catalog: questions ----------------------------------------------------------------------------
 
 add("j01_list_apps", lambda t: flat(catalog.list_apps(t.apps, vendor="s%", source="homebrew_cask", exclude_source="autopkg", limit=50, offset=5)), APPS + f"SELECT {A_SQL} FROM apps WHERE vendor ILIKE 's%' AND list_contains(src, 'homebrew_cask') AND NOT list_contains(src, 'autopkg') ORDER BY slug LIMIT 50 OFFSET 5")
-add("j02_search_apps", lambda t: flat(catalog.search_apps(t.apps, "STEEL", 60)), APPS + f"SELECT {A_SQL} FROM apps WHERE slug ILIKE '%steel%' OR name ILIKE '%steel%' OR vendor ILIKE '%steel%' OR bundle_id ILIKE '%steel%' ORDER BY slug LIMIT 60")
+add("j02_search_apps", lambda t: flat(catalog.search_apps(t.apps, "CASK-1", 60)), APPS + f"SELECT {A_SQL} FROM apps WHERE slug ILIKE '%cask-1%' OR name ILIKE '%cask-1%' OR vendor ILIKE '%cask-1%' OR bundle_id ILIKE '%cask-1%' ORDER BY slug LIMIT 60")
 add("j03_get_app", lambda t: flat(catalog.get_app(t.apps, "app6")), APPS + f"SELECT {A_SQL} FROM apps WHERE slug = 'app6'")
 add("j03_get_app_sources", lambda t: catalog.get_app_sources(t.apps, t.labels.where("ord % 4 = 0").select(F.col("name").alias("slug"))).select("slug", F.col("cask_detail.token").alias("token"), F.col("installer_detail.title").alias("title")), APPS + "SELECT slug, token, i_title AS title FROM apps JOIN label_rows l ON l.name = slug WHERE ord % 4 = 0")
 add("j04_catalog_summary", lambda t: catalog.catalog_summary(t.apps), APPS + "SELECT count(*) AS total, count(*) FILTER (is_label) AS installomator, count(token) AS homebrew_cask, count(n_recipes) AS autopkg, count(i_title) AS jamf_app_installer FROM apps")
@@ -351,7 +351,7 @@ add("j09_code_index", lambda t: catalog.code_index(t.apps, t.standin("catalog_ti
     APPS.rstrip() + f",\nct AS ({SQL['catalog_title_rows']})\nSELECT code, array_to_string(list_sort(list(DISTINCT slug)), ' ') AS slugs FROM (SELECT jamf_id AS code, slug FROM apps WHERE jamf_id <> '' UNION ALL SELECT name_id, slug FROM apps JOIN ct ON {norm('app_name')} = key) GROUP BY 1")
 DRIFT = APPS.rstrip() + """,
 vs AS (SELECT slug, name, vendor, CASE WHEN is_label AND app_new_version NOT LIKE '%$%' THEN app_new_version END AS lv, CASE WHEN c_version <> 'latest' THEN c_version END AS cv FROM apps),
-dr AS (SELECT *, list_resize(list_transform(string_split(lv, '.'), p -> CAST(p AS BIGINT)), 4, 0) AS ka, list_resize(list_transform(string_split(cv, '.'), p -> CAST(p AS BIGINT)), 4, 0) AS kb FROM vs)
+dr AS (SELECT *, list_resize(list_transform(string_split(lv, '.'), lambda p: CAST(p AS BIGINT)), 4, 0) AS ka, list_resize(list_transform(string_split(cv, '.'), lambda p: CAST(p AS BIGINT)), 4, 0) AS kb FROM vs)
 """
 add("j10_extract_versions", lambda t: catalog.extract_versions(t.apps).select("slug", F.array_join(F.transform("versions", lambda v: F.concat(v["source"], F.lit("="), v["version"])), ",").alias("versions")),
     DRIFT + "SELECT slug, concat_ws(',', 'installomator=' || lv, 'homebrew_cask=' || cv) AS versions FROM vs")
@@ -399,7 +399,7 @@ add("f07_attach_sources", lambda t: matching.attach_sources(matching.match_direc
 add("f08_enrich_native_ids", lambda t: matching.enrich_native_ids(matching.attach_sources(matching.match_direct(_names(t), _slugs(t)), t.apps), t.apps).select("title_id", F.explode("sources").alias("source", "names")).select("title_id", "source", F.array_join(F.array_sort("names"), "|").alias("names")),
     APPS.rstrip() + ",\n" + MATCH.removeprefix("WITH ").replace(f"label_rows AS ({SQL['label_rows']}),\n", "").rstrip() + """
 SELECT title_id, s.source, CASE s.source WHEN 'autopkg' THEN max(repos) WHEN 'jamf_app_installer' THEN max(i_title) ELSE array_to_string(list_sort(list(slug)), '|') END AS names
- FROM m JOIN (SELECT slug, repos, i_title, unnest(src) AS source FROM apps) s USING (slug) GROUP BY ALL""")
+ FROM m JOIN (SELECT slug, repos, i_title, unnest(src) AS source FROM apps) s USING (slug) GROUP BY title_id, s.source""")
 add("f09_unmatched", lambda t: matching.unmatched(t.titles, _names(t), matching.match_direct(_names(t), _slugs(t))).select("title_id", F.array_join("app_names", "|").alias("app_names")),
     MATCH + "SELECT title_id, coalesce(app_name, '') AS app_names FROM titles LEFT JOIN title_app_names USING (title_id) WHERE title_id NOT IN (SELECT title_id FROM m)")
 add("f10_match_titles", lambda t: matching.match_titles(t.titles, _names(t), t.apps, catalog.code_index(t.apps, t.standin("catalog_title_rows"))))
@@ -495,7 +495,7 @@ l_query("t02_grep_only", lambda df: lines.grep(df, "[0-9]{3,}", only=True), "SEL
 l_query("t02_grep_invert", lambda df: lines.grep(df, "e", invert=True), "SELECT doc_id, line_no, line FROM lines WHERE line NOT LIKE '%e%'")
 l_query("t03_head", lambda df: lines.head(df, 3), "SELECT doc_id, line_no, line FROM lines WHERE line_no <= 3")
 l_query("t03_tail", lambda df: lines.tail(df, 2), "SELECT doc_id, line_no, line FROM lines QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY line_no DESC) <= 2")
-l_query("t04_cut", lambda df: lines.cut(df, " ", "2,4-5,8-"), "SELECT doc_id, line_no, CASE WHEN line LIKE '% %' THEN array_to_string(list_filter(string_split(line, ' '), (w, i) -> i = 2 OR i IN (4, 5) OR i >= 8), ' ') ELSE line END AS line FROM lines")
+l_query("t04_cut", lambda df: lines.cut(df, " ", "2,4-5,8-"), "SELECT doc_id, line_no, CASE WHEN line LIKE '% %' THEN array_to_string(list_filter(string_split(line, ' '), lambda w, i: i = 2 OR i IN (4, 5) OR i >= 8), ' ') ELSE line END AS line FROM lines")
 l_query("t05_awk_field", lambda df: lines.awk_field(df, 3), "SELECT doc_id, line_no, coalesce(string_split(trim(regexp_replace(line, '[ \\t\\n\\v\\f\\r]+', ' ', 'g')), ' ')[3], '') AS line FROM lines")
 l_query("t06_sed_first", lambda df: lines.sed_sub(df, "([a-z]+)ing", r"<\1>&$"), "SELECT doc_id, line_no, regexp_replace(line, '([a-z]+)ing', '<\\1>\\0$') AS line FROM lines")
 l_query("t06_sed_all", lambda df: lines.sed_sub(df, "([aeiou])([rst])", r"\2\1", all_matches=True), "SELECT doc_id, line_no, regexp_replace(line, '([aeiou])([rst])', '\\2\\1', 'g') AS line FROM lines")

@@ -133,8 +133,8 @@ class Tables:
 TITLES = f"""titles_raw AS ({SQL["titles_raw"]}),
 titles AS (SELECT *, hosts_patched + missing_patch AS total_hosts,
  CASE WHEN hosts_patched + missing_patch > 0 THEN round_even(hosts_patched * 100.0::DOUBLE / (hosts_patched + missing_patch), 2) ELSE 0.0 END AS completion_percent,
- try_strptime(released, '%b %d %Y') AS at FROM titles_raw)"""
+ try_strptime(released, '%b %d %Y') AS day FROM titles_raw)"""
 SNAPSHOTS = f"""snapshots_raw AS ({SQL["snapshots_raw"]}),
 snaps AS (SELECT *, hosts_patched + missing_patch AS total_hosts,
  CASE WHEN hosts_patched + missing_patch > 0 THEN round_even(hosts_patched * 100.0::DOUBLE / (hosts_patched + missing_patch), 2) ELSE 0.0 END AS completion_percent,
- try_strptime(released, '%b %d %Y') AS at FROM snapshots_raw)"""
+ try_strptime(released, '%b %d %Y') AS day FROM snapshots_raw)"""

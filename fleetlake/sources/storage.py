@@ -15,6 +15,13 @@ def shared_path(spark: SparkSession, name: str) -> str:
     return f"{folder.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
+def saved(df: DataFrame, name: str) -> DataFrame:
+    """Write a table that several later steps read, and read it back: computed once, and its plan ends here."""
+    path = shared_path(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def latest_by(df: DataFrame, keys: list[str], ord: str, last: bool = True) -> DataFrame:
     """One row for each key: that with the greatest ``ord`` (or the smallest)."""
     order = F.col(ord).desc_nulls_last() if last else F.col(ord).asc_nulls_last()
