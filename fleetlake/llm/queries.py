@@ -94,5 +94,21 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {name: f for name, f in globals().items() if name.startswith("op") and callable(f)}
 
 
+_WORDS = (
+    "list_filter(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), "
+    "'[\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+'), lambda x: x <> '') AS w"
+)
+SQL = {
+    "op10_positional_index": f"""WITH d AS (SELECT doc_id, {_WORDS} FROM documents),
+b AS (SELECT item_id, {_WORDS} FROM benchmark),
+bw AS (SELECT DISTINCT item_id, least(len(w), 10) AS size, w[i:i + 9] AS win FROM b, range(1, greatest(len(w) - 9, 1) + 1) t(i) WHERE len(w) > 0),
+m AS (SELECT doc_id, i, s, item_id FROM (SELECT doc_id, i, s, w[i:i + s - 1] AS win FROM d, (SELECT DISTINCT size AS s FROM bw) z, range(1, len(w) - s + 2) t(i)) JOIN bw USING (win)),
+h AS (SELECT doc_id, count(DISTINCT p) AS n_hit FROM (SELECT doc_id, unnest(range(i, i + s)) AS p FROM m) GROUP BY 1),
+n AS (SELECT doc_id, count(DISTINCT item_id) AS n_items, sha256(array_to_string(list_sort(list(DISTINCT CAST(item_id AS VARCHAR))), ',')) AS digest FROM m GROUP BY 1)
+SELECT doc_id, len(w) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items, coalesce(digest, sha256('')) AS items_sha256, n_hit IS NOT NULL AS contaminated
+FROM d LEFT JOIN h USING (doc_id) LEFT JOIN n USING (doc_id)""",
+}
+
+
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(SQL)
