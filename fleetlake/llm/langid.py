@@ -141,11 +141,11 @@ def window_logs(data: np.ndarray, offsets: np.ndarray, t: dict) -> tuple[np.ndar
     return score - np.log(np.exp(score).sum(1, keepdims=True)), used, text
 
 
-def _predict(names: list[str], t: dict):
+def _predict(names: list[str], t: dict, text_col: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             best, prob = np.zeros(batch.num_rows, np.int64), np.zeros(batch.num_rows)
-            for row, data, offsets in text_chunks(batch.column(1), 1 << 18):
+            for row, data, offsets in text_chunks(batch.column(0).field(text_col), 1 << 18):
                 logs, used, text = window_logs(data, offsets, t)
                 n = len(offsets) - 1
                 total = np.zeros((n, len(names)))
@@ -154,7 +154,7 @@ def _predict(names: list[str], t: dict):
                 share = np.exp(total)
                 share /= share.sum(1, keepdims=True)
                 best[row : row + n], prob[row : row + n] = share.argmax(1), share.max(1)
-            has = batch.column(2).to_numpy(zero_copy_only=False).astype(bool)
+            has = batch.column(1).to_numpy(zero_copy_only=False).astype(bool)
             lang = [names[b] if h else "und" for b, h in zip(best, has, strict=True)]
             yield pa.record_batch([batch.column(0), pa.array(lang, pa.string()), pa.array(np.where(has, prob, 0.0))], names=["own", "lang_pred", "score"])
 
@@ -182,7 +182,7 @@ def predict_languages(docs: DataFrame, learn_from: DataFrame, id_col: str = "doc
     own = [c for c in docs.columns if c not in ("lang_pred", "score")]
     if weights is None:
         return docs.select(*own, F.lit("und").alias("lang_pred"), F.lit(0.0).alias("score"))
-    given = docs.select(F.struct(*own).alias("own"), F.col(text_col).alias("text"), F.coalesce(F.col(text_col).rlike(r"\p{L}"), F.lit(False)).alias("has"))
+    given = docs.select(F.struct(*own).alias("own"), F.coalesce(F.col(text_col).rlike(r"\p{L}"), F.lit(False)).alias("has"))
     kind = given.schema["own"].dataType.simpleString()
-    out = given.mapInArrow(_predict(names, weights), f"own {kind}, lang_pred string, score double")
+    out = given.mapInArrow(_predict(names, weights, text_col), f"own {kind}, lang_pred string, score double")
     return out.select("own.*", "lang_pred", "score")

@@ -355,11 +355,18 @@ def repeated_runs(docs: DataFrame, threshold: int = THRESHOLD, text: str = "text
     return saved(merged.mapInArrow(_merged(threshold), "key long, runs array<struct<start:int,end:int>>"), "runs")
 
 
-def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _cut(text_col: str):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        return _cut_batches(batches, text_col)
+
+    return run
+
+
+def _cut_batches(batches: Iterator[pa.RecordBatch], text_col: str) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         n_bytes, n_removed, kept, digest = [], [], [], []
-        runs_of = batch.column(2).to_pylist()
-        for row, data, offsets in text_chunks(batch.column(1)):
+        runs_of = batch.column(1).to_pylist()
+        for row, data, offsets in text_chunks(batch.column(0).field(text_col)):
             text = data.tobytes()
             for i in range(len(offsets) - 1):
                 at, end, parts = int(offsets[i]), int(offsets[i + 1]), []
@@ -392,7 +399,7 @@ def remove_repeats(docs: DataFrame, threshold: int = THRESHOLD, id_col: str = "d
     own = [c for c in docs.columns if c not in ("n_bytes", "n_removed", "n_spans", "kept_text", "kept_sha256")]
     keyed = docs.select(F.struct(*own).alias("own"), F.xxhash64(id_col, text_col).alias("key"), F.col(text_col).alias("text"))
     runs = repeated_runs(keyed, threshold)
-    joined = keyed.join(small(runs), "key", "left").select("own", "text", "runs")
+    joined = keyed.select("own", "key").join(small(runs), "key", "left").select("own", "runs")
     kind = docs.select(F.struct(*own).alias("own")).schema["own"].dataType.simpleString()
-    out = joined.mapInArrow(_cut, f"own {kind}, n_bytes long, n_removed long, n_spans long, kept_text string, kept_sha256 string")
+    out = joined.mapInArrow(_cut(text_col), f"own {kind}, n_bytes long, n_removed long, n_spans long, kept_text string, kept_sha256 string")
     return out.select("own.*", "n_bytes", "n_removed", "n_spans", "kept_text", "kept_sha256")
