@@ -32,6 +32,7 @@ def saved(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def small(df: DataFrame, limit: int = BROADCAST_ROWS) -> DataFrame:
-    """Hint a broadcast if a saved table has at most ``limit`` rows; else leave the join to a shuffle."""
-    return F.broadcast(df) if df.count() <= limit else df
+def small(df: DataFrame, array: str | None = None, limit: int = BROADCAST_ROWS) -> DataFrame:
+    """Hint a broadcast if a saved table has at most ``limit`` rows, elements of its array column counted too; else leave the join to a shuffle."""
+    n = df.agg(F.sum(F.size(array) + 1 if array else F.lit(1))).first()[0] or 0
+    return F.broadcast(df) if n <= limit else df

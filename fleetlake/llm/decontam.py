@@ -70,9 +70,9 @@ def search(docs: DataFrame, items: DataFrame, window: int = WINDOW, slop: int =
     one, two = shifted("one"), shifted("two")
     exact = one.where("start >= 0").join(two, ["key", "win", "start"], "left_semi").distinct()
     found = exact.groupBy("key").agg(F.collect_list(F.struct("win", "start")).alias("at"))
-    found = docs.join(small(saved(found, "candidates")), "key").select("key", words(F.col("text")).alias("w"), "at")
+    found = docs.join(small(saved(found, "candidates"), "at"), "key").select("key", words(F.col("text")).alias("w"), "at")
     found = found.select("key", F.explode(F.transform("at", lambda x: F.struct(x["win"].alias("win"), x["start"].alias("start"), F.slice("w", x["start"] + 1, window).alias("here")))).alias("x")).select("key", "x.*")
-    texts = small(saved(unique, "unique"))
+    texts = small(saved(unique, "unique"), "terms")
     exact = found.join(texts, "win").where(F.slice("here", 1, F.col("size")) == F.col("terms")).select("key", "win", "start", F.lit(0).alias("distance")).distinct()
     if slop:
         cell = lambda c: F.floor(c / (slop + 1))

@@ -252,7 +252,7 @@ def similar_components(docs: DataFrame, n: int = 5, percent: int = 80, id_col: s
     dealt = members.join(plan, ["family", "band"]).withColumn("own", own).select("rep", "h1", pairs.alias("pairs"))
     dealt = saved(dealt, "dealt")
     kind = dealt.schema["pairs"].dataType.simpleString()
-    found = docs.join(small(dealt), docs["id"] == dealt["rep"]).select("text", "rep", "pairs", "h1")
+    found = docs.join(small(dealt, "pairs"), docs["id"] == dealt["rep"]).select("text", "rep", "pairs", "h1")
     rows = found.mapInArrow(_members(n), f"rep long, pairs {kind}, features binary, sketch binary")
     rows = rows.select("rep", "features", "sketch", F.explode("pairs").alias("p")).select("p.*", "rep", "features", "sketch")
     links = rows.groupBy("family", "band", "x", "other", "y").applyInArrow(_links(percent), "a long, b long")

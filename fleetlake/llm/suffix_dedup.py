@@ -104,7 +104,7 @@ def _open_rows(threshold: int):
                 ctx = span_hashes(data, base + left, base + right) ^ mix((pos - left).astype(U64))
                 parts.append((hashes[base + pos], ctx, key, pos, left, np.minimum(pos, n - threshold)))
                 held += len(pos)
-                if held > 1_000_000:
+                if held > 300_000:
                     yield _settle_locally(parts)
                     parts, held = [], 0
         if parts:
@@ -348,7 +348,8 @@ def repeated_runs(docs: DataFrame, threshold: int = THRESHOLD, text: str = "text
     scan = saved(scan, "settled")
     wanted = scan.where("kind > 2").groupBy("key").agg(F.collect_list(F.struct("pos", "h", (F.col("kind") == 4).alias("witness"))).alias("at"))
     wanted = saved(wanted, "wanted")
-    contexts = docs.join(small(wanted), "key").select("key", "text", "at").mapInArrow(_contexts(threshold), _CONTEXT_SQL)
+    holders = docs.join(small(wanted.select("key")), "key", "left_semi")
+    contexts = holders.join(small(wanted, "at"), "key").select("key", "text", "at").mapInArrow(_contexts(threshold), _CONTEXT_SQL)
     contexts = saved(contexts, "contexts")
     spans = rows.where("kind = 2").select("key", "lo", "hi").union(scan.where("kind = 2").select("key", "lo", "hi")).union(_refined(contexts, threshold))
     merged = spans.groupBy("key").agg(F.collect_list(F.struct("lo", "hi")).alias("spans"))
@@ -399,7 +400,7 @@ def remove_repeats(docs: DataFrame, threshold: int = THRESHOLD, id_col: str = "d
     own = [c for c in docs.columns if c not in ("n_bytes", "n_removed", "n_spans", "kept_text", "kept_sha256")]
     keyed = docs.select(F.struct(*own).alias("own"), F.xxhash64(id_col, text_col).alias("key"), F.col(text_col).alias("text"))
     runs = repeated_runs(keyed, threshold)
-    joined = keyed.select("own", "key").join(small(runs), "key", "left").select("own", "runs")
+    joined = keyed.select("own", "key").join(small(runs, "runs"), "key", "left").select("own", "runs")
     kind = docs.select(F.struct(*own).alias("own")).schema["own"].dataType.simpleString()
     out = joined.mapInArrow(_cut(text_col), f"own {kind}, n_bytes long, n_removed long, n_spans long, kept_text string, kept_sha256 string")
     return out.select("own.*", "n_bytes", "n_removed", "n_spans", "kept_text", "kept_sha256")
