@@ -93,8 +93,8 @@ def _start(text: str, j: int) -> int:
     return j
 
 
-def _value(text: str, i: int) -> tuple[str, int]:
-    """The word that starts at i, with its quotes, and where it ends."""
+def _value(text: str, i: int, first_only: bool = False) -> tuple[str, int]:
+    """The word that starts at i, with its quotes, and where it ends; or only its first quoted part."""
     start, n, open_ = i, len(text), []
     while i < n:
         c, inside = text[i], open_[-1] if open_ else ""
@@ -115,6 +115,8 @@ def _value(text: str, i: int) -> tuple[str, int]:
         elif not inside and (c.isspace() or c in ";)"):
             break
         i += 1
+        if first_only and not open_:
+            break
     return text[start:i], min(i, n)
 
 
@@ -136,7 +138,7 @@ def _array(text: str, i: int) -> tuple[list[str], int]:
 
 
 def _unquoted(value: str) -> str:
-    if len(value) >= 2 and value[0] in "'\"" and value[-1] == value[0] and value[0] not in value[1:-1].replace("\\" + value[0], ""):
+    if len(value) >= 2 and value[0] in "'\"" and value[-1] == value[0] and _value(value, 0, first_only=True)[1] == len(value):
         return value[1:-1]
     return value
 
