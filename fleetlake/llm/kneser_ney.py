@@ -1,35 +1,32 @@
 """Quality by perplexity under an interpolated modified Kneser-Ney model of trusted text.
 
-The model predicts a byte class from the three before it. Byte classes (64 of them: small letters,
-one class for capitals, digits, kinds of punctuation and symbols, UTF-8 lead and continuation bytes)
-keep a language's table within 64**4 cells whatever the corpus holds, while the counts in it come
-from all of the trusted text. Counting, the discounts, the continuation counts and the
-interpolation are grouped sums and joins over count tables keyed by (lang, n-gram). The resulting
-probabilities are split into shards of a few languages each; a shard has a proven size bound, so it
-is broadcast and meets the documents' n-grams in the tasks that hold the texts, which therefore are
-never shuffled. Each document's log-probabilities are added up over its whole text.
+The model predicts a token from the two before it. Tokens are real words, runs of signs, and single
+characters of scripts from U+0800 on (most of these put no spaces between words); there is no fixed
+vocabulary, so the tables grow with the corpus. N-grams go by 64-bit hashes that hold their language.
+A log-probability is a sum of table values, one for each n-gram and context of a text that the model
+has seen, so model and document counts are two tables that are joined on the hash and summed for
+each text. The hottest HOT n-grams are looked up where the texts are, so that no key of the join is hot.
+
+``ngram_counts``, ``kneser_ney`` and ``_dense`` are the former model over byte classes; only its tests use them.
 """
 
 from __future__ import annotations
 
-import math
-import uuid
+import hashlib
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import saved, small
-from .textops import text_chunks
+from .textops import U64, mix, span_hashes, text_chunks
 
 ORDER = 4
 BITS = 6
 CELLS = 1 << BITS
-#: Languages in a shard of the model: at most this many times 64**4 cells.
-SHARD_LANGS = 4
 #: A language's threshold: this quantile of held-out trusted documents' perplexity, times MARGIN.
 QUANTILE = 0.99
 MARGIN = 1.5
@@ -141,96 +138,197 @@ def _dense(order: np.ndarray, gram: np.ndarray, p: np.ndarray, weight: np.ndarra
     return np.rint(np.minimum(table, 255, out=table), out=table).astype(np.uint8)
 
 
-_DENSE: dict[tuple[str, str], np.ndarray] = {}
+#: Words of an n-gram in the token model.
+WORDS = 3
+#: N-grams of the model that are looked up beside the texts instead of in the shuffled join; results do not depend on it.
+HOT = 1 << 16
+_BOS, _EOS, _STEP = U64(0x5BD1E9955BD1E995), U64(0x27D4EB2F165667C5), U64(0x9E3779B97F4A7C15)
+#: 0 gap, 1 letter or digit, 2 sign, 3 first byte of a character that is a token of its own.
+_KINDS = np.zeros(256, np.uint8)
+_KINDS[33:127] = 2
+_KINDS[[*range(48, 58), *range(65, 91), *range(97, 123), *range(0x80, 0xE0)]] = 1
+_KINDS[0xE0:] = 3
+
+
+def token_spans(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Starts and ends of the tokens, none across texts, and each text's first token number."""
+    lead = (data & 0xC0) != 0x80
+    kind = _KINDS[data[np.maximum.accumulate(np.where(lead, np.arange(len(data)), 0))]] if len(data) else np.zeros(0, np.uint8)
+    edge = np.zeros(len(data) + 1, bool)
+    edge[offsets] = True
+    new = np.concatenate(([True], kind[1:] != kind[:-1])) if len(data) else np.zeros(0, bool)
+    new |= edge[:-1] | (data >= 0xE0)
+    starts = np.flatnonzero(new & (kind > 0))
+    after = np.concatenate((new[1:], [True])) if len(data) else new
+    ends = np.flatnonzero(after & (kind > 0)) + 1
+    return starts, ends, np.searchsorted(starts, offsets)
+
+
+def _hashes(data: np.ndarray, offsets: np.ndarray, langs: list[str]) -> tuple[list[np.ndarray], np.ndarray, np.ndarray]:
+    """(hashes of the n-grams of 1, 2, 3 tokens that end at each place, place in the text, text number).
+
+    A text is two starts, its tokens and an end; an n-gram that would begin before is not valid.
+    """
+    starts, ends, first = token_spans(data, offsets)
+    count = np.diff(first)
+    size = count + WORDS
+    begin = np.concatenate(([0], np.cumsum(size)))
+    text = np.repeat(np.arange(len(size)), size)
+    place = np.arange(begin[-1]) - begin[text]
+    words = np.full(begin[-1], _BOS)
+    words[begin[1:] - 1] = _EOS
+    words[(place >= WORDS - 1) & (place < size[text] - 1)] = span_hashes(data, starts, ends)
+    codes = {x: U64(int.from_bytes(hashlib.blake2b(x.encode(), digest_size=8).digest(), "little")) for x in set(langs)}
+    words = mix(words + np.array([codes[x] for x in langs], U64)[text])
+    grams = [words]
+    for _ in range(1, WORDS):
+        grams.append(mix(np.concatenate((grams[-1][:1], grams[-1][:-1])) * _STEP + words))
+    return grams, place, text
+
+
+def _count_tokens(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        langs = batch.column(0).to_pylist()
+        for row, data, offsets in text_chunks(batch.column(1)):
+            own = langs[row : row + len(offsets) - 1]
+            (one, two, three), place, text = _hashes(data, offsets, own)
+            at = np.flatnonzero(place >= WORDS - 1)
+            gram, first, c = np.unique(three[at], return_index=True, return_counts=True)
+            at = at[first]
+            columns = (gram, two[at - 1], two[at], one[at - 1], one[at])
+            yield pa.record_batch([pa.array(own).take(pa.array(text[at])), *(pa.array(x.view(np.int64)) for x in columns), pa.array(c)], names=["lang", "gram", "ctx", "low", "low_ctx", "low_low", "c"])
+
+
+def token_counts(texts: DataFrame) -> DataFrame:
+    """(lang, gram, ctx, low, low_ctx, low_low, c) of all three-token n-grams of ``texts`` (lang, text)."""
+    kind = "lang string, gram long, ctx long, low long, low_ctx long, low_low long, c long"
+    same = (F.first(c).alias(c) for c in ("ctx", "low", "low_ctx", "low_low"))
+    return texts.select("lang", "text").mapInArrow(_count_tokens, kind).groupBy("lang", "gram").agg(*same, F.sum("c").alias("c"))
+
+
+def token_model(counts: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """((gram, value, heat) of all n-grams and contexts seen, (lang, unknown)) from ``token_counts``.
+
+    A token's log-probability is ``unknown``, that of a token never seen, plus the values of the
+    n-grams that end there and of the contexts that end before it. Discounts D1, D2 and D3+ are
+    estimated for each language and order; one share of the lowest order's freed mass is for unknown tokens.
+    """
+    two = saved(counts.groupBy("lang", F.col("low").alias("gram")).agg(F.first("low_ctx").alias("ctx"), F.first("low_low").alias("low"), F.count("*").alias("c")), "counts2")
+    one = saved(two.groupBy("lang", F.col("low").alias("gram")).agg(F.count("*").alias("c")), "counts1")
+    values, lower, unknown = [], None, None
+    for m, t in enumerate((one, two, counts), 1):
+        n = t.groupBy("lang").agg(*(F.count_if(F.col("c") == k).cast("double").alias(f"n{k}") for k in (1, 2, 3, 4)))
+        y = F.try_divide(F.col("n1"), F.col("n1") + 2 * F.col("n2"))
+        d = [F.least(F.lit(k - 0.05), F.greatest(F.lit(0.05), F.coalesce(k - (k + 1) * y * F.try_divide(F.col(f"n{k + 1}"), F.col(f"n{k}")), F.lit(k / 2)))) for k in (1, 2, 3)]
+        t = t.join(F.broadcast(n.select("lang", *(x.alias(f"d{k}") for k, x in enumerate(d, 1)))), "lang")
+        t = t.withColumn("cut", F.when(F.col("c") == 1, F.col("d1")).when(F.col("c") == 2, F.col("d2")).otherwise(F.col("d3"))).drop("d1", "d2", "d3")
+        if m == 1:
+            all_of = saved(t.groupBy("lang").agg(F.sum("c").alias("total"), (F.sum("cut") / F.sum("c") / (F.count("*") + 1)).alias("low_p")), "unigrams")
+            unknown = all_of.select("lang", F.log("low_p").alias("unknown"))
+            p = t.join(F.broadcast(all_of), "lang").withColumn("p", (F.col("c") - F.col("cut")) / F.col("total") + F.col("low_p"))
+            p = p.withColumn("value", F.log(F.col("p") / F.col("low_p")))
+        else:
+            ctx = saved(t.groupBy("ctx").agg(F.sum("c").alias("total"), (F.sum("cut") / F.sum("c")).alias("weight")), f"contexts{m}")
+            values.append(ctx.select(F.col("ctx").alias("gram"), F.log("weight").alias("value"), F.col("total").alias("heat")))
+            p = t.join(ctx, "ctx").join(lower, "low")
+            base = F.col("weight") * F.col("low_p")
+            p = p.withColumn("p", (F.col("c") - F.col("cut")) / F.col("total") + base).withColumn("value", F.log(F.col("p") / base))
+        p = saved(p.select("gram", "p", "value", F.col("c").alias("heat")), f"p{m}")
+        values.append(p.select("gram", "value", "heat"))
+        lower = p.select(F.col("gram").alias("low"), F.col("p").alias("low_p"))
+    every = reduce(DataFrame.union, values)
+    return every.groupBy("gram").agg(F.sum("value").alias("value"), F.max("heat").alias("heat")), unknown
 
 
-def _score(model, limits: dict[str, float]):
-    """Own columns, n_symbols, perplexity, threshold, kept."""
+def _doc_counts(hot, unknown: dict[str, float]):
+    """(key, gram, c, n, base): the distinct n-grams of a text that are not hot, and a row with c 0, its tokens and its sum so far."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known, value = hot.value
+        seen = set()
         for batch in batches:
-            own_rows = batch.column(0)
-            langs = np.array([x or "" for x in own_rows.field("lang").to_pylist()], object)
-            nll = np.full(batch.num_rows, np.nan)
-            count = np.zeros(batch.num_rows, np.int64)
-            for row, data, offsets in text_chunks(own_rows.field("text"), 1 << 20):
-                gram, size = _grams(data, offsets)
-                own = langs[row : row + len(size)]
-                count[row : row + len(size)] = size
-                for lang in set(own[size > 0]):
-                    if lang not in model.value:
-                        continue
-                    if (model.id, lang) not in _DENSE:
-                        _DENSE[model.id, lang] = _dense(*model.value[lang])
-                    at = np.flatnonzero((own == lang) & (size > 0))
-                    values = _DENSE[model.id, lang][gram if len(at) == len(size) else gram[np.repeat((own == lang), size)]]
-                    first = np.concatenate(([0], np.cumsum(size[at])))[:-1]
-                    nll[row + at] = np.add.reduceat(values, first, dtype=np.int64) / (STEPS * size[at])
-            perplexity = np.exp(nll)
-            limit = np.array([limits.get(x, math.nan) for x in langs], float)
-            with np.errstate(invalid="ignore"):
-                kept = ~((perplexity > limit) & (count >= MIN_BYTES))
-            yield pa.record_batch([own_rows, pa.array(count), pa.array(perplexity, mask=np.isnan(perplexity)), pa.array(limit, mask=np.isnan(limit)), pa.array(kept)], names=["own", "n_symbols", "perplexity", "threshold", "kept"])
+            fresh = []  # copies in this task are counted once; a text's mean does not depend on it
+            for i, key in enumerate(batch.column(0).to_pylist()):
+                if key not in seen:
+                    seen.add(key)
+                    fresh.append(i)
+            if not fresh:
+                continue
+            batch = batch.take(pa.array(fresh))
+            keys, langs = batch.column(0).to_numpy(), batch.column(1).to_pylist()
+            for row, data, offsets in text_chunks(batch.column(2)):
+                own = langs[row : row + len(offsets) - 1]
+                grams, place, text = _hashes(data, offsets, own)
+                n = np.bincount(text, place >= WORDS - 1, len(own)).astype(np.int64)
+                base = n * np.array([unknown.get(x, 0.0) for x in own])
+                out_key, out_gram, out_c = [keys[row : row + len(own)]], [keys[row : row + len(own)]], [np.zeros(len(own), np.int64)]
+                for m, gram in enumerate(grams):
+                    at = np.flatnonzero(place >= max(m, 1))  # the first start is no context of one token
+                    g, d = gram[at].view(np.int64), text[at]
+                    if len(known):
+                        found = np.minimum(np.searchsorted(known, g), len(known) - 1)
+                        is_hot = known[found] == g
+                        base += np.bincount(d[is_hot], value[found[is_hot]], len(own))
+                        g, d = g[~is_hot], d[~is_hot]
+                    order = np.lexsort((g, d))
+                    g, d = g[order], d[order]
+                    first = np.flatnonzero(np.concatenate(([True], (g[1:] != g[:-1]) | (d[1:] != d[:-1])))) if len(g) else np.zeros(0, np.int64)
+                    out_key.append(keys[row + d[first]])
+                    out_gram.append(g[first])
+                    out_c.append(np.diff(np.append(first, len(g))))
+                more = sum(map(len, out_c)) - len(own)
+                columns = [np.concatenate(out_key), np.concatenate(out_gram), np.concatenate(out_c), np.append(n, np.zeros(more, np.int64)), np.append(base, np.zeros(more))]
+                yield pa.record_batch([pa.array(x) for x in columns], names=["key", "gram", "c", "n", "base"])
 
     return run
 
 
-_SCORES = ("n_symbols", "perplexity", "threshold", "kept")
+def perplexities(texts: DataFrame, model: DataFrame, unknown: DataFrame) -> DataFrame:
+    """(key, n_symbols, perplexity) of every distinct key of ``texts`` (key, lang, text); null where the language has no model."""
+    top = model.orderBy(F.desc("heat"), "gram").limit(HOT).select("gram", "value").toArrow()
+    known, value = top["gram"].to_numpy(), top["value"].to_numpy()
+    order = np.argsort(known)
+    hot = texts.sparkSession.sparkContext.broadcast((known[order], value[order]))
+    start = {r["lang"]: r["unknown"] for r in unknown.collect()}
+    counts = texts.select("key", "lang", "text").mapInArrow(_doc_counts(hot, start), "key long, gram long, c long, n long, base double")
+    # the shuffled join: both sides are dealt by the n-gram's hash
+    met = counts.join(model.select("gram", "value").hint("merge"), "gram", "left")
+    sums = met.groupBy("key").agg(F.sum(F.col("base") + F.col("c") * F.coalesce("value", F.lit(0.0))).alias("log"), F.sum("n").alias("n"), F.count_if(F.col("c") == 0).alias("copies"))
+    return sums.select("key", (F.col("n") / F.col("copies")).cast("long").alias("n_symbols"), F.exp(-F.col("log") / F.col("n")).alias("perplexity"))
 
 
-def _scored(docs: DataFrame, shards: list, limits: dict[str, float]) -> DataFrame:
-    own = [c for c in docs.columns if c not in _SCORES]
-    lang = F.coalesce("lang", F.lit(""))
-    rows = docs.select(F.struct(*own).alias("own"), lang.alias("lang"))
-    kind = rows.schema["own"].dataType.simpleString()
-    known, out = [x for names, _ in shards for x in names], None
-    for i, (names, model) in enumerate(shards):
-        part = rows.where(F.col("lang").isin(names) | (~F.col("lang").isin(known) if not i else F.lit(False)))
-        part = part.select("own").mapInArrow(_score(model, limits), f"own {kind}, n_symbols long, perplexity double, threshold double, kept boolean")
-        out = part if out is None else out.union(part)
-    return out.select("own.*", *_SCORES)
+_SCORES = ("n_symbols", "perplexity", "threshold", "kept")
 
 
 def perplexity_filter(docs: DataFrame, labels: DataFrame, quantile: float = QUANTILE, margin: float = MARGIN) -> DataFrame:
     """Every row of ``docs`` (doc_id, text, lang, more) with n_symbols, perplexity, threshold and kept after its own columns.
 
-    Trusted are the documents with quality 1 in ``labels``; of these, ids with crc32 mod 5 = 0 are held
-    out of the counts and give each language's threshold: the quantile of their perplexity (of those
-    with at least MIN_BYTES bytes), times ``margin``. ``kept`` is false for a text of at least
-    MIN_BYTES bytes whose perplexity exceeds it. Null and empty texts, and languages without trusted
+    Trusted are the documents with quality 1 and not toxic in ``labels``; of these, ids with crc32 mod
+    5 = 0 are held out of the counts and give each language's threshold: the quantile of their
+    perplexity (of those with at least MIN_BYTES bytes), times ``margin``. ``n_symbols`` counts tokens
+    and the end of the text. ``kept`` is false for a text of at least MIN_BYTES bytes whose perplexity
+    exceeds the threshold. Null and empty texts have no symbols; they, and languages without trusted
     text, have no perplexity and are kept; a null language is a language of its own. A document
     labelled twice counts once if any label trusts it. Own columns of the four names are replaced.
     """
-    spark = docs.sparkSession
-    trusted = saved(labels.where("quality = 1 and doc_id is not null").select("doc_id").distinct(), "trusted")
-    texts = docs.select("doc_id", F.coalesce("lang", F.lit("")).alias("lang"), "text").where("text is not null and text <> ''")
-    texts = texts.join(small(trusted), "doc_id", "left_semi")
+    good = labels.where("quality = 1 and doc_id is not null")
+    if "toxic" in labels.columns:
+        good = good.where("coalesce(toxic, 0) = 0")
+    trusted = saved(good.select("doc_id").distinct(), "trusted")
+    own = [c for c in docs.columns if c not in _SCORES]
+    lang = F.coalesce("lang", F.lit(""))
+    rows = docs.select(*own).withColumns({"_lang": lang, "_key": F.xxhash64(lang, "text"), "_bytes": F.coalesce(F.octet_length("text"), F.lit(0))})
+    texts = rows.where("_bytes > 0").select("doc_id", F.col("_lang").alias("lang"), F.col("_key").alias("key"), F.col("_bytes").alias("bytes"), "text")
     out_of = F.crc32(F.col("doc_id").cast("string")) % 5 == 0
-    counts = saved(ngram_counts(texts.where(~out_of).select("lang", "text")), "counts")
-    model = saved(kneser_ney(counts).repartition(1), "model")
-    langs = sorted(r["lang"] for r in counts.select("lang").distinct().collect())
-    shards = []
-    for i in range(0, max(len(langs), 1), SHARD_LANGS):
-        names = langs[i : i + SHARD_LANGS]
-        rows = model.where(F.col("lang").isin(names) if names else F.lit(False)).toArrow()
-        part = {}
-        for lang in names:
-            mine = rows.filter(pc.equal(rows["lang"], lang))
-            part[lang] = tuple(mine[c].to_numpy().astype(t) for c, t in (("order", np.int8), ("gram", np.int32), ("p", np.float32), ("weight", np.float32)))
-        value = spark.sparkContext.broadcast(part)
-        shards.append((names, _Model(value, uuid.uuid4().hex)))
-    held = _scored(texts.where(out_of), shards, {}).where(F.col("n_symbols") >= MIN_BYTES)
-    limits = held.groupBy("lang").agg(F.percentile_approx("perplexity", quantile, 10_000).alias("limit"))
-    limits = {r["lang"]: r["limit"] * margin for r in limits.where("limit is not null").collect()}
-    return _scored(docs, shards, limits)
-
-
-class _Model:
-    """A broadcast shard with a name under which workers keep its dense form."""
-
-    def __init__(self, handle, name: str):
-        self.handle, self.id = handle, name
-
-    @property
-    def value(self):
-        return self.handle.value
+    good_texts = texts.join(small(trusted), "doc_id", "left_semi")
+    counts = saved(token_counts(good_texts.where(~out_of)), "counts")
+    model, unknown = token_model(counts)
+    model, unknown = saved(model, "model"), saved(unknown, "unknown")
+    scores = perplexities(texts, model, unknown)
+    modelled = texts.select("key", "lang").distinct().join(F.broadcast(unknown), "lang").select("key")
+    scores = saved(scores.join(modelled.withColumn("modelled", F.lit(True)), "key", "left").withColumn("perplexity", F.when(F.col("modelled"), F.col("perplexity"))).drop("modelled"), "scores")
+    held = good_texts.where(out_of).where(F.col("bytes") >= MIN_BYTES).select("key", "lang").join(small(scores), "key")
+    limits = saved(held.groupBy("lang").agg((F.percentile_approx("perplexity", quantile, 10_000) * margin).alias("threshold")).withColumnRenamed("lang", "_lang"), "limits")
+    out = rows.join(small(scores.withColumnRenamed("key", "_key")), "_key", "left").join(F.broadcast(limits), "_lang", "left")
+    rejected = (F.col("perplexity") > F.col("threshold")) & (F.col("_bytes") >= MIN_BYTES)
+    return out.select(*own, F.coalesce("n_symbols", F.lit(0)).alias("n_symbols"), "perplexity", "threshold", (~F.coalesce(rejected, F.lit(False))).alias("kept"))
