@@ -13,21 +13,20 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .common import saved, small
 from .textops import text_chunks
 
 WIDTHS = (2, 3, 4)
 FILTERS = 8
 EMBED = 8
 WINDOW = 256
-#: Labelled texts drawn for each language at most, by hash of their text; the bound of the training sample.
+#: Distinct labelled texts drawn for each language at most, those with the smallest hashes; the bound of the training sample.
 SAMPLE = 300
 #: Windows taken from each sampled text at most.
 WINDOWS_OF_TEXT = 3
-#: Languages learned at most: the most frequent ones.
-LANGUAGES = 200
 EPOCHS = 8
 CLASSES = 64
 
@@ -65,17 +64,21 @@ def _forward(x: np.ndarray, p: dict) -> tuple[np.ndarray, list, np.ndarray]:
     return prob / prob.sum(1, keepdims=True), saved, hidden
 
 
+def _windows(text: bytes) -> list[bytes]:
+    """Windows spread evenly over the whole text, its first and last bytes included."""
+    return [text[at : at + WINDOW] for at in np.unique(np.linspace(0, max(0, len(text) - WINDOW), WINDOWS_OF_TEXT).astype(int))]
+
+
 def train(texts: list[bytes], labels: list[int], n_labels: int, seed: int = 3) -> dict:
     """Network weights, by Adam over minibatches of windows."""
     rng = np.random.default_rng(seed)
     xs, ys = [], []
     for t, y in zip(texts, labels, strict=True):
-        kinds = BYTE_CLASSES[np.frombuffer(t, np.uint8)]
-        for at in np.unique(np.linspace(0, max(0, len(kinds) - WINDOW), WINDOWS_OF_TEXT).astype(int)):
-            part = kinds[at : at + WINDOW]
+        for part in _windows(t):
+            part = BYTE_CLASSES[np.frombuffer(part, np.uint8)].astype(np.uint8)
             xs.append(np.pad(part, (0, WINDOW - len(part))))
             ys.append(y)
-    x, y = np.array(xs, np.int64).reshape(-1, WINDOW), np.array(ys, np.int64)
+    x, y = np.array(xs, np.uint8).reshape(-1, WINDOW), np.array(ys, np.int64)
     p = {"embed": rng.normal(0, 0.5, (CLASSES, EMBED)), "out": rng.normal(0, 0.3, (FILTERS * len(WIDTHS), n_labels)), "bias": np.zeros(n_labels)}
     for w in WIDTHS:
         p[f"w{w}"], p[f"b{w}"] = rng.normal(0, 1 / np.sqrt(w * EMBED), (w, EMBED, FILTERS)), np.zeros(FILTERS)
@@ -161,24 +164,38 @@ def _predict(names: list[str], t: dict, text_col: str):
     return run
 
 
+def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        parts = [_windows(t.as_py().encode()) for t in batch.column(2)]
+        yield pa.record_batch([batch.column(0), batch.column(1), pa.array(parts, pa.list_(pa.binary()))], names=["lang", "draw", "parts"])
+
+
+def training_sample(rows: DataFrame) -> DataFrame:
+    """(lang, draw, parts): windows of the SAMPLE distinct texts of each language in ``rows`` (lang, text) with the smallest hashes."""
+    rows = rows.select("lang", F.xxhash64("text").alias("draw"), "text")
+    rank = F.row_number().over(Window.partitionBy("lang").orderBy("draw"))
+    chosen = saved(rows.select("lang", "draw").distinct().withColumn("rank", rank).where(F.col("rank") <= SAMPLE).drop("rank"), "chosen")
+    drawn = rows.join(small(chosen), ["lang", "draw"], "left_semi").mapInArrow(_cut, "lang string, draw long, parts array<binary>")
+    return drawn.groupBy("lang", "draw").agg(F.first("parts").alias("parts"))
+
+
 def predict_languages(docs: DataFrame, learn_from: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
     """Every row of ``docs`` (own columns) with lang_pred and score, learned from ``learn_from`` (text, lang).
 
-    The sample takes, for each of the LANGUAGES most frequent languages, about SAMPLE texts with the
-    smallest hashes (never more than twice that); texts without a language or a letter are left out.
+    Every language is learned, from its SAMPLE distinct texts with the smallest hashes (all if it has
+    fewer; copies count once), each by windows spread over the whole text; texts without a language or
+    a letter are left out.
     A null text, one without a letter, and any text when nothing could be learned, is ``und`` with
     score 0. Whole texts are judged, window by window; rows are judged one by one.
     """
     rows = learn_from.select(F.col(text_col).alias("text"), F.col(lang_col).alias("lang")).where(r"lang is not null and text rlike '\\p{L}'")
-    rows = rows.withColumn("draw", F.pmod(F.xxhash64("text"), F.lit(1 << 30)))
-    sizes = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(LANGUAGES).collect()}
-    names = sorted(sizes)
-    share = F.create_map(*(x for k in names for x in (F.lit(k), F.lit(int(min(1.0, SAMPLE / sizes[k]) * (1 << 30)))))) if names else None
+    drawn = sorted(training_sample(rows).toArrow().to_pylist(), key=lambda r: (r["lang"], r["draw"]))
+    names = sorted({r["lang"] for r in drawn})
     weights = None
     if names:
-        drawn = rows.where(F.col("draw") < F.try_element_at(share, F.col("lang"))).limit(2 * SAMPLE * len(names)).select("text", "lang").toArrow()
-        texts = [t.as_py().encode()[: WINDOW * 64] for t in drawn["text"]]
-        weights = tables(train(texts, [names.index(x.as_py()) for x in drawn["lang"]], len(names)))
+        number = {k: i for i, k in enumerate(names)}
+        pieces = [(part, number[r["lang"]]) for r in drawn for part in r["parts"]]
+        weights = tables(train([x for x, _ in pieces], [y for _, y in pieces], len(names)))
     own = [c for c in docs.columns if c not in ("lang_pred", "score")]
     if weights is None:
         return docs.select(*own, F.lit("und").alias("lang_pred"), F.lit(0.0).alias("score"))

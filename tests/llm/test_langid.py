@@ -32,3 +32,24 @@ def test_odd_rows(request, docs, table):
         has = any(c.isalpha() for c in r.text or "")
         assert (r.lang_pred != "und") == has and 0 <= r.score <= 1
     assert {r.lang_pred for r in langid.predict_languages(df, docs.limit(0)).collect()} <= {"und"}
+
+
+def test_sample_has_distinct_texts_of_every_language(spark, monkeypatch):
+    monkeypatch.setattr(langid, "SAMPLE", 30)
+    rows = [("hot", "one hot text again and again")] * 3000 + [("few", f"zqz xqx jqj qzq {chr(97 + i)}") for i in range(3) for _ in range(1000)]
+    rows += [("many", f"plain words with number {i} " + "and more words " * 40) for i in range(100)] + [(f"l{i:03}", f"a text of language {i}") for i in range(210)]
+    given = spark.createDataFrame(rows, "lang string, text string")
+    drawn = langid.training_sample(given).toPandas()
+    assert drawn.groupby("lang").size().to_dict() == {"hot": 1, "few": 3, "many": 30} | {f"l{i:03}": 1 for i in range(210)}
+
+
+def test_copies_do_not_hide_a_language(spark):
+    few = [("few", f"zqz xqx jqj qzq zxz {x} " * 8) for x in ("jqq", "xzz", "qxj") for _ in range(1500)]
+    other = [("other", f"the plain words of number {i} are here and there ") for i in range(400)]
+    given = spark.createDataFrame([(i, t, x) for i, (x, t) in enumerate(few + other)], "doc_id long, text string, lang string")
+    out = langid.predict_languages(given, given).where("lang = 'few'")
+    assert {r.lang_pred for r in out.select("lang_pred").distinct().collect()} == {"few"}
+
+
+def test_windows_reach_the_end_of_a_long_text():
+    assert langid._windows(b"a" * 100_000 + b"end")[-1].endswith(b"end")
