@@ -10,9 +10,12 @@ from pyspark.sql import functions as F
 from .common import saved, small
 
 DAMPING = 0.85
-ROUNDS = 12
-#: A host without a rule is blocked if it has more than this much distrust, and more of it than of trust.
+#: Rank spreads until what one round adds, over all hosts, is below this share of one seed's mass.
+TOLERANCE = 1e-6
+#: A host without a rule is blocked if it has more distrust than this share of one seed's mass, and more of it than of trust.
 MIN_DISTRUST = 1e-4
+#: Rounds whose additions are kept as separate tables before they are summed.
+FOLD = 16
 _HREF = r"""(?i)\bhref\s*=\s*["']?\s*(https?://[^"'\s>]+)"""
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
@@ -47,21 +50,25 @@ def host_links(pages: DataFrame) -> DataFrame:
     return links.join(total, "src").select("src", "dst", (F.col("n") / F.col("total")).alias("weight"))
 
 
-def personalised_rank(edges: DataFrame, seeds: DataFrame, rounds: int = ROUNDS) -> DataFrame:
-    """(host, rank): rank that starts at ``seeds`` (host, seed; shares that add up to 1) and follows ``edges`` (src, dst, weight).
+def personalised_rank(edges: DataFrame, seeds: DataFrame, tolerance: float = TOLERANCE) -> DataFrame:
+    """(host, rank): every host of ``seeds`` (host) has mass 1 of its own, and DAMPING of a host's rank follows ``edges`` (src, dst, weight).
 
-    Each round adds up the rank that arrives over links (summed before the shuffle) and returns
-    1 - DAMPING, and what hosts without links hold, to the seeds.
+    A seed's mass is 1 however many there are, so ranks do not depend on hosts that no link path joins
+    to a host. Each round adds up what the last round's additions send over links (summed before the
+    shuffle). A round adds at most DAMPING times what the last one added, so the rounds end, and what
+    is left out is below tolerance * DAMPING / (1 - DAMPING) in all.
     """
-    rank = seeds.select("host", F.col("seed").alias("rank"))
-    for _ in range(rounds):
-        flow = edges.join(rank, edges["src"] == rank["host"]).groupBy(F.col("dst").alias("host")).agg(F.sum(F.col("weight") * F.col("rank") * DAMPING).alias("flow"))
-        kept = saved(flow, "flow")
-        back = 1.0 - (kept.agg(F.sum("flow")).first()[0] or 0.0)
-        rank = saved(kept.join(seeds, "host", "full_outer").select("host", (F.coalesce("flow", F.lit(0.0)) + back * F.coalesce("seed", F.lit(0.0))).alias("rank")), "rank")
-        if kept.isEmpty():
-            break
-    return rank
+    added = seeds.select("host", F.lit(1.0).alias("rank"))
+    parts = [added]
+    while True:
+        flow = edges.join(added, edges["src"] == added["host"]).groupBy(F.col("dst").alias("host")).agg(F.sum(F.col("weight") * F.col("rank") * DAMPING).alias("rank"))
+        added = saved(flow, "flow")
+        total = added.agg(F.sum("rank")).first()[0] or 0.0
+        parts.append(added)
+        if total < tolerance or len(parts) > FOLD:
+            parts = [saved(reduce(DataFrame.union, parts).groupBy("host").agg(F.sum("rank").alias("rank")), "rank")]
+        if total < tolerance:
+            return parts[0]
 
 
 def judge_pages(pages: DataFrame, rules: dict[str, str], id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
@@ -70,7 +77,8 @@ def judge_pages(pages: DataFrame, rules: dict[str, str], id_col: str = "page_id"
     The longest rule that fits a url decides; a rule fits its host and subdomains if the path starts
     with the rule's. Elsewhere the host decides: trust spreads along links from hosts that an allow
     rule fits on some page, distrust against them from hosts with a blocked page (who links to a bad
-    host is suspect); a host is blocked if its distrust exceeds MIN_DISTRUST and its trust. Null urls
+    host is suspect), in units of one seed's mass for both; a host is blocked if its distrust exceeds
+    MIN_DISTRUST and its trust, whatever the size of the table. Null urls
     and urls without :// have empty host and path, no rule, and are allowed, as is any host that
     neither reaches. Null html has no links; repeated rows count their links again, which leaves the
     shares as they are; a table without links or seeds spreads nothing.
@@ -84,10 +92,7 @@ def judge_pages(pages: DataFrame, rules: dict[str, str], id_col: str = "page_id"
         if kind == "bad":
             total = graph.groupBy("src").agg(F.sum("weight").alias("total"))
             graph = saved(graph.join(total, "src").select("src", "dst", (F.col("weight") / F.col("total")).alias("weight")), "reversed")
-        chosen = hosts.where(kind)
-        n = chosen.count()
-        seeds = saved(chosen.select("host", F.lit(1.0 / max(n, 1)).alias("seed")), "seeds")
-        ranks.append(personalised_rank(graph, seeds).withColumnRenamed("rank", name))
+        ranks.append(personalised_rank(graph, hosts.where(kind).select("host")).withColumnRenamed("rank", name))
     known = saved(reduce(lambda a, b: a.join(b, "host", "full_outer"), ranks), "ranks")
     out = df.join(small(known), "host", "left").withColumn("m", match)
     trust, distrust = (F.coalesce(c, F.lit(0.0)) for c in ("trust", "distrust"))

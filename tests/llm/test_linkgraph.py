@@ -1,6 +1,6 @@
 from urllib.parse import urlsplit
 
-from fleetlake.llm.linkgraph import judge_pages
+from fleetlake.llm.linkgraph import judge_pages, personalised_rank
 from fleetlake.llm.queries import URL_RULES
 
 
@@ -33,3 +33,22 @@ def test_trust_and_distrust_spread(spark):
 
 def test_empty_table(spark):
     assert judge_pages(spark.createDataFrame([], "page_id long, url string, html string"), URL_RULES).collect() == []
+
+
+def test_verdicts_do_not_depend_on_table_size(spark):
+    page = "page_id long, url string, html string"
+    link = lambda h: f'<a href="http://{h}/x">'
+    rows = [(1, "http://a.com/de/1", ""), (2, "http://a.com/other", ""), (3, "http://near.net/", link("a.com")), (4, "http://good.org/", link("c.net")), (5, "http://c.net/", "")]
+    more = spark.range(12_000).selectExpr("id + 100 AS page_id", "concat('http://h', id, '.com/de/x') AS url", "'' AS html")
+    few = spark.createDataFrame(rows, page)
+    want = {r.page_id: r for r in judge_pages(few, URL_RULES).collect()}
+    got = {r.page_id: r for r in judge_pages(few.union(more), URL_RULES).where("page_id < 100").collect()}
+    assert got == want and [want[i].verdict for i in (1, 2, 3, 4, 5)] == ["block", "block", "block", "allow", "allow"]
+
+
+def test_rank_reaches_far_hosts_and_settles(spark):
+    chain = [(f"h{i}", f"h{i + 1}", 1.0) for i in range(15)]
+    edges = spark.createDataFrame([*chain, ("x", "y", 1.0), ("y", "x", 1.0)], "src string, dst string, weight double").coalesce(1).cache()
+    rank = {r.host: r["rank"] for r in personalised_rank(edges, spark.createDataFrame([("h0", 1.0), ("x", 1.0)], "host string, seed double")).collect()}
+    assert abs(rank["h15"] - 0.85**15) < 1e-9
+    assert abs(rank["x"] - 1 / (1 - 0.85**2)) < 1e-5 and abs(rank["y"] - 0.85 / (1 - 0.85**2)) < 1e-5
