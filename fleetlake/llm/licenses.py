@@ -39,6 +39,8 @@ _TO_WORDS = bytes(c + 32 if 65 <= c <= 90 else c if 48 <= c <= 57 or 97 <= c <=
 _TOKENS = re.compile(r"[()]|[A-Za-z0-9][A-Za-z0-9.+:-]*")
 _TAG_LINE = re.compile(r"spdx-license-identifier:[ \t]*([^\r\n]*)", re.I)
 _BINDS = {"or": 1, "and": 2, "with": 3}
+#: Alternatives of a step that are listed; an expression with more is kept in postfix order. Licences are named in any case.
+ALTERNATIVES = 256
 
 
 def to_postfix(tokens: list[str]) -> list[str] | None:
@@ -73,11 +75,35 @@ def to_postfix(tokens: list[str]) -> list[str] | None:
     return out + stack[::-1]
 
 
-def evaluate(expression: str) -> tuple[list[str], list[list[str]]] | None:
-    """(licences named, alternatives): each alternative lists what must be met together; WITH joins an exception to its licence."""
+def named(postfix: list[str]) -> set[str]:
+    """The licences that a postfix expression names, by one pass; WITH joins each exception to each licence.
+
+    Where that would make more than ALTERNATIVES pairs (no licence statement does), both sides are named unjoined.
+    """
+    stack: list[set[str]] = []
+    for token in postfix:
+        if token not in _BINDS:
+            stack.append({token})
+            continue
+        right, left = stack.pop(), stack.pop()
+        # the smaller set goes into the larger, so that a long chain takes no square time
+        joined = token == "with" and len(left) * len(right) <= ALTERNATIVES
+        small, large = sorted((left, right), key=len)
+        stack.append({f"{x}+{y}" for x in left for y in right} if joined else large)
+        if not joined:
+            large |= small
+    return stack[0]
+
+
+def evaluate(expression: str) -> tuple[list[str], list[list[str]] | None] | None:
+    """(licences named, alternatives): each alternative lists what must be met together; WITH joins an exception to its licence.
+
+    Alternatives are None where a step would list more than ALTERNATIVES; the result is None if the expression is not well formed.
+    """
     postfix = to_postfix(_leading(_TOKENS.findall(expression)))
     if postfix is None:
         return None
+    names = sorted(named(postfix))
     stack: list[set[frozenset[str]]] = []
     for token in postfix:
         if token not in _BINDS:
@@ -86,14 +112,13 @@ def evaluate(expression: str) -> tuple[list[str], list[list[str]]] | None:
         right, left = stack.pop(), stack.pop()
         if token == "or":
             stack.append(left | right)
-        elif len(left) * len(right) > 256:
-            return None  # an expression that is no licence statement
+        elif len(left) * len(right) > ALTERNATIVES:
+            return names, None
         elif token == "and":
             stack.append({a | b for a in left for b in right})
         else:
             stack.append({frozenset(f"{x}+{y}" for x in a for y in b) for a in left for b in right})
-    ways = sorted(sorted(x) for x in stack[0])
-    return sorted({name for way in ways for name in way}), ways
+    return names, sorted(sorted(x) for x in stack[0])
 
 
 def _leading(tokens: list[str]) -> list[str]:
@@ -142,7 +167,8 @@ def _scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 parsed = evaluate(m[1])
                 if parsed:
                     labels.update(parsed[0])
-                    expressions.append(" OR ".join(" AND ".join(way) for way in parsed[1]))
+                    listed = parsed[1] is not None
+                    expressions.append(" OR ".join(" AND ".join(way) for way in parsed[1]) if listed else " ".join(to_postfix(_leading(_TOKENS.findall(m[1])))))
             places = len(ends)
             score = 0.0 if not labels else 1.0 if expressions else places / (places + 1.0)
             rows.append((doc_id, len(words), len(base), min(base, default=None), max(base, default=None), ",".join(sorted(base_labels)), ",".join(sorted(labels)), expressions, score))
@@ -156,7 +182,8 @@ def scan_licenses(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     occurs wherever its words stand consecutively, whatever stands between them, and places may
     overlap. ``n_base`` counts all places of the base phrases; first_word and last_word are the
     smallest and largest word numbers (from 0) at which one starts, null if none. ``labels`` adds other
-    notices and the licences named by identifier tags, whose expressions are listed as alternatives.
+    notices and the licences named by identifier tags, whose expressions are listed as alternatives, or
+    in postfix order where these are too many.
     The score is 1 with a valid tag, 0 without labels, else n / (n + 1) for n places. Null and empty
     texts have no words and empty labels; rows are judged one by one, so repeated rows and ids give
     equal results.

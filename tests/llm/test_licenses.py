@@ -38,3 +38,15 @@ def test_base_places_agree_with_brute_force(request, table):
 def test_tags_add_labels(odd):
     row = scan_licenses(odd).where("doc_id = 11").first()
     assert row.labels == "apache,apache-2.0,bsd-3-clause,cc-by,mit" and row.score == 1.0
+
+
+def test_long_combined_statements_keep_their_licences(spark):
+    tag = " AND ".join(f"(l{i}a OR l{i}b)" for i in range(12))
+    want = sorted(f"l{i}{x}" for i in range(12) for x in "ab")
+    assert evaluate(tag) == (want, None)
+    assert evaluate(tag + " AND MIT WITH exc")[0] == sorted([*want, "mit+exc"])
+    row = scan_licenses(spark.createDataFrame([(1, f"SPDX-License-Identifier: {tag}")], "doc_id long, text string")).first()
+    assert row.labels == ",".join(want) and row.score == 1.0
+    assert row.expressions[0].split().count("and") == 11 and row.expressions[0].split().count("or") == 12
+    odd = evaluate(" WITH ".join(f"(x{i}a OR x{i}b)" for i in range(40)))
+    assert odd[1] is None and len(odd[0]) < 1000 and any("x39b" in x for x in odd[0])
