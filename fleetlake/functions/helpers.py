@@ -4,11 +4,12 @@ from __future__ import annotations
 
 import html
 from collections.abc import Iterator
+from xml.parsers import expat
 
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
-from pyspark.sql.types import DoubleType, StringType
+from pyspark.sql.types import BooleanType, DoubleType, StringType
 
 
 def lcs_length(a: str, b: str) -> int:
@@ -35,6 +36,20 @@ def _all_entities(v: pd.Series) -> pd.Series:
     return v.map(html.unescape, na_action="ignore")
 
 
+def _parses(xml: str | None) -> bool:
+    try:
+        if xml is not None:
+            expat.ParserCreate("utf-8").Parse(xml.encode(), True)
+        return xml is not None
+    except (expat.ExpatError, UnicodeError):
+        return False
+
+
+@F.pandas_udf(BooleanType())
+def well_formed(v: pd.Series) -> pd.Series:
+    return v.map(_parses).astype(bool)
+
+
 def html_unescape(c: Column) -> Column:
     """HTML entities decoded: the five common ones by built-in functions, others only where one is left."""
     plain = c

@@ -7,6 +7,8 @@ import re
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.helpers import well_formed
+
 
 def to_lines(df: DataFrame, text: str = "text") -> DataFrame:
     """(doc_id, line_no, line): lines numbered from 1."""
@@ -127,8 +129,10 @@ def xpath_values(df: DataFrame, expr: str, xml: str = "xml") -> DataFrame:
     """
     last = expr.rsplit("/", 1)[-1]
     path = expr if last.startswith("@") or last.endswith("text()") else f"{expr}/text()"
-    values = F.xpath(F.when(F.col(xml).rlike(r"(?s)^\s*<.*>\s*$"), F.col(xml)), F.lit(path))
-    out = df.select("*", F.explode(values).alias("value"))
+    # Spark's xpath stops the job at XML that does not parse, so that is found first
+    given = df.withColumn("__ok", well_formed(xml))
+    values = F.xpath(F.when(F.col("__ok"), F.col(xml)), F.lit(path))
+    out = given.select("*", F.explode(values).alias("value")).drop("__ok")
     if last.startswith("@"):
         m = re.match(r'@\*\[name\(\)\s*=\s*["\']([^"\']+)', last)
         out = out.withColumn("value", F.concat(F.lit(f'{m[1] if m else last[1:]}="'), "value", F.lit('"')))
