@@ -512,7 +512,7 @@ add("t10_xpath_values", lambda t: lines.xpath_values(t.table("part").select("p_p
 
 def flagship(t: Tables) -> DataFrame:
     """Catalog build to answer: the apps whose sources disagree on the version."""
-    return catalog.scan_drift(t.apps, limit=1000)[0].select("slug", "name", "vendor", "leader", "laggard")
+    return catalog.detect_drift(t.apps).select("slug", "name", "vendor", "leader", "laggard").orderBy("slug")
 
 
 add("flagship_catalog_drift", flagship, DRIFT + f"SELECT slug, name, vendor, {_D} FROM dr WHERE ka <> kb ORDER BY slug LIMIT 1000")
