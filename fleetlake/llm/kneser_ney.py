@@ -1,13 +1,12 @@
 """Quality by perplexity under an interpolated modified Kneser-Ney model of trusted text.
 
-The model predicts a token from the two before it. Tokens are real words, runs of signs, and single
-characters of scripts from U+0800 on (most of these put no spaces between words); there is no fixed
-vocabulary, so the tables grow with the corpus. N-grams go by 64-bit hashes that hold their language.
+The model predicts a character from the ORDER - 1 before it. Characters are real code points, case
+and script kept, without any fixed vocabulary, so the tables grow with the corpus in every script.
 A log-probability is a sum of table values, one for each n-gram and context of a text that the model
-has seen, so model and document counts are two tables that are joined on the hash and summed for
-each text. The hottest HOT n-grams are looked up where the texts are, so that no key of the join is hot.
-
-``ngram_counts``, ``kneser_ney`` and ``_dense`` are the former model over byte classes; only its tests use them.
+has seen. N-grams are counted and modelled as strings in Spark, sharded by (language, n-gram). For
+scoring they go by 64-bit hashes: the hottest HOT n-grams are looked up where the texts are (their
+size is bounded), all others meet the texts' counts in a shuffled join, so no key of the join is hot
+and results don't depend on HOT.
 """
 
 from __future__ import annotations
@@ -18,230 +17,168 @@ from functools import reduce
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import saved, small
-from .textops import U64, mix, span_hashes, text_chunks
+from .textops import U64, mix, text_chunks
 
-ORDER = 4
-BITS = 6
-CELLS = 1 << BITS
+#: Characters of an n-gram.
+ORDER = 6
+#: N-grams that are looked up beside the texts, 12 bytes each; results do not depend on it.
+HOT = 1 << 21
 #: A language's threshold: this quantile of held-out trusted documents' perplexity, times MARGIN.
 QUANTILE = 0.99
 MARGIN = 1.5
-#: Steps of a stored log-probability to the natural unit; rounding evens out over a text.
-STEPS = 16
 #: Bytes below which a text says too little to be rejected.
 MIN_BYTES = 100
+#: Distinct n-grams that a counting task holds before it passes them on.
+HELD = 1_500_000
+#: Stand before and after each text; a text's own U+0002 and U+0003 count as these.
+START, END = 2, 3
+_FACTORS = np.random.default_rng(41).integers(1 << 62, 1 << 63, ORDER, dtype=np.uint64) | U64(1)
 
 
-def _byte_classes() -> np.ndarray:
-    kinds = np.zeros(256, np.uint32)
-    for value, chars in enumerate((" \t\r\v\f", "\n", ".", ",", "'", '"', "-", "!", "?", ":;()[]{}", "#*$%&|<>", "0123456789"), 1):
-        kinds[list(chars.encode())] = value
-    kinds[65:91] = 13
-    kinds[0xC0:] = 14
-    kinds[0x80:0xC0] = 15 + np.arange(64) % 16
-    kinds[list(b"_/\\@=+~^`")] = 31
-    kinds[97:123] = 32 + np.arange(26)
-    return kinds
-
-
-BYTE_CLASSES = _byte_classes()
-
-
-def _grams(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """The gram that ends at each byte (three line ends stand before each text), and the texts' lengths."""
-    size = np.diff(offsets)
-    pad = ORDER - 1
-    line = np.full(len(data) + pad * len(size), 2, np.uint32)
-    at = np.arange(len(data)) + pad * np.repeat(np.arange(1, len(size) + 1), size)
-    line[at] = BYTE_CLASSES[data]
-    gram = line[at]
-    for back in range(1, ORDER):
-        gram |= line[at - back] << np.uint32(BITS * back)
-    return gram, size
-
-
-def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    held: dict[str, list[tuple[np.ndarray, np.ndarray]]] = {}
-
-    def merged(parts):
-        keys, at = np.unique(np.concatenate([p[0] for p in parts]), return_inverse=True)
-        return keys, np.bincount(at, np.concatenate([p[1] for p in parts])).astype(np.int64)
-
-    for batch in batches:
-        langs = np.array(batch.column(0).to_pylist(), object)
-        for row, data, offsets in text_chunks(batch.column(1)):
-            gram, size = _grams(data, offsets)
-            own = langs[row : row + len(size)]
-            for lang in set(own):
-                parts = held.setdefault(lang, [])
-                parts.append(np.unique(gram[np.repeat(own == lang, size)], return_counts=True))
-                if len(parts) > 16:
-                    held[lang] = [merged(parts)]
-    for lang, parts in held.items():
-        keys, counts = merged(parts)
-        yield pa.record_batch([pa.array([lang] * len(keys)), pa.array(keys.astype(np.int32)), pa.array(counts)], names=["lang", "gram", "c"])
+def _lines(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(code points with ORDER starts before and an end after each text, places of the last start and all after it, their texts).
 
+    U+0000 counts as U+FFFD.
+    """
+    lead = (data & 0xC0) != 0x80
+    points = np.frombuffer(data.tobytes().decode("utf-8").encode("utf-32-le"), np.uint32)
+    points = np.where(points == 0, np.uint32(0xFFFD), points)
+    first = np.concatenate(([0], np.cumsum(lead)))[offsets]
+    size = np.diff(first) + 2
+    text = np.repeat(np.arange(len(size)), size)
+    at = np.arange(len(text)) + (ORDER - 1) * (text + 1)
+    line = np.full(len(text) + (ORDER - 1) * len(size), START, np.uint32)
+    own = np.ones(len(text), bool)
+    ends = np.cumsum(size) - 1
+    own[ends] = own[ends - size + 1] = False
+    line[at[own]] = points
+    line[at[ends]] = END
+    return line, at, text
 
-def ngram_counts(texts: DataFrame) -> DataFrame:
-    """(lang, gram, c) of all ``texts`` (lang, text)."""
-    return texts.mapInArrow(_count, "lang string, gram int, c long").groupBy("lang", "gram").agg(F.sum("c").alias("c"))
 
+def _codes(langs: list[str]) -> dict[str, np.uint64]:
+    return {x: U64(int.from_bytes(hashlib.blake2b(x.encode(), digest_size=8).digest(), "little")) for x in set(langs)}
 
-def kneser_ney(counts: DataFrame) -> DataFrame:
-    """(lang, order, gram, p, weight): p of each seen n-gram; weight, of each seen context, is what it leaves to the lower order.
 
-    A row has p or weight; a context's row has the order of the n-grams that follow it. Discounts
-    D1, D2 and D3+ are estimated per language and order from the counts of counts.
-    """
-    tables = {ORDER: counts}
-    for m in range(ORDER - 1, 0, -1):
-        low = tables[m + 1].select("lang", F.col("gram").bitwiseAND((1 << BITS * m) - 1).alias("gram"))
-        tables[m] = saved(low.groupBy("lang", "gram").agg(F.count("*").alias("c")), f"counts{m}")
-    out, lower = None, None
-    for m in range(1, ORDER + 1):
-        t = tables[m].withColumn("ctx", F.shiftright("gram", BITS))
-        n = t.groupBy("lang").agg(*(F.count_if(F.col("c") == k).cast("double").alias(f"n{k}") for k in (1, 2, 3, 4)))
-        y = F.col("n1") / (F.col("n1") + 2 * F.col("n2"))
-        d = [F.least(F.lit(k - 0.05), F.greatest(F.lit(0.05), F.coalesce(k - (k + 1) * y * F.try_divide(F.col(f"n{k + 1}"), F.col(f"n{k}")), F.lit(k / 2)))) for k in (1, 2, 3)]
-        n = n.where("n1 > 0").select("lang", *(x.alias(f"d{k}") for k, x in enumerate(d, 1)))
-        t = t.join(F.broadcast(n), "lang", "left").withColumn("cut", F.when(F.col("c") == 1, F.coalesce("d1", F.lit(0.5))).when(F.col("c") == 2, F.coalesce("d2", F.lit(1.0))).otherwise(F.coalesce("d3", F.lit(1.5))))
-        ctx = t.groupBy("lang", "ctx").agg(F.sum("c").alias("total"), F.sum("cut").alias("freed")).withColumn("weight", F.col("freed") / F.col("total"))
-        p = t.join(ctx, ["lang", "ctx"])
-        if lower is None:
-            p = p.withColumn("low", F.lit(1.0 / CELLS))
-        else:
-            p = p.withColumn("tail", F.col("gram").bitwiseAND((1 << BITS * (m - 1)) - 1)).join(lower.select("lang", F.col("gram").alias("tail"), F.col("p").alias("low")), ["lang", "tail"])
-        p = saved(p.select("lang", "gram", ((F.col("c") - F.col("cut")) / F.col("total") + F.col("weight") * F.col("low")).alias("p")), f"p{m}")
-        rows = p.select("lang", F.lit(m).alias("order"), "gram", "p", F.lit(None).cast("double").alias("weight"))
-        rows = rows.union(ctx.select("lang", F.lit(m), "ctx", F.lit(None).cast("double"), "weight"))
-        out, lower = rows if out is None else out.union(rows), p
-    return out
+def _hash(columns: list[np.ndarray], codes: np.ndarray) -> np.ndarray:
+    """The hash of n-grams given as columns of code points, the last first."""
+    h = codes + U64(len(columns)) * U64(0x9E3779B97F4A7C15)
+    for factor, c in zip(_FACTORS, columns, strict=False):
+        h = h + c.astype(U64) * factor
+    return mix(h)
 
 
-def _dense(order: np.ndarray, gram: np.ndarray, p: np.ndarray, weight: np.ndarray) -> np.ndarray:
-    """-log p of every n-gram of the top order in units of 1 / STEPS, one byte each (16.8 MB a language)."""
-    table = np.full(CELLS, 1.0 / CELLS, np.float32)
-    for m in range(1, ORDER + 1):
-        left = np.ones(CELLS ** (m - 1), np.float32)
-        at = (order == m) & ~np.isnan(weight)
-        left[gram[at]] = weight[at]
-        # context (a, rest) leaves its weight to the lower order's (rest, next)
-        table = (left.reshape(CELLS if m > 1 else 1, -1, 1) * table.reshape(1, -1, CELLS)).reshape(-1)
-        at = (order == m) & ~np.isnan(p)
-        table[gram[at]] = p[at]
-    np.log(table, out=table)
-    table *= -STEPS
-    return np.rint(np.minimum(table, 255, out=table), out=table).astype(np.uint8)
-
-
-#: Words of an n-gram in the token model.
-WORDS = 3
-#: N-grams of the model that are looked up beside the texts instead of in the shuffled join; results do not depend on it.
-HOT = 1 << 16
-_BOS, _EOS, _STEP = U64(0x5BD1E9955BD1E995), U64(0x27D4EB2F165667C5), U64(0x9E3779B97F4A7C15)
-#: 0 gap, 1 letter or digit, 2 sign, 3 first byte of a character that is a token of its own.
-_KINDS = np.zeros(256, np.uint8)
-_KINDS[33:127] = 2
-_KINDS[[*range(48, 58), *range(65, 91), *range(97, 123), *range(0x80, 0xE0)]] = 1
-_KINDS[0xE0:] = 3
-
-
-def token_spans(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Starts and ends of the tokens, none across texts, and each text's first token number."""
-    lead = (data & 0xC0) != 0x80
-    kind = _KINDS[data[np.maximum.accumulate(np.where(lead, np.arange(len(data)), 0))]] if len(data) else np.zeros(0, np.uint8)
-    edge = np.zeros(len(data) + 1, bool)
-    edge[offsets] = True
-    new = np.concatenate(([True], kind[1:] != kind[:-1])) if len(data) else np.zeros(0, bool)
-    new |= edge[:-1] | (data >= 0xE0)
-    starts = np.flatnonzero(new & (kind > 0))
-    after = np.concatenate((new[1:], [True])) if len(data) else new
-    ends = np.flatnonzero(after & (kind > 0)) + 1
-    return starts, ends, np.searchsorted(starts, offsets)
+def _count_grams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    held: list[tuple[np.ndarray, ...]] = []  # hash, count, code points, language
+    names: list[str] = []
 
+    def merged() -> tuple[np.ndarray, ...]:
+        h, c, points, lang = (np.concatenate(x) for x in zip(*held, strict=True))
+        h, first, at = np.unique(h, return_index=True, return_inverse=True)
+        return h, np.bincount(at, c).astype(np.int64), points[first], lang[first]
 
-def _hashes(data: np.ndarray, offsets: np.ndarray, langs: list[str]) -> tuple[list[np.ndarray], np.ndarray, np.ndarray]:
-    """(hashes of the n-grams of 1, 2, 3 tokens that end at each place, place in the text, text number).
+    def rows() -> pa.RecordBatch:
+        _, c, points, lang = merged()
+        grams = np.ascontiguousarray(points).view(f"<U{ORDER}").reshape(-1)
+        return pa.record_batch([pa.array(names).take(pa.array(lang)), pa.array(grams), pa.array(c)], names=["lang", "gram", "c"])
 
-    A text is two starts, its tokens and an end; an n-gram that would begin before is not valid.
-    """
-    starts, ends, first = token_spans(data, offsets)
-    count = np.diff(first)
-    size = count + WORDS
-    begin = np.concatenate(([0], np.cumsum(size)))
-    text = np.repeat(np.arange(len(size)), size)
-    place = np.arange(begin[-1]) - begin[text]
-    words = np.full(begin[-1], _BOS)
-    words[begin[1:] - 1] = _EOS
-    words[(place >= WORDS - 1) & (place < size[text] - 1)] = span_hashes(data, starts, ends)
-    codes = {x: U64(int.from_bytes(hashlib.blake2b(x.encode(), digest_size=8).digest(), "little")) for x in set(langs)}
-    words = mix(words + np.array([codes[x] for x in langs], U64)[text])
-    grams = [words]
-    for _ in range(1, WORDS):
-        grams.append(mix(np.concatenate((grams[-1][:1], grams[-1][:-1])) * _STEP + words))
-    return grams, place, text
-
-
-def _count_tokens(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         langs = batch.column(0).to_pylist()
+        names.extend(sorted(set(langs) - set(names)))
+        number = np.array([names.index(x) for x in langs], np.int32)
+        codes_of = _codes(names)
+        codes = np.array([codes_of[x] for x in names], U64)
         for row, data, offsets in text_chunks(batch.column(1)):
-            own = langs[row : row + len(offsets) - 1]
-            (one, two, three), place, text = _hashes(data, offsets, own)
-            at = np.flatnonzero(place >= WORDS - 1)
-            gram, first, c = np.unique(three[at], return_index=True, return_counts=True)
-            at = at[first]
-            columns = (gram, two[at - 1], two[at], one[at - 1], one[at])
-            yield pa.record_batch([pa.array(own).take(pa.array(text[at])), *(pa.array(x.view(np.int64)) for x in columns), pa.array(c)], names=["lang", "gram", "ctx", "low", "low_ctx", "low_low", "c"])
-
-
-def token_counts(texts: DataFrame) -> DataFrame:
-    """(lang, gram, ctx, low, low_ctx, low_low, c) of all three-token n-grams of ``texts`` (lang, text)."""
-    kind = "lang string, gram long, ctx long, low long, low_ctx long, low_low long, c long"
-    same = (F.first(c).alias(c) for c in ("ctx", "low", "low_ctx", "low_low"))
-    return texts.select("lang", "text").mapInArrow(_count_tokens, kind).groupBy("lang", "gram").agg(*same, F.sum("c").alias("c"))
-
-
-def token_model(counts: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """((gram, value, heat) of all n-grams and contexts seen, (lang, unknown)) from ``token_counts``.
-
-    A token's log-probability is ``unknown``, that of a token never seen, plus the values of the
-    n-grams that end there and of the contexts that end before it. Discounts D1, D2 and D3+ are
-    estimated for each language and order; one share of the lowest order's freed mass is for unknown tokens.
+            line, at, text = _lines(data, offsets)
+            real = line[at] != START
+            at, lang = at[real], number[row + text[real]]
+            h = _hash([line[at - k] for k in range(ORDER)], codes[lang])
+            h, first, c = np.unique(h, return_index=True, return_counts=True)
+            held.append((h, c, line[at[first][:, None] - np.arange(ORDER - 1, -1, -1)], lang[first]))
+            if sum(len(x[0]) for x in held) > HELD:
+                held[:] = [merged()]
+                if len(held[0][0]) > HELD // 2:
+                    yield rows()
+                    held.clear()
+    if held:
+        yield rows()
+
+
+def gram_counts(texts: DataFrame) -> DataFrame:
+    """(lang, gram, c) of all n-grams of ORDER characters of ``texts`` (lang, text)."""
+    return texts.select("lang", "text").mapInArrow(_count_grams, "lang string, gram string, c long").groupBy("lang", "gram").agg(F.sum("c").alias("c"))
+
+
+def gram_model(counts: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """((lang, gram, value, heat) of all n-grams and contexts seen, (lang, unknown)) from ``gram_counts``.
+
+    A character's log-probability is ``unknown``, that of a character never seen, plus the values of
+    the n-grams that end there and of the contexts that end before it. Discounts D1, D2 and D3+ are
+    estimated for each language and order; one share of the lowest order's freed mass is for unknown
+    characters. Counts below the top order are numbers of distinct characters before the n-gram.
     """
-    two = saved(counts.groupBy("lang", F.col("low").alias("gram")).agg(F.first("low_ctx").alias("ctx"), F.first("low_low").alias("low"), F.count("*").alias("c")), "counts2")
-    one = saved(two.groupBy("lang", F.col("low").alias("gram")).agg(F.count("*").alias("c")), "counts1")
+    tables = {ORDER: counts}
+    for m in range(ORDER - 1, 0, -1):
+        tables[m] = saved(tables[m + 1].groupBy("lang", F.substring("gram", 2, m).alias("gram")).agg(F.count("*").alias("c")), f"counts{m}")
     values, lower, unknown = [], None, None
-    for m, t in enumerate((one, two, counts), 1):
+    for m in range(1, ORDER + 1):
+        t = tables[m]
         n = t.groupBy("lang").agg(*(F.count_if(F.col("c") == k).cast("double").alias(f"n{k}") for k in (1, 2, 3, 4)))
         y = F.try_divide(F.col("n1"), F.col("n1") + 2 * F.col("n2"))
         d = [F.least(F.lit(k - 0.05), F.greatest(F.lit(0.05), F.coalesce(k - (k + 1) * y * F.try_divide(F.col(f"n{k + 1}"), F.col(f"n{k}")), F.lit(k / 2)))) for k in (1, 2, 3)]
-        t = t.join(F.broadcast(n.select("lang", *(x.alias(f"d{k}") for k, x in enumerate(d, 1)))), "lang")
-        t = t.withColumn("cut", F.when(F.col("c") == 1, F.col("d1")).when(F.col("c") == 2, F.col("d2")).otherwise(F.col("d3"))).drop("d1", "d2", "d3")
+        n = saved(n.select("lang", *(x.alias(f"d{k}") for k, x in enumerate(d, 1))), "discounts")
+        cut = F.when(F.col("c") == 1, F.col("d1")).when(F.col("c") == 2, F.col("d2")).otherwise(F.col("d3"))
+        t = t.join(F.broadcast(n), "lang").select("lang", "gram", "c", cut.alias("cut"))
         if m == 1:
             all_of = saved(t.groupBy("lang").agg(F.sum("c").alias("total"), (F.sum("cut") / F.sum("c") / (F.count("*") + 1)).alias("low_p")), "unigrams")
             unknown = all_of.select("lang", F.log("low_p").alias("unknown"))
             p = t.join(F.broadcast(all_of), "lang").withColumn("p", (F.col("c") - F.col("cut")) / F.col("total") + F.col("low_p"))
             p = p.withColumn("value", F.log(F.col("p") / F.col("low_p")))
         else:
-            ctx = saved(t.groupBy("ctx").agg(F.sum("c").alias("total"), (F.sum("cut") / F.sum("c")).alias("weight")), f"contexts{m}")
-            values.append(ctx.select(F.col("ctx").alias("gram"), F.log("weight").alias("value"), F.col("total").alias("heat")))
-            p = t.join(ctx, "ctx").join(lower, "low")
+            t = t.withColumns({"ctx": F.substring("gram", 1, m - 1), "low": F.substring("gram", 2, m - 1)})
+            ctx = saved(t.groupBy("lang", "ctx").agg(F.sum("c").alias("total"), (F.sum("cut") / F.sum("c")).alias("weight")), f"contexts{m}")
+            values.append(ctx.select("lang", F.col("ctx").alias("gram"), F.log("weight").alias("value"), F.col("total").alias("heat")))
             base = F.col("weight") * F.col("low_p")
+            p = t.join(ctx, ["lang", "ctx"]).join(lower, ["lang", "low"])
             p = p.withColumn("p", (F.col("c") - F.col("cut")) / F.col("total") + base).withColumn("value", F.log(F.col("p") / base))
-        p = saved(p.select("gram", "p", "value", F.col("c").alias("heat")), f"p{m}")
-        values.append(p.select("gram", "value", "heat"))
-        lower = p.select(F.col("gram").alias("low"), F.col("p").alias("low_p"))
+        p = p.select("lang", "gram", "p", "value", F.col("c").alias("heat"))
+        p = saved(p, f"p{m}") if m < ORDER else p
+        values.append(p.select("lang", "gram", "value", "heat"))
+        lower = p.select("lang", F.col("gram").alias("low"), F.col("p").alias("low_p"))
     every = reduce(DataFrame.union, values)
-    return every.groupBy("gram").agg(F.sum("value").alias("value"), F.max("heat").alias("heat")), unknown
+    return every.groupBy("lang", "gram").agg(F.sum("value").alias("value"), F.max("heat").alias("heat")), unknown
 
 
-def _doc_counts(hot, unknown: dict[str, float]):
-    """(key, gram, c, n, base): the distinct n-grams of a text that are not hot, and a row with c 0, its tokens and its sum so far."""
+def _hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        langs, grams = batch.column(0).to_pylist(), batch.column(1)
+        if not langs:
+            continue
+        codes_of = _codes(langs)
+        codes = np.array([codes_of[x] for x in langs], U64)
+        size = pc.utf8_length(grams).to_numpy()
+        points = np.frombuffer("".join(grams.to_pylist()).encode("utf-32-le"), np.uint32)
+        last = np.cumsum(size) - 1
+        h = np.zeros(len(size), U64)
+        for m in range(1, ORDER + 1):
+            at = np.flatnonzero(size == m)
+            h[at] = _hash([points[last[at] - k] for k in range(m)], codes[at])
+        yield pa.record_batch([pa.array(h.view(np.int64)), batch.column(2), batch.column(3)], names=["gram", "value", "heat"])
+
+
+def hashed_model(model: DataFrame) -> DataFrame:
+    """(gram, value, heat) with the 64-bit hashes that stand for (lang, n-gram) in scoring; heat in steps of an eighth of its power of two."""
+    heat = F.floor(8 * F.log2(F.col("heat"))).cast("int")
+    return model.select("lang", "gram", F.col("value").cast("float"), heat.alias("heat")).mapInArrow(_hashed, "gram long, value float, heat int")
+
+
+def _doc_sums(hot, unknown: dict[str, float], rest: bool):
+    """(key, gram, c, n, base): a row with c 0, a text's characters and its sum over hot n-grams; with ``rest``, also its other distinct n-grams."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known, value = hot.value
@@ -255,45 +192,63 @@ def _doc_counts(hot, unknown: dict[str, float]):
             if not fresh:
                 continue
             batch = batch.take(pa.array(fresh))
-            keys, langs = batch.column(0).to_numpy(), batch.column(1).to_pylist()
+            langs = batch.column(1).to_pylist()
+            codes_of = _codes(langs)
+            codes = np.array([codes_of[x] for x in langs], U64)
+            start = np.array([unknown.get(x, 0.0) for x in langs])
             for row, data, offsets in text_chunks(batch.column(2)):
-                own = langs[row : row + len(offsets) - 1]
-                grams, place, text = _hashes(data, offsets, own)
-                n = np.bincount(text, place >= WORDS - 1, len(own)).astype(np.int64)
-                base = n * np.array([unknown.get(x, 0.0) for x in own])
-                out_key, out_gram, out_c = [keys[row : row + len(own)]], [keys[row : row + len(own)]], [np.zeros(len(own), np.int64)]
-                for m, gram in enumerate(grams):
-                    at = np.flatnonzero(place >= max(m, 1))  # the first start is no context of one token
-                    g, d = gram[at].view(np.int64), text[at]
+                texts = len(offsets) - 1
+                line, at, text = _lines(data, offsets)
+                top, first, back = np.unique(_hash([line[at - k] for k in range(ORDER)], codes[row + text]), return_index=True, return_inverse=True)
+                # the longest n-gram that ends at a place gives all others that end there, so each distinct one is looked up once
+                columns, code = [line[at[first] - k] for k in range(ORDER)], codes[row + text[first]]
+                total, cold = np.zeros(len(top)), []
+                for m in range(1, ORDER + 1):
+                    gram = top if m == ORDER else _hash(columns[:m], code)
+                    is_hot = np.zeros(len(gram), bool)
                     if len(known):
-                        found = np.minimum(np.searchsorted(known, g), len(known) - 1)
-                        is_hot = known[found] == g
-                        base += np.bincount(d[is_hot], value[found[is_hot]], len(own))
-                        g, d = g[~is_hot], d[~is_hot]
-                    order = np.lexsort((g, d))
-                    g, d = g[order], d[order]
-                    first = np.flatnonzero(np.concatenate(([True], (g[1:] != g[:-1]) | (d[1:] != d[:-1])))) if len(g) else np.zeros(0, np.int64)
-                    out_key.append(keys[row + d[first]])
-                    out_gram.append(g[first])
-                    out_c.append(np.diff(np.append(first, len(g))))
-                more = sum(map(len, out_c)) - len(own)
-                columns = [np.concatenate(out_key), np.concatenate(out_gram), np.concatenate(out_c), np.append(n, np.zeros(more, np.int64)), np.append(base, np.zeros(more))]
-                yield pa.record_batch([pa.array(x) for x in columns], names=["key", "gram", "c", "n", "base"])
+                        found = np.minimum(np.searchsorted(known, gram), len(known) - 1)
+                        is_hot = known[found] == gram
+                        total[is_hot] += value[found[is_hot]]
+                    if rest:
+                        cold.append((gram, ~is_hot))
+                n = np.bincount(text, minlength=texts) - 1
+                base = n * start[row : row + texts] + np.bincount(text, total[back], texts)
+                out = [(np.arange(texts), np.zeros(texts, np.int64), np.zeros(texts, np.int64), n.astype(np.int64), base)]
+                for gram, is_cold in cold:
+                    here = np.flatnonzero(is_cold[back])
+                    names, number = np.unique(gram[back[here]], return_inverse=True)
+                    pairs, c = np.unique(text[here] * len(names) + number, return_counts=True)
+                    none = np.zeros(len(pairs), np.int64)
+                    out.append((pairs // max(len(names), 1), names[pairs % max(len(names), 1)].view(np.int64), c.astype(np.int64), none, none.astype(float)))
+                t, *rows = (np.concatenate(x) for x in zip(*out, strict=True))
+                yield pa.record_batch([batch.column(0).take(pa.array(row + t)), *(pa.array(x) for x in rows)], names=["key", "gram", "c", "n", "base"])
 
     return run
 
 
 def perplexities(texts: DataFrame, model: DataFrame, unknown: DataFrame) -> DataFrame:
-    """(key, n_symbols, perplexity) of every distinct key of ``texts`` (key, lang, text); null where the language has no model."""
-    top = model.orderBy(F.desc("heat"), "gram").limit(HOT).select("gram", "value").toArrow()
-    known, value = top["gram"].to_numpy(), top["value"].to_numpy()
+    """(key, n_symbols, perplexity) of every distinct key of ``texts`` (key binary, lang, text) under a saved ``hashed_model``."""
+    heats = sorted(((r["heat"], r["n"]) for r in model.groupBy("heat").agg(F.count("*").alias("n")).collect()), reverse=True)  # some hundred rows
+    least, held = None, 0
+    for heat, n in heats:
+        if held + n > HOT:
+            break
+        least, held = heat, held + n
+    rest = held < sum(n for _, n in heats)
+    hot = model.where(F.lit(False) if least is None else F.col("heat") >= least).select("gram", "value").toArrow()
+    known = hot["gram"].to_numpy().view(U64)
     order = np.argsort(known)
-    hot = texts.sparkSession.sparkContext.broadcast((known[order], value[order]))
+    known, value = known[order], hot["value"].to_numpy()[order]
+    del hot, order
     start = {r["lang"]: r["unknown"] for r in unknown.collect()}
-    counts = texts.select("key", "lang", "text").mapInArrow(_doc_counts(hot, start), "key long, gram long, c long, n long, base double")
-    # the shuffled join: both sides are dealt by the n-gram's hash
-    met = counts.join(model.select("gram", "value").hint("merge"), "gram", "left")
-    sums = met.groupBy("key").agg(F.sum(F.col("base") + F.col("c") * F.coalesce("value", F.lit(0.0))).alias("log"), F.sum("n").alias("n"), F.count_if(F.col("c") == 0).alias("copies"))
+    rows = texts.select("key", "lang", "text").mapInArrow(_doc_sums(texts.sparkSession.sparkContext.broadcast((known, value)), start, rest), "key binary, gram long, c long, n long, base double")
+    log = F.col("base")
+    if rest:  # the shuffled join: both sides are dealt by the n-gram's hash
+        cold = model if least is None else model.where(F.col("heat") < least)
+        rows = rows.join(cold.select("gram", "value").hint("merge"), "gram", "left")
+        log = log + F.col("c") * F.coalesce("value", F.lit(0.0))
+    sums = rows.groupBy("key").agg(F.sum(log).alias("log"), F.sum("n").alias("n"), F.count_if(F.col("c") == 0).alias("copies"))
     return sums.select("key", (F.col("n") / F.col("copies")).cast("long").alias("n_symbols"), F.exp(-F.col("log") / F.col("n")).alias("perplexity"))
 
 
@@ -305,11 +260,13 @@ def perplexity_filter(docs: DataFrame, labels: DataFrame, quantile: float = QUAN
 
     Trusted are the documents with quality 1 and not toxic in ``labels``; of these, ids with crc32 mod
     5 = 0 are held out of the counts and give each language's threshold: the quantile of their
-    perplexity (of those with at least MIN_BYTES bytes), times ``margin``. ``n_symbols`` counts tokens
-    and the end of the text. ``kept`` is false for a text of at least MIN_BYTES bytes whose perplexity
-    exceeds the threshold. Null and empty texts have no symbols; they, and languages without trusted
-    text, have no perplexity and are kept; a null language is a language of its own. A document
-    labelled twice counts once if any label trusts it. Own columns of the four names are replaced.
+    perplexity (of those with at least MIN_BYTES bytes), times ``margin``. ``n_symbols`` counts
+    characters and the end of the text. ``kept`` is false for a text of at least MIN_BYTES bytes whose
+    perplexity exceeds the threshold; a tie is kept. Null and empty texts have no symbols; they, and
+    languages without trusted text, have no perplexity and are kept; a null language is a language of
+    its own. A document labelled twice counts once if any label trusts it. Repeated rows get equal
+    results, an empty table gives no rows. Own columns of the four names are replaced. Texts are known
+    by MD5 of language and text.
     """
     good = labels.where("quality = 1 and doc_id is not null")
     if "toxic" in labels.columns:
@@ -317,18 +274,18 @@ def perplexity_filter(docs: DataFrame, labels: DataFrame, quantile: float = QUAN
     trusted = saved(good.select("doc_id").distinct(), "trusted")
     own = [c for c in docs.columns if c not in _SCORES]
     lang = F.coalesce("lang", F.lit(""))
-    rows = docs.select(*own).withColumns({"_lang": lang, "_key": F.xxhash64(lang, "text"), "_bytes": F.coalesce(F.octet_length("text"), F.lit(0))})
+    key = F.unhex(F.md5(F.concat_ws("\0", lang, "text")))
+    rows = docs.select(*own).withColumns({"_lang": lang, "_key": key, "_bytes": F.coalesce(F.octet_length("text"), F.lit(0))})
     texts = rows.where("_bytes > 0").select("doc_id", F.col("_lang").alias("lang"), F.col("_key").alias("key"), F.col("_bytes").alias("bytes"), "text")
     out_of = F.crc32(F.col("doc_id").cast("string")) % 5 == 0
     good_texts = texts.join(small(trusted), "doc_id", "left_semi")
-    counts = saved(token_counts(good_texts.where(~out_of)), "counts")
-    model, unknown = token_model(counts)
-    model, unknown = saved(model, "model"), saved(unknown, "unknown")
-    scores = perplexities(texts, model, unknown)
-    modelled = texts.select("key", "lang").distinct().join(F.broadcast(unknown), "lang").select("key")
-    scores = saved(scores.join(modelled.withColumn("modelled", F.lit(True)), "key", "left").withColumn("perplexity", F.when(F.col("modelled"), F.col("perplexity"))).drop("modelled"), "scores")
+    model, unknown = gram_model(saved(gram_counts(good_texts.where(~out_of)), f"counts{ORDER}"))
+    model, unknown = saved(hashed_model(model), "model"), saved(unknown, "unknown")
+    modelled = texts.join(F.broadcast(unknown.select("lang")), "lang", "left_semi")
+    scores = saved(perplexities(modelled, model, unknown), "scores")
     held = good_texts.where(out_of).where(F.col("bytes") >= MIN_BYTES).select("key", "lang").join(small(scores), "key")
     limits = saved(held.groupBy("lang").agg((F.percentile_approx("perplexity", quantile, 10_000) * margin).alias("threshold")).withColumnRenamed("lang", "_lang"), "limits")
     out = rows.join(small(scores.withColumnRenamed("key", "_key")), "_key", "left").join(F.broadcast(limits), "_lang", "left")
     rejected = (F.col("perplexity") > F.col("threshold")) & (F.col("_bytes") >= MIN_BYTES)
-    return out.select(*own, F.coalesce("n_symbols", F.lit(0)).alias("n_symbols"), "perplexity", "threshold", (~F.coalesce(rejected, F.lit(False))).alias("kept"))
+    symbols = F.when(F.col("_bytes") > 0, F.length("text") + 1).otherwise(0).cast("long")
+    return out.select(*own, symbols.alias("n_symbols"), "perplexity", "threshold", (~F.coalesce(rejected, F.lit(False))).alias("kept"))
