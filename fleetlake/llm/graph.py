@@ -11,8 +11,9 @@ from .common import saved
 def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     """(node, label): the smallest node that each node of ``edges`` (a, b, both long) reaches.
 
-    Every round takes the smallest label among the neighbours (a grouped minimum, combined before
-    the shuffle, so a node with very many neighbours costs one row per task) and then jumps to that
+    Every round takes the smallest label among the neighbours (a grouped minimum, combined before the
+    shuffle; the join that brings labels to edges deals by node, and adaptive execution splits it where
+    a node has very many neighbours) and then jumps to that
     label's own label, so paths halve. Ends when nothing changes; raises if it has not ended after
     ``max_rounds``, which a path of over 2**max_rounds nodes would need. An empty edge table gives
     an empty result; loops and repeated edges do no harm; rows with a null end are ignored.
