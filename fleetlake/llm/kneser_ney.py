@@ -25,9 +25,9 @@ from .common import saved, small
 from .textops import U64, mix, text_chunks
 
 #: Characters of an n-gram.
-ORDER = 6
+ORDER = 5
 #: N-grams that are looked up beside the texts, 12 bytes each; results do not depend on it.
-HOT = 1 << 21
+HOT = 3 << 20
 #: A language's threshold: this quantile of held-out trusted documents' perplexity, times MARGIN.
 QUANTILE = 0.99
 MARGIN = 1.5
