@@ -5,11 +5,12 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, BinaryType, StringType, StructType
 
-#: Rows up to which a side of a join may be broadcast; callers pass narrow rows only (tens of bytes).
-BROADCAST_ROWS = 500_000
+#: Bytes up to which a side of a join may be broadcast, as estimated by ``row_bytes``.
+BROADCAST_BYTES = 48 << 20
 
 
 def scratch(spark: SparkSession) -> str:
@@ -32,7 +33,21 @@ def saved(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def small(df: DataFrame, array: str | None = None, limit: int = BROADCAST_ROWS) -> DataFrame:
-    """Hint a broadcast if a saved table has at most ``limit`` rows, elements of its array column counted too; else leave the join to a shuffle."""
-    n = df.agg(F.sum(F.size(array) + 1 if array else F.lit(1))).first()[0] or 0
+def row_bytes(schema: StructType) -> Column:
+    """About how many bytes a row takes in a broadcast table; 32 bytes are taken for each string in an array."""
+    total = F.lit(16 + 8 * len(schema))
+    for field in schema:
+        kind, c = field.dataType, F.col(field.name)
+        if isinstance(kind, (StringType, BinaryType)):
+            total += F.coalesce(F.octet_length(c), F.lit(0))
+        elif isinstance(kind, ArrayType):
+            item = kind.elementType
+            each = 16 + 8 * len(item) if isinstance(item, StructType) else 32 if isinstance(item, StringType) else 8
+            total += 16 + each * F.greatest(F.coalesce(F.size(c), F.lit(0)), F.lit(0))
+    return total
+
+
+def small(df: DataFrame, limit: int = BROADCAST_BYTES) -> DataFrame:
+    """Hint a broadcast if a saved table has at most ``limit`` bytes; else leave the join to a shuffle."""
+    n = df.agg(F.sum(row_bytes(df.schema).cast("long"))).first()[0] or 0
     return F.broadcast(df) if n <= limit else df

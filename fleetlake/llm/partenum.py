@@ -350,7 +350,7 @@ def similar_components(docs: DataFrame, n: int = 5, percent: int = 80, id_col: s
     tight = _families(close, classes.select("rep", "h1", "size"), "rep", percent)
     tight = saved(_dealt(saved(tight, "tight"), BLOCK_SETS, BLOCK_FEATURES), "dealt")
     kind = tight.schema["pairs"].dataType.simpleString()
-    found = docs.join(small(tight.select("rep", "h1", "size", "pairs"), "pairs"), docs["id"] == tight["rep"]).select("text", "rep", F.struct("size", "pairs").alias("s"), "h1")
+    found = docs.join(small(tight.select("rep", "h1", "size", "pairs")), docs["id"] == tight["rep"]).select("text", "rep", F.struct("size", "pairs").alias("s"), "h1")
     rows = found.mapInArrow(_features(n), f"rep long, s struct<size:bigint,pairs:{kind}>, payload binary").select("rep", "s.size", "s.pairs", "payload")
     joined = components(saved(_joined(rows, percent, True), "links"))
 

@@ -170,8 +170,9 @@ def _contexts(threshold: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             keys, at = batch.column(0).to_numpy(zero_copy_only=False), batch.column(2)
-            ends = np.asarray(at.offsets) - at.offsets[0].as_py()
-            pos, hs, wit = (x.to_numpy(zero_copy_only=False) for x in at.flatten().flatten())
+            ends = (np.asarray(at.offsets) - at.offsets[0].as_py()) // 2
+            hs, pos = at.flatten().to_numpy(zero_copy_only=False).reshape(-1, 2).T
+            pos, wit = pos >> 1, (pos & 1) > 0
             for row, data, offsets in text_chunks(batch.column(1)):
                 text, out = data.tobytes(), [[] for _ in range(6)]
                 for i in range(len(offsets) - 1):
@@ -346,10 +347,10 @@ def repeated_runs(docs: DataFrame, threshold: int = THRESHOLD, text: str = "text
     rows = saved(docs.mapInArrow(_open_rows(threshold), _OPEN_SQL), "suffixes")
     scan = rows.where("kind < 2").repartition("h").sortWithinPartitions("h", "ctx").mapInArrow(_settle(threshold), _OPEN_SQL)
     scan = saved(scan, "settled")
-    wanted = scan.where("kind > 2").groupBy("key").agg(F.collect_list(F.struct("pos", "h", (F.col("kind") == 4).alias("witness"))).alias("at"))
+    wanted = scan.where("kind > 2").groupBy("key").agg(F.flatten(F.collect_list(F.array("h", F.col("pos") * 2 + (F.col("kind") == 4).cast("long")))).alias("at"))
     wanted = saved(wanted, "wanted")
     holders = docs.join(small(wanted.select("key")), "key", "left_semi")
-    contexts = holders.join(small(wanted, "at"), "key").select("key", "text", "at").mapInArrow(_contexts(threshold), _CONTEXT_SQL)
+    contexts = holders.join(small(wanted), "key").select("key", "text", "at").mapInArrow(_contexts(threshold), _CONTEXT_SQL)
     contexts = saved(contexts, "contexts")
     spans = rows.where("kind = 2").select("key", "lo", "hi").union(scan.where("kind = 2").select("key", "lo", "hi")).union(_refined(contexts, threshold))
     merged = spans.groupBy("key").agg(F.collect_list(F.struct("lo", "hi")).alias("spans"))
@@ -400,7 +401,7 @@ def remove_repeats(docs: DataFrame, threshold: int = THRESHOLD, id_col: str = "d
     own = [c for c in docs.columns if c not in ("n_bytes", "n_removed", "n_spans", "kept_text", "kept_sha256")]
     keyed = docs.select(F.struct(*own).alias("own"), F.xxhash64(id_col, text_col).alias("key"), F.col(text_col).alias("text"))
     runs = repeated_runs(keyed, threshold)
-    joined = keyed.select("own", "key").join(small(runs, "runs"), "key", "left").select("own", "runs")
+    joined = keyed.select("own", "key").join(small(runs), "key", "left").select("own", "runs")
     kind = docs.select(F.struct(*own).alias("own")).schema["own"].dataType.simpleString()
     out = joined.mapInArrow(_cut(text_col), f"own {kind}, n_bytes long, n_removed long, n_spans long, kept_text string, kept_sha256 string")
     return out.select("own.*", "n_bytes", "n_removed", "n_spans", "kept_text", "kept_sha256")
