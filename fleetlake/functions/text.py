@@ -26,7 +26,8 @@ def blank_to_null(c: Column | str) -> Column:
 
 
 def half_even(c: Column | str, digits: int = 2) -> Column:
-    return F.bround(col(c).cast("double"), digits)
+    """The double scaled by 10**digits, rounded to the nearest whole number (ties to even) and scaled back."""
+    return F.rint(col(c).cast("double") * F.lit(10.0**digits)) / F.lit(10.0**digits)
 
 
 def percent_text(c: Column | str) -> Column:
