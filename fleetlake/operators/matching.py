@@ -54,7 +54,9 @@ def similar_names(names: DataFrame, slugs: DataFrame, threshold: float = 85.0) -
 
     Candidates share one of their rarest bigrams. A pair of ratio t has at least (1.5 t - 1)(|a| + |b|) - 1
     bigrams in common, so it is enough to post so many of each side's rarest bigrams that this many can't
-    all lie in the rest. Thresholds up to 66.7 leave no such bound and raise.
+    all lie in the rest; short pairs, for which that number is below one, meet by a character in common.
+    Thresholds up to 66.7 leave no such bound and raise. Candidates are cut down by the edit distance,
+    which never exceeds the indel distance, before the ratio is taken.
     """
     t = threshold / 100
     if t <= 2 / 3:
@@ -70,8 +72,11 @@ def similar_names(names: DataFrame, slugs: DataFrame, threshold: float = 85.0) -
         ranked = grams(df, c).join(count, "g", "left").withColumn("r", F.row_number().over(order))
         return ranked.where(F.col("r") <= F.length(c) - 1 - shared + 1).select(c, "g")
 
-    pairs = rare(names, "name").join(rare(slugs, "slug"), "g").select("name", "slug").distinct()
-    pairs = pairs.where(2 * F.least(F.length("name"), F.length("slug")) >= t * (F.length("name") + F.length("slug")) - 1e-9)
+    short = lambda df, c: df.where(F.length(c) * (1.5 * t - 1) < 1).select(c, F.explode(F.array_distinct(F.split(c, ""))).alias("g"))
+    both = F.length("name") + F.length("slug")
+    near = (2 * F.least(F.length("name"), F.length("slug")) >= t * both - 1e-9) & (F.levenshtein("name", "slug") <= (1 - t) * both + 1e-9)
+    pairs = rare(names, "name").join(rare(slugs, "slug"), "g").union(short(names, "name").join(short(slugs, "slug"), "g"))
+    pairs = pairs.where(near).select("name", "slug").distinct()
     equal = names.join(slugs, names["name"] == slugs["slug"]).select("name", "slug", F.lit(100.0).alias("ratio"))
     scored = pairs.where("name <> slug").select("name", "slug", indel_ratio("name", "slug").alias("ratio")).where(F.col("ratio") >= threshold)
     best = equal.union(scored).groupBy("name").agg(F.min(F.struct((-F.col("ratio")).alias("r"), "slug")).alias("b"))

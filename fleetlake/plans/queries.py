@@ -404,7 +404,7 @@ add("f09_unmatched", lambda t: matching.unmatched(t.titles, _names(t), matching.
     MATCH + "SELECT title_id, coalesce(app_name, '') AS app_names FROM titles LEFT JOIN title_app_names USING (title_id) WHERE title_id NOT IN (SELECT title_id FROM m)")
 add("f10_match_titles", lambda t: matching.match_titles(t.titles, _names(t), t.apps, catalog.code_index(t.apps, t.standin("catalog_title_rows"))))
 add("f11_candidate_apps", lambda t: matching.candidate_apps(t.apps, ["installomator", "autopkg"]).select("slug"), APPS + "SELECT slug FROM apps WHERE is_label")
-add("h01_indel_ratio", lambda t: matching.similar_names(t.table("part").select(F.lower("p_name").alias("name")), t.table("part").where("p_partkey % 2 = 0").select(F.lower("p_name").alias("slug")), 80.0))
+add("h01_indel_ratio", lambda t: matching.similar_names(t.table("part").selectExpr("lower(p_name || ' ' || p_size) AS name"), t.table("part").select(x.normalize_name(F.concat("p_name", "p_size")).alias("slug")), 80.0))
 
 # --- labels ----------------------------------------------------------------------------------------
 

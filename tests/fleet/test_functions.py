@@ -11,6 +11,8 @@ from fleetlake.functions import helpers
 from fleetlake.functions import text as x
 from fleetlake.functions.versions import parse_version
 from fleetlake.operators import lines, matching
+from fleetlake.plans import queries
+from fleetlake.plans.standins import Tables
 
 WORDS = st.text("abcd ", max_size=14)
 
@@ -31,22 +33,41 @@ def test_lcs(a, b):
     assert helpers.lcs_length(a, b) == plain_lcs(a, b)
 
 
-def test_blocking_loses_no_pair(spark):
+@pytest.mark.parametrize("threshold", [85, 80, 70])
+def test_blocking_loses_no_pair(spark, threshold):
     draw = random.Random(4)
-    base = ["".join(draw.choices("abcdefgh12", k=draw.randint(1, 12))) for _ in range(60)]
+    base = ["ab", "xyz", *("".join(draw.choices("abcdefgh12", k=draw.randint(1, 12))) for _ in range(60))]
     edited = [s[:i] + draw.choice(["", "z", "a"]) + s[i + draw.randint(0, 1) :] for s in base for i in (draw.randint(0, len(s)),)]
-    names, slugs = sorted(set(edited + base[:10])), sorted(set(base))
+    names, slugs = sorted(set([*edited, *base[:10], "aXb", "yz"])), sorted(set(base))
     want = {}
     for n in names:
         best = min(((-200.0 * plain_lcs(n, s) / (len(n) + len(s)), s) for s in slugs if n or s), default=None)
-        if best and -best[0] >= 85:
+        if best and -best[0] >= threshold:
             want[n] = best[1]
-    got = matching.similar_names(spark.createDataFrame([(n,) for n in names], "name string"), spark.createDataFrame([(s,) for s in slugs], "slug string"))
+    got = matching.similar_names(spark.createDataFrame([(n,) for n in names], "name string"), spark.createDataFrame([(s,) for s in slugs], "slug string"), threshold)
     assert {r.name: r.slug for r in got.collect()} == want
     with pytest.raises(ValueError):
         matching.similar_names(got, got, 60)
 
 
+def best_slug(name, slugs, threshold=85):
+    best = min(((-200.0 * helpers.lcs_length(name, s) / (len(name) + len(s)), s) for s in slugs if name or s), default=None)
+    return best[1] if best and -best[0] >= threshold else None
+
+
+def test_registered_fuzzy_matches_agree_with_all_pairs(spark):
+    """f05 and f06 on the smallest table against every pair."""
+    t = Tables(spark, "/root/testdata/sf0.001")
+    run = queries.queries()
+    slugs = {r.slug for r in queries._slugs(t).select("slug").collect()}
+    want = {(r.title_id, s) for r in queries._names(t).collect() if (s := best_slug(r.app_name.lower(), slugs))}
+    assert {(r.title_id, r.slug) for r in run["f05_match_fuzzy"](spark, "/root/testdata/sf0.001").collect()} == want
+    flat = lambda x: "".join(c for c in (x or "").lower() if c in "abcdefghijklmnopqrstuvwxyz0123456789")
+    slugs = {flat(r.name) for r in t.casks.collect()}
+    want = {(r.title_id, n if n in slugs else s) for r in t.titles.collect() if (n := flat(r.title)) and (n in slugs or (s := best_slug(n, slugs)))}
+    assert {(r.title_id, r.slug) for r in run["f06_second_pass"](spark, "/root/testdata/sf0.001").collect()} == want
+
+
 def test_versions_order_like_pep_440(spark):
     given_ = ["1.0", "1.0.0", "1.0a1", "1.0.dev3", "1.0b2", "1.0rc1", "1.0c2", "1.0.post1", "1.0-1", "1.0+local.2", "1.0+local.10", "v2", "1!0.1", "4.32", "4.32.0", "1.0a1.dev2", "1.0.post1.dev1", "x", "", "latest", "1..2", "0", "1.10", "1.9", "2024.01.05", "1.0alpha", "1.0-preview-3", "1.0r4"]
     rows = spark.createDataFrame([(i, v) for i, v in enumerate(given_)], "i int, v string").select("i", "v", parse_version(F.col("v")).alias("k"))
