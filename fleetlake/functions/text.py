@@ -30,6 +30,14 @@ def half_even(c: Column | str, digits: int = 2) -> Column:
     return F.rint(col(c).cast("double") * F.lit(10.0**digits)) / F.lit(10.0**digits)
 
 
+def mean_of_hundredths(c: Column | str) -> Column:
+    """An aggregate: the mean of values of at most two decimals, exact in whole hundredths, ties to even; so the order of rows does not matter."""
+    total, n = F.sum(F.round(col(c) * 100).cast("long")), F.count(col(c))
+    whole, rest = F.floor(F.abs(total) / n), F.abs(total) % n
+    up = (2 * rest > n) | ((2 * rest == n) & (whole % 2 == 1))
+    return F.when(n > 0, F.signum(total) * (whole + up.cast("long")) / 100)
+
+
 def percent_text(c: Column | str) -> Column:
     """'12.50%', rounded half-even."""
     return F.concat(half_even(c).cast("decimal(18,2)").cast("string"), F.lit("%"))

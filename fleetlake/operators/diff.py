@@ -9,7 +9,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.text import half_even
+from ..functions.text import half_even, mean_of_hundredths
 
 COMPARED = ("completion_percent", "hosts_patched", "total_hosts", "latest_version")
 
@@ -108,6 +108,6 @@ def diff_summary(frm: DataFrame, to: DataFrame, ord: str = "title") -> DataFrame
     return j.agg(
         F.coalesce(F.sum("f_n"), F.lit(0)).alias("from_rows"), F.coalesce(F.sum("t_n"), F.lit(0)).alias("to_rows"),
         F.coalesce(F.sum(F.when(F.col("f_n").isNull(), F.col("t_n"))), F.lit(0)).alias("added"), F.coalesce(F.sum(F.when(F.col("t_n").isNull(), F.col("f_n"))), F.lit(0)).alias("removed"),
-        F.count_if(differs).alias("changed"), F.count_if(both & ~differs).alias("unchanged"), half_even(F.avg(delta)).alias("avg_delta"),
+        F.count_if(differs).alias("changed"), F.count_if(both & ~differs).alias("unchanged"), mean_of_hundredths(delta).alias("avg_delta"),
         F.count_if(differs & ~F.col("f.latest_version").eqNullSafe(F.col("t.latest_version"))).alias("version_bumps"),
     )

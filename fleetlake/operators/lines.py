@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -24,10 +25,15 @@ def _pattern(pattern: str, ignore_case: bool) -> str:
     return f"(?i){pattern}" if ignore_case else pattern
 
 
-def grep(lines: DataFrame, pattern: str, ignore_case: bool = False, only: bool = False, invert: bool = False) -> DataFrame:
-    """Lines that match (or not); with ``only``, each match as a line of its own, numbered line.match in ``line_no``/``match_no``."""
+def grep(lines: DataFrame, pattern: str, ignore_case: bool = False, only: bool = False, invert: bool = False, every: bool = False) -> DataFrame:
+    """Lines that match (or not); with ``only``, the first match of each such line instead of the line.
+
+    With ``every``, each match that is not empty is a line of its own, numbered in ``match_no`` from 0.
+    """
     p = _pattern(pattern, ignore_case)
-    if only and not invert:
+    if only and not invert and not every:
+        return lines.where(F.col("line").rlike(p)).withColumn("line", F.regexp_extract("line", p, 0))
+    if every and not invert:
         found = lines.select("doc_id", "line_no", F.posexplode(F.regexp_extract_all("line", F.lit(p), 0)).alias("match_no", "line"))
         return found.where("line <> ''").select("doc_id", "line_no", "match_no", "line")
     hit = F.col("line").rlike(p)
@@ -54,19 +60,20 @@ def _ranges(fields: str) -> list[tuple[int, int | None]]:
     return out
 
 
-def cut(lines: DataFrame, delimiter: str, fields: str) -> DataFrame:
-    """The 1-based fields of a list like '1,3-4,6-', joined again; lines without the delimiter stay whole, fields beyond the last are left out."""
-    parts = F.split("line", re.escape(delimiter))
-    wanted = _ranges(fields)
-    inside = lambda i: [(i >= a) & (i <= b if b is not None else F.lit(True)) for a, b in wanted]
+def cut(lines: DataFrame, delimiter: str, fields: str, posix: bool = False) -> DataFrame:
+    """The 1-based fields of a list like '3,1,4-6,8-' in the order asked for, joined again; fields beyond the last are left out.
 
-    def any_of(i: Column) -> Column:
-        out = F.lit(False)
-        for c in inside(i):
-            out = out | c
-        return out
-
-    kept = F.filter(parts, lambda _, i: any_of(i + 1))
+    A line without the delimiter is one field. With ``posix`` fields come once, in the order of the
+    line, and a line without the delimiter stays whole.
+    """
+    parts, wanted = F.split("line", re.escape(delimiter)), _ranges(fields)
+    if not posix:
+        from_one = [(max(a, 1), b) for a, b in wanted if b is None or b >= max(a, 1)]
+        taken = [F.slice(parts, F.lit(a), F.lit(b - a + 1) if b is not None else F.size(parts)) for a, b in from_one]
+        joined = F.array_join(F.concat(F.array().cast("array<string>"), *taken), delimiter)
+        return lines.withColumn("line", F.when(F.col("line").isNotNull(), joined))
+    inside = lambda i: reduce(Column.__or__, [(i >= a) & (i <= b if b is not None else F.lit(True)) for a, b in wanted])
+    kept = F.filter(parts, lambda _, i: inside(i + 1))
     return lines.withColumn("line", F.when(F.col("line").contains(delimiter), F.array_join(kept, delimiter)).otherwise(F.col("line")))
 
 

@@ -7,14 +7,14 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.text import floor_days, half_even, percent_text, released_at
+from ..functions.text import floor_days, half_even, mean_of_hundredths, percent_text, released_at
 
 
 def patch_adoption(snaps: DataFrame) -> DataFrame:
     """(title, completion_percent, released): mean completion as text and the latest release date of each title."""
     return (
         snaps.where("title is not null").groupBy("title")
-        .agg(F.avg("completion_percent").alias("mean"), F.max(released_at("released")).alias("last"))
+        .agg(mean_of_hundredths("completion_percent").alias("mean"), F.max(released_at("released")).alias("last"))
         .select("title", percent_text("mean").alias("completion_percent"), F.date_format("last", "yyyy-MM-dd").alias("released"))
     )
 
@@ -27,7 +27,7 @@ def release_frequency(snaps: DataFrame) -> DataFrame:
 def completion_trends(snaps: DataFrame) -> DataFrame:
     """(released, title, completion_percent): mean completion for each release date and title."""
     df = snaps.select(released_at("released").alias("at"), "title", "completion_percent").where("at is not null and title is not null")
-    return df.groupBy("at", "title").agg(F.avg("completion_percent").alias("mean")).select(F.date_format("at", "yyyy-MM-dd").alias("released"), "title", percent_text("mean").alias("completion_percent"))
+    return df.groupBy("at", "title").agg(mean_of_hundredths("completion_percent").alias("mean")).select(F.date_format("at", "yyyy-MM-dd").alias("released"), "title", percent_text("mean").alias("completion_percent"))
 
 
 def _crossings(snaps: DataFrame, threshold: float) -> DataFrame:

@@ -34,6 +34,9 @@ def cte(*names: str) -> str:
 
 NORM = "regexp_replace(lower(coalesce({0}, '')), '[^a-z0-9]+', '', 'g')"
 norm = NORM.format
+#: The mean of hundredths, exact and so independent of the order of rows; ties to even.
+_S, _N = "abs(sum(CAST(round(100 * {0}) AS BIGINT)))", "count({0})"
+MEAN = f"(sign(sum(round(100 * {{0}}))) * ({_S} // {_N} + CASE WHEN 2 * ({_S} % {_N}) > {_N} OR (2 * ({_S} % {_N}) = {_N} AND ({_S} // {_N}) % 2 = 1) THEN 1 ELSE 0 END) / 100.0::DOUBLE)"
 PCT = "printf('%.2f', round_even({0}, 2)) || '%'"
 TITLE_COLS = ("title", "title_id", "released", "hosts_patched", "missing_patch", "total_hosts", "completion_percent", "latest_version")
 T_SQL = ", ".join(TITLE_COLS)
@@ -217,10 +220,10 @@ def s_query(name: str, plan: Callable[[DataFrame], DataFrame], sql: str) -> None
     add(name, lambda t: plan(t.snapshots), f"WITH {SNAPSHOTS}\n{sql}")
 
 
-_ADOPT = f"SELECT title, {PCT.format('avg(completion_percent)')} AS completion_percent, strftime(max(day), '%Y-%m-%d') AS released FROM snaps GROUP BY 1"
+_ADOPT = f"SELECT title, {PCT.format(MEAN.format('completion_percent'))} AS completion_percent, strftime(max(day), '%Y-%m-%d') AS released FROM snaps GROUP BY 1"
 s_query("c01_patch_adoption", trends.patch_adoption, _ADOPT)
 s_query("c02_release_frequency", trends.release_frequency, "SELECT title, count(DISTINCT day) AS release_count FROM snaps GROUP BY 1")
-s_query("c03_completion_trends", trends.completion_trends, f"SELECT strftime(day, '%Y-%m-%d') AS released, title, {PCT.format('avg(completion_percent)')} AS completion_percent FROM snaps GROUP BY day, title")
+s_query("c03_completion_trends", trends.completion_trends, f"SELECT strftime(day, '%Y-%m-%d') AS released, title, {PCT.format(MEAN.format('completion_percent'))} AS completion_percent FROM snaps GROUP BY day, title")
 _DAYS = "floor(epoch(snapshot_ts - day) / 86400)"
 s_query("c04_time_to_patch", trends.time_to_patch, f"SELECT title, round_even(avg({_DAYS}), 2) AS avg_days, count(*) AS sample_size, 80.0::DOUBLE AS threshold FROM snaps WHERE completion_percent >= 80 AND day IS NOT NULL GROUP BY 1")
 s_query("c04_first_crossing", lambda s: trends.time_to_patch(s, 80.0, first_crossing_only=True), f"SELECT title, min_by({_DAYS}, snapshot_ts)::DOUBLE AS avg_days, 1::BIGINT AS sample_size, 80.0::DOUBLE AS threshold FROM snaps WHERE completion_percent >= 80 AND day IS NOT NULL GROUP BY 1")
@@ -256,8 +259,8 @@ add("d06_added", lambda t: diff.added(*_pair(t)).select("title_id", "title"), PA
 add("d07_removed", lambda t: diff.removed(*_pair(t)).select("title_id", "title"), PAIR + "SELECT title_id, title FROM f WHERE title_id NOT IN (SELECT title_id FROM t)")
 add("d08_changed", lambda t: diff.changed(*_pair(t)).select(*_CH), PAIR + f"SELECT {', '.join(_CH)} FROM ch")
 add("d09_version_bumps", lambda t: diff.version_bumps(diff.changed(*_pair(t))).select("title_id", "to_latest_version"), PAIR + "SELECT title_id, to_latest_version FROM ch WHERE version_changed")
-add("d10_diff_summary", lambda t: diff.diff_summary(*_pair(t)).withColumn("avg_delta", F.round("avg_delta", 1)), PAIR + """SELECT (SELECT count(*) FROM f) AS from_rows, (SELECT count(*) FROM t) AS to_rows, (SELECT count(*) FROM t ANTI JOIN f USING (title_id)) AS added, (SELECT count(*) FROM f ANTI JOIN t USING (title_id)) AS removed,
- count(*) AS changed, (SELECT count(*) FROM f JOIN t USING (title_id)) - count(*) AS unchanged, round(round_even(avg(delta), 2), 1) AS avg_delta, count(*) FILTER (version_changed) AS version_bumps FROM ch""")
+add("d10_diff_summary", lambda t: diff.diff_summary(*_pair(t)), PAIR + f"""SELECT (SELECT count(*) FROM f) AS from_rows, (SELECT count(*) FROM t) AS to_rows, (SELECT count(*) FROM t ANTI JOIN f USING (title_id)) AS added, (SELECT count(*) FROM f ANTI JOIN t USING (title_id)) AS removed,
+ count(*) AS changed, (SELECT count(*) FROM f JOIN t USING (title_id)) - count(*) AS unchanged, {MEAN.format('delta')} AS avg_delta, count(*) FILTER (version_changed) AS version_bumps FROM ch""")
 
 # --- OS compliance ---------------------------------------------------------------------------------
 
@@ -491,11 +494,13 @@ def l_query(name: str, plan: Callable[[DataFrame], DataFrame], sql: str) -> None
 l_query("t01_to_lines", lambda df: df, "SELECT doc_id, line_no, line FROM lines")
 add("t01_from_lines", lambda t: lines.from_lines(lines.to_lines(t.table("documents"))), "SELECT doc_id, text FROM documents WHERE text IS NOT NULL")
 l_query("t02_grep", lambda df: lines.grep(df, "license|the [a-f]+ing", ignore_case=True), "SELECT doc_id, line_no, line FROM lines WHERE regexp_matches(line, '(?i)license|the [a-f]+ing')")
-l_query("t02_grep_only", lambda df: lines.grep(df, "[0-9]{3,}", only=True), "SELECT doc_id, line_no, CAST(generate_subscripts(m, 1) - 1 AS INT) AS match_no, unnest(m) AS line FROM (SELECT *, regexp_extract_all(line, '[0-9]{3,}') AS m FROM lines)")
+l_query("t02_grep_only", lambda df: lines.grep(df, "[0-9]{3,}", only=True, every=True), "SELECT doc_id, line_no, CAST(generate_subscripts(m, 1) - 1 AS INT) AS match_no, unnest(m) AS line FROM (SELECT *, regexp_extract_all(line, '[0-9]{3,}') AS m FROM lines)")
+l_query("t02_grep_first", lambda df: lines.grep(df, "[0-9]+|the", only=True), "SELECT doc_id, line_no, regexp_extract(line, '[0-9]+|the') AS line FROM lines WHERE regexp_matches(line, '[0-9]+|the')")
 l_query("t02_grep_invert", lambda df: lines.grep(df, "e", invert=True), "SELECT doc_id, line_no, line FROM lines WHERE line NOT LIKE '%e%'")
 l_query("t03_head", lambda df: lines.head(df, 3), "SELECT doc_id, line_no, line FROM lines WHERE line_no <= 3")
 l_query("t03_tail", lambda df: lines.tail(df, 2), "SELECT doc_id, line_no, line FROM lines QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY line_no DESC) <= 2")
-l_query("t04_cut", lambda df: lines.cut(df, " ", "2,4-5,8-"), "SELECT doc_id, line_no, CASE WHEN line LIKE '% %' THEN array_to_string(list_filter(string_split(line, ' '), lambda w, i: i = 2 OR i IN (4, 5) OR i >= 8), ' ') ELSE line END AS line FROM lines")
+l_query("t04_cut", lambda df: lines.cut(df, " ", "2,4-5,8-", posix=True), "SELECT doc_id, line_no, CASE WHEN line LIKE '% %' THEN array_to_string(list_filter(string_split(line, ' '), lambda w, i: i = 2 OR i IN (4, 5) OR i >= 8), ' ') ELSE line END AS line FROM lines")
+l_query("t04_cut_asked_order", lambda df: lines.cut(df, " ", "3,1-2,3"), "SELECT doc_id, line_no, array_to_string(list_filter([w[3], w[1], w[2], w[3]], lambda x: x IS NOT NULL), ' ') AS line FROM (SELECT *, string_split(line, ' ') AS w FROM lines)")
 l_query("t05_awk_field", lambda df: lines.awk_field(df, 3), "SELECT doc_id, line_no, coalesce(string_split(trim(regexp_replace(line, '[ \\t\\n\\v\\f\\r]+', ' ', 'g')), ' ')[3], '') AS line FROM lines")
 l_query("t06_sed_first", lambda df: lines.sed_sub(df, "([a-z]+)ing", r"<\1>&$"), "SELECT doc_id, line_no, regexp_replace(line, '([a-z]+)ing', '<\\1>\\0$') AS line FROM lines")
 l_query("t06_sed_all", lambda df: lines.sed_sub(df, "([aeiou])([rst])", r"\2\1", all_matches=True), "SELECT doc_id, line_no, regexp_replace(line, '([aeiou])([rst])', '\\2\\1', 'g') AS line FROM lines")
