@@ -23,7 +23,7 @@ def os_compliance(devices: DataFrame, latest: DataFrame) -> DataFrame:
     """One title row for each major version of the feed that some device runs: on the latest release, or not."""
     feed = latest.groupBy(F.split_part("os_version", F.lit("."), F.lit(1)).alias("major")).agg(F.max_by(F.struct("product_version", "release_date"), "ord").alias("l"))
     runs = devices.select(F.split_part("os_version", F.lit("."), F.lit(1)).alias("major"), "os_version").groupBy("major", "os_version").agg(F.count("*").alias("n"))
-    j = runs.join(F.broadcast(feed), "major")  # a row for each major version of an OS
+    j = runs.join(feed, "major")
     on = F.col("os_version") == F.col("l.product_version")
     out = j.groupBy("major").agg(F.first("l").alias("l"), F.sum(F.when(on, F.col("n")).otherwise(0)).alias("hosts_patched"), F.sum(F.when(on, 0).otherwise(F.col("n"))).alias("missing_patch"))
     out = out.select(F.concat(F.lit("iOS "), F.col("l.product_version")).alias("title"), F.lit("iOS").alias("title_id"), F.col("l.release_date").alias("released"), "hosts_patched", "missing_patch", F.col("l.product_version").alias("latest_version"))

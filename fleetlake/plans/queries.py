@@ -118,6 +118,19 @@ add(
     "a10_device_reports", lambda t: hydrate.device_rows(_device_source(t)).groupBy("title_id").agg(F.count("*").alias("devices"), F.count("building_name").alias("with_building"), F.max("last_contact_time").alias("last_contact")),
     cte("devices") + "SELECT title_id, count(*) AS devices, count(nullif(building_name, '')) AS with_building, max(last_contact_time) AS last_contact FROM devices GROUP BY 1",
 )
+
+
+def _device_csv(t: Tables) -> DataFrame:
+    """Device reports as CSV files, a folder for each site, read back."""
+    path = storage.shared_path(t.spark, "devices")
+    _device_source(t).withColumn("title_id", F.col("siteName")).write.partitionBy("title_id").option("header", "true").csv(path)
+    return hydrate.read_device_reports(t.spark, path)
+
+
+add(
+    "a10_device_csv", lambda t: _device_csv(t).groupBy("title_id").agg(F.count("*").alias("devices"), F.count("building_name").alias("with_building"), F.max("last_contact_time").alias("last_contact"), F.max("device_id").alias("last_device")),
+    cte("devices") + "SELECT site_name AS title_id, count(*) AS devices, count(nullif(building_name, '')) AS with_building, max(last_contact_time) AS last_contact, max(device_id) AS last_device FROM devices GROUP BY 1",
+)
 add(
     "a11_app_names_from_definitions",
     lambda t: hydrate.app_names_from_definitions(t.standin("title_app_names").select("title_id", F.array(F.struct(F.array(F.struct(F.col("app_name").alias("appName")), F.struct(F.lit(" ").alias("appName"))).alias("killApps"))).alias("results"))).select("title_id", F.array_join("app_names", "|").alias("app_names")),
@@ -129,6 +142,15 @@ add(
 )
 
 
+def _titles_ndjson(t: Tables) -> DataFrame:
+    path = storage.shared_path(t.spark, "titles")
+    hydrate.write_titles_ndjson(t.titles.select("title_id", "title", "hosts_patched", "completion_percent"), path)
+    return t.spark.read.schema("title_id string, title string, hosts_patched long, completion_percent double").json(path)
+
+
+add("a12_titles_ndjson", _titles_ndjson, f"WITH {TITLES}\nSELECT title_id, title, hosts_patched, completion_percent FROM titles")
+
+
 def _cask_feed(t: Tables) -> DataFrame:
     j = F.to_json(F.struct(F.when(F.col("ord") % 7 > 0, F.col("token")).alias("token"), F.array("name").alias("name"), "url", "version"))
     return t.casks.select("ord", F.when(F.col("ord") % 5 == 0, F.regexp_replace(j, r"\[(\"[^\"]*\")\]", "$1")).otherwise(j).alias("record"))
@@ -276,7 +298,9 @@ os AS (SELECT 'iOS ' || latest AS title, 'iOS' AS title_id, 'Oct 01 2001' AS rel
  round_even(100.0::DOUBLE * count(*) FILTER (os_version = latest) / count(*), 2) AS completion_percent, latest AS latest_version FROM ios_devices JOIN feed ON major = split_part(os_version, '.', 1) GROUP BY latest)
 """
 _IOS = _IOS.replace("\n, feed", ", feed")
-add("e01_flatten_os_feed", lambda t: _feed(t).select("os_version", "product_version"), "SELECT * FROM (VALUES ('15', '15.0.1'), ('16', '16.2.1'), ('17', '17.5.1'), ('44', '44.0.1')) v(os_version, product_version)")
+_seen = lambda t: t.standin("ios_devices").groupBy(F.split_part("os_version", F.lit("."), F.lit(1)).alias("OSVersion")).agg(F.struct(F.max("os_version").alias("ProductVersion"), F.lit("2001-10-01T00:00:00Z").alias("ReleaseDate")).alias("Latest"))
+add("e01_flatten_os_feed", lambda t: compliance.flatten_os_feed(_seen(t).agg(F.array_sort(F.collect_list(F.struct("OSVersion", "Latest"))).alias("OSVersions"))).select("ord", "os_version", "product_version"),
+    cte("ios_devices") + "SELECT CAST(row_number() OVER (ORDER BY os_version) - 1 AS INT) AS ord, os_version, product_version FROM (SELECT split_part(os_version, '.', 1) AS os_version, max(os_version) AS product_version FROM ios_devices GROUP BY 1)")
 _details = lambda t: t.standin("ios_devices").select(F.col("user_id").cast("string").alias("serialNumber"), F.col("os_version").alias("osVersion"))
 add("e02_device_os_versions", lambda t: compliance.device_os_versions(_details(t)), cte("ios_devices") + "SELECT CAST(user_id AS VARCHAR) AS serial_number, os_version FROM ios_devices")
 add("e03_os_compliance", lambda t: compliance.os_compliance(t.standin("ios_devices"), _feed(t)).select(*TITLE_COLS), _IOS + f"SELECT {T_SQL} FROM os")

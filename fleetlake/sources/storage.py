@@ -22,6 +22,20 @@ def saved(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def numbered(df: DataFrame, ord: str, name: str) -> DataFrame:
+    """``df`` with a long column ``name`` that counts up from 0 in the order of ``ord`` (ties in any order).
+
+    Rows are dealt by ranges of ``ord`` and counted in each partition; only one count for each partition is gathered.
+    """
+    placed = df.repartitionByRange(ord).sortWithinPartitions(ord).withColumn("__at", F.monotonically_increasing_id())
+    placed = saved(placed, "numbered")
+    part, place = F.shiftrightunsigned("__at", 33), F.col("__at").bitwiseAND((1 << 33) - 1)
+    counts = placed.groupBy(part.alias("__part")).agg(F.count("*").alias("__n"))
+    before = F.coalesce(F.sum("__n").over(Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    starts = counts.select("__part", before.alias("__start"))
+    return placed.withColumn("__part", part).join(F.broadcast(starts), "__part").withColumn(name, F.col("__start") + place).drop("__part", "__start", "__at")
+
+
 def latest_by(df: DataFrame, keys: list[str], ord: str, last: bool = True) -> DataFrame:
     """One row for each key: that with the greatest ``ord`` (or the smallest)."""
     order = F.col(ord).desc_nulls_last() if last else F.col(ord).asc_nulls_last()

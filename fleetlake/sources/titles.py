@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.text import blank_to_null, half_even
 from .snapshots import normalize_columns
+from .storage import numbered
 
 _ISO = r"^\d{4}-\d{2}-\d{2}T\d{2}:\d{2}:\d{2}(Z|[+-]\d{2}:?\d{2})$"
 
@@ -67,7 +68,7 @@ def hydrate_report(df: DataFrame, ord: str = "ord") -> tuple[DataFrame, DataFram
     df = normalize_columns(df)
     df = df.select(*(F.nullif(F.nullif(F.col(c), F.lit("")), F.lit("NaN")).alias(c) if t == "string" else F.col(c) for c, t in df.dtypes))
     if "title_id" not in df.columns:
-        df = df.withColumn("title_id", (F.row_number().over(Window.orderBy(ord)) - 1).cast("string"))
+        df = numbered(df, ord, "title_id").withColumn("title_id", F.col("title_id").cast("string"))
     return hydrate_titles(df.drop("completion_percent", "total_hosts"))
 
 
