@@ -173,8 +173,13 @@ def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def training_sample(rows: DataFrame) -> DataFrame:
     """(lang, draw, parts): windows of the SAMPLE distinct texts of each language in ``rows`` (lang, text) with the smallest hashes."""
     rows = rows.select("lang", F.xxhash64("text").alias("draw"), "text")
+    texts = saved(rows.select("lang", "draw").distinct(), "texts")
+    sizes = saved(texts.groupBy("lang").agg(F.count("*").alias("n")), "sizes")
+    # hashes are spread evenly, so the least 300 are looked for among the some 1200 below a limit; else one task would rank all of a language
+    share = F.col("draw") / F.lit(2.0**64) + 0.5
+    low = texts.join(small(sizes), "lang").where(share * F.col("n") <= 4 * SAMPLE)
     rank = F.row_number().over(Window.partitionBy("lang").orderBy("draw"))
-    chosen = saved(rows.select("lang", "draw").distinct().withColumn("rank", rank).where(F.col("rank") <= SAMPLE).drop("rank"), "chosen")
+    chosen = saved(low.withColumn("rank", rank).where(F.col("rank") <= SAMPLE).select("lang", "draw"), "chosen")
     drawn = rows.join(small(chosen), ["lang", "draw"], "left_semi").mapInArrow(_cut, "lang string, draw long, parts array<binary>")
     return drawn.groupBy("lang", "draw").agg(F.first("parts").alias("parts"))
 

@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import saved, small
+from .common import discard, saved, small
 from .graph import components
 from .textops import IS_SPACE, LOWER, U64, mix, ngram_hashes, span_hashes, text_chunks, word_spans
 
@@ -346,6 +346,7 @@ def similar_components(docs: DataFrame, n: int = 5, percent: int = 80, id_col: s
     wide = _families(saved(spokes.distinct(), "shared"), classes, "h1", percent)
     wide = saved(_dealt(saved(wide.select("rep", "family", "size", "band", "sketch"), "wide"), SKETCH_SETS, 1 << 40), "dealt")
     close = saved(_joined(wide.withColumnRenamed("sketch", "payload"), percent, False), "close")
+    discard(wide)
 
     tight = _families(close, classes.select("rep", "h1", "size"), "rep", percent)
     tight = saved(_dealt(saved(tight, "tight"), BLOCK_SETS, BLOCK_FEATURES), "dealt")
@@ -353,6 +354,7 @@ def similar_components(docs: DataFrame, n: int = 5, percent: int = 80, id_col: s
     found = docs.join(small(tight.select("rep", "h1", "size", "pairs")), docs["id"] == tight["rep"]).select("text", "rep", F.struct("size", "pairs").alias("s"), "h1")
     rows = found.mapInArrow(_features(n), f"rep long, s struct<size:bigint,pairs:{kind}>, payload binary").select("rep", "s.size", "s.pairs", "payload")
     joined = components(saved(_joined(rows, percent, True), "links"))
+    discard(tight)
 
     ids = classes.select("h1", "h2", "rep").join(joined.withColumnRenamed("node", "rep"), "rep", "left")
     ids = saved(ids.select("h1", "h2", F.coalesce("label", "rep").alias("component")), "ids")

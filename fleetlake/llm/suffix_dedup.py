@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import saved, small
+from .common import discard, saved, small
 from .textops import BYTE_CODES, U64, mix, span_hashes, text_chunks
 
 THRESHOLD = 200
@@ -354,7 +354,9 @@ def repeated_runs(docs: DataFrame, threshold: int = THRESHOLD, text: str = "text
     contexts = saved(contexts, "contexts")
     spans = rows.where("kind = 2").select("key", "lo", "hi").union(scan.where("kind = 2").select("key", "lo", "hi")).union(_refined(contexts, threshold))
     merged = spans.groupBy("key").agg(F.collect_list(F.struct("lo", "hi")).alias("spans"))
-    return saved(merged.mapInArrow(_merged(threshold), "key long, runs array<struct<start:int,end:int>>"), "runs")
+    out = saved(merged.mapInArrow(_merged(threshold), "key long, runs array<struct<start:int,end:int>>"), "runs")
+    discard(rows, scan, wanted, contexts)
+    return out
 
 
 def _cut(text_col: str):
