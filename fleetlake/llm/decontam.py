@@ -41,12 +41,21 @@ def build_index(docs: DataFrame, terms: DataFrame) -> DataFrame:
     return saved(tokens.join(small(terms), "term").select("term", "key", "pos"), "postings")
 
 
+def _closest(here: Column, terms: Column, length: int) -> Column:
+    """(span, at) of the shortest run of ``here`` that begins at one of its words and holds all ``terms`` in order; null if there is none."""
+    # from each place of the first term, every next term is taken where it stands first
+    after = lambda p, t: F.array_position(F.slice(here, p + 1, length), t).cast("int")
+    end = lambda i: F.aggregate(F.slice(terms, 2, length), i + 1, lambda p, t: F.when((p < 0) | (after(p, t) == 0), -1).otherwise(p + after(p, t)))
+    runs = F.transform(F.sequence(F.lit(0), F.lit(length - 1)), lambda i: F.when(F.get(here, i) == F.get(terms, 0), F.struct((end(i) - i).alias("span"), i.alias("at"))))
+    return F.array_min(F.filter(runs, lambda r: r["span"] > 0))
+
+
 def search(docs: DataFrame, items: DataFrame, window: int = WINDOW, slop: int = 0) -> DataFrame:
     """(key, item_id, start, size, distance): the places of ``docs`` (key, text) where a window of an item stands.
 
-    distance 0 is an exact phrase. With ``slop`` > 0 there are also proximity matches: the window's two
-    rarest terms stand within ``slop`` words of their places in the window, and distance is the shift;
-    the rest of the window is not compared then.
+    distance 0 is an exact phrase. With ``slop`` > 0 there are also proximity matches: all words of the
+    window stand in its order, with ``distance`` other words, ``slop`` at most, between them; of those
+    around one pair of the rarest terms the closest is given.
     """
     windows = saved(test_windows(items, window), "windows")
     unique = windows.select("win", "size", "terms").distinct()
@@ -67,39 +76,51 @@ def search(docs: DataFrame, items: DataFrame, window: int = WINDOW, slop: int =
         lists = looked.select("win", F.col(f"{which}.term").alias("term"), F.col(f"{which}.off").alias("off"))
         return postings.join(small(saved(lists, which)), "term").select("key", "win", (F.col("pos") - F.col("off")).alias("start"))
 
-    one, two = shifted("one"), shifted("two")
-    exact = one.where("start >= 0").join(two, ["key", "win", "start"], "left_semi").distinct()
-    found = exact.groupBy("key").agg(F.collect_list(F.struct("win", "start")).alias("at"))
+    # the two lists meet in cells of positions, as their places may differ by the slop
+    cell = lambda c: F.floor(c / max(1, 4 * slop))
+    at = F.col("start")
+    one = shifted("one").withColumn("cell", F.explode(F.array_distinct(F.array(cell(at - slop), cell(at + slop)))))
+    two = shifted("two").select("key", "win", at.alias("there"), cell(at).alias("cell"))
+    met = one.join(two, ["key", "win", "cell"]).where(F.abs(F.col("there") - at) <= slop)
+    met = met.select("key", "win", F.least("start", "there").alias("start")).where(at >= -slop).distinct()
+    found = met.groupBy("key").agg(F.collect_list(F.struct("win", "start")).alias("at"))
     found = docs.join(small(saved(found, "candidates")), "key").select("key", words(F.col("text")).alias("w"), "at")
-    found = found.select("key", F.explode(F.transform("at", lambda x: F.struct(x["win"].alias("win"), x["start"].alias("start"), F.slice("w", x["start"] + 1, window).alias("here")))).alias("x")).select("key", "x.*")
-    texts = small(saved(unique, "unique"))
-    exact = found.join(texts, "win").where(F.slice("here", 1, F.col("size")) == F.col("terms")).select("key", "win", "start", F.lit(0).alias("distance")).distinct()
-    if slop:
-        cell = lambda c: F.floor(c / (slop + 1))
-        near = one.withColumn("cell", F.explode(F.array(*(cell(F.col("start")) + d for d in (-1, 0, 1)))))
-        other = two.select("key", "win", F.col("start").alias("there"), cell(F.col("start")).alias("cell"))
-        near = near.join(other, ["key", "win", "cell"]).withColumn("distance", F.abs(F.col("there") - F.col("start")).cast("int"))
-        near = near.where((F.col("distance") > 0) & (F.col("distance") <= slop)).select("key", "win", "start", "distance").distinct()
-        exact = exact.union(near)
+    begin = lambda x: F.greatest(F.lit(0), x["start"] - slop)
+    here = lambda x: F.struct(x["win"].alias("win"), x["start"].alias("start"), begin(x).alias("begin"), F.slice("w", begin(x) + 1, window + 2 * slop).alias("here"))
+    found = found.select("key", F.explode(F.transform("at", here)).alias("x")).select("key", "x.*").join(small(saved(unique, "unique")), "win")
+    same = (F.col("start") >= 0) & (F.slice("here", F.greatest(F.lit(0), F.col("start") - F.col("begin")) + 1, F.col("size")) == F.col("terms"))
+    if not slop:
+        exact = found.where(same).select("key", "win", "start", F.lit(0).alias("distance")).distinct()
+    else:
+        found = found.withColumn("best", _closest(F.col("here"), F.col("terms"), window + 2 * slop))
+        near = (F.col("best.span") > F.col("size")) & (F.col("best.span") <= F.col("size") + slop) & ~same
+        exact = found.where(same).select("key", "win", "start", F.lit(0).alias("distance"))
+        exact = exact.union(found.where(near).select("key", "win", F.col("begin") + F.col("best.at"), F.col("best.span") - F.col("size"))).distinct()
     return exact.join(small(windows.select("item_id", "win", "size")), "win").select("key", "item_id", "start", "size", "distance")
 
 
-def contamination(docs: DataFrame, items: DataFrame, window: int = WINDOW, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def contamination(docs: DataFrame, items: DataFrame, window: int = WINDOW, id_col: str = "doc_id", text_col: str = "text", slop: int = 0) -> DataFrame:
     """Every row of ``docs`` with n_words, n_hit, n_items, items_sha256 and contaminated after its own columns.
 
+    With ``slop`` > 0 there is n_near too: the number of items of which a window stands in the text with
+    1 to ``slop`` other words between its own; these count for no other column.
+
     A word is hit if it lies in an occurrence of a window of ``window`` consecutive words of an item
     (a shorter item is one window). n_items counts the items with an occurrence; items_sha256 is over
     their ids, sorted as strings and joined by commas (of the empty string if there are none). Null and
     empty texts and items have no words and no windows. Repeated rows, ids and items are judged alike;
     an empty item table hits nothing. Own columns of the five names are replaced.
     """
-    made = ("n_words", "n_hit", "n_items", "items_sha256", "contaminated")
+    made = ("n_words", "n_hit", "n_items", "items_sha256", "contaminated", *(["n_near"] if slop else []))
     own = [c for c in docs.columns if c not in made]
     keyed = docs.select(*(F.col(c) for c in own), F.xxhash64(id_col, text_col).alias("__key"))
-    places = saved(search(keyed.select(F.col("__key").alias("key"), F.col(text_col).alias("text")), items, window), "places")
+    places = saved(search(keyed.select(F.col("__key").alias("key"), F.col(text_col).alias("text")), items, window, slop), "places")
+    near = places.where("distance > 0").groupBy("key").agg(F.countDistinct("item_id").alias("n_near"))
+    places = places.where("distance = 0")
     covered = places.select("key", F.explode(F.sequence("start", F.col("start") + F.col("size") - 1)).alias("at")).distinct().groupBy("key").agg(F.count("*").alias("n_hit"))
     names = places.select("key", F.col("item_id").cast("string").alias("item")).distinct().groupBy("key").agg(F.count("*").alias("n_items"), F.array_join(F.array_sort(F.collect_list("item")), ",").alias("items"))
-    hits = saved(covered.join(names, "key").withColumnRenamed("key", "__key"), "hits")
+    hits = covered.join(names, "key")
+    hits = saved((hits.join(near, "key", "full") if slop else hits).withColumnRenamed("key", "__key"), "hits")
     out = keyed.withColumn("n_words", F.size(words(F.col(text_col))).cast("long")).join(small(hits), "__key", "left")
     return out.select(
         *own,
@@ -108,4 +129,5 @@ def contamination(docs: DataFrame, items: DataFrame, window: int = WINDOW, id_co
         F.coalesce("n_items", F.lit(0)).cast("long").alias("n_items"),
         F.sha2(F.coalesce("items", F.lit("")), 256).alias("items_sha256"),
         F.col("n_hit").isNotNull().alias("contaminated"),
+        *([F.coalesce("n_near", F.lit(0)).alias("n_near")] if slop else []),
     )

@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import saved
+from .common import saved, small
 from .textops import U64, mix
 
 LENGTH = 1024
@@ -214,6 +214,6 @@ def pack(docs: DataFrame, tokenizer: str, length: int = LENGTH, id_col: str = "d
     totals, at = {}, 0
     for r in line.groupBy(F.spark_partition_id().alias("p")).agg(F.sum("n").alias("n")).orderBy("p").collect():
         totals[r["p"]], at = at, at + r["n"]
-    placed = line.mapInArrow(_offsets(totals), "uid long, at long")
-    out = tokens.select("uid", "id", "ids").join(placed, "uid").select("id", "ids", "at")
+    placed = saved(line.mapInArrow(_offsets(totals), "uid long, at long"), "places")
+    out = tokens.select("uid", "id", "ids").join(small(placed), "uid").select("id", "ids", "at")
     return out.mapInArrow(_pieces(length), f"id long, {_PIECES_SQL}")

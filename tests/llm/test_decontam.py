@@ -50,6 +50,15 @@ def test_proximity_matches(spark):
     assert found == {(1, 2), (2, 3)}
 
 
+def test_proximity_compares_every_word_in_order(spark):
+    item = "one two three four five six seven eight nine ten"
+    texts = [item, item.replace("five", "five x"), item.replace("two", "x two").replace("nine", "y nine"), item.replace("four", "x y z four"), item.replace("five six", "six five"), item.replace("seven", "seventy"), "one one " + item[4:], item + " ten", "x " + item.replace("ten", "y ten")]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    out = contamination(docs, spark.createDataFrame([(1, item)], "item_id long, text string"), slop=2)
+    got = {r.doc_id: (r.contaminated, r.n_near) for r in out.collect()}
+    assert got == {0: (True, 0), 1: (False, 1), 2: (False, 1), 3: (False, 0), 4: (False, 0), 5: (False, 0), 6: (True, 0), 7: (True, 0), 8: (False, 1)}
+
+
 def test_no_items(spark, docs):
     out = contamination(docs.select("doc_id", "text"), spark.createDataFrame([], "item_id long, text string"))
     assert out.where("contaminated or n_hit > 0").isEmpty() and out.count() == docs.count()
