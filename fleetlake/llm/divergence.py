@@ -51,11 +51,11 @@ def base_counts(docs: DataFrame, text_col: str = "text") -> DataFrame:
     # windows of three words, as 64-bit hashes
     df = df.withColumn("windows", F.transform(F.slice("words", F.lit(1), F.greatest(n - 2, F.lit(0))), lambda w, i: F.xxhash64(w, F.get("words", i + 1), F.get("words", i + 2))))
     # only texts that hold a window twice need them sorted with their places, where equal ones become neighbours
-    placed = F.array_sort(F.transform("windows", lambda w, i: F.struct(w.alias("w"), (i + 1).alias("i"))))
+    placed = F.sort_array(F.transform("windows", lambda w, i: F.struct(w.alias("w"), (i + 1).alias("i"))))
     df = df.withColumn("windows", F.when(F.size(F.array_distinct("windows")) < F.size("windows"), placed))
     last = F.size("windows") - 1
     twice = lambda x, j: ((j > 0) & (F.get("windows", j - 1)["w"] == x["w"])) | ((j < last) & (F.get("windows", j + 1)["w"] == x["w"]))
-    df = df.withColumn("places", F.array_sort(F.transform(F.filter("windows", twice), lambda x: x["i"])))
+    df = df.withColumn("places", F.sort_array(F.transform(F.filter("windows", twice), lambda x: x["i"])))
     # a window covers three words, or those up to the next window that is found twice
     covered = F.aggregate(F.transform("places", lambda p, j: F.least(F.lit(3), F.coalesce(F.get("places", j + 1), p + 3) - p)), F.lit(0), lambda a, b: a + b)
     lines = F.filter(F.split(text, "\n"), lambda x: x.rlike(r"[^\x20\x09-\x0D]"))
