@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -42,6 +43,18 @@ def discard(*tables: DataFrame) -> None:
         path.getFileSystem(t.sparkSession._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def text_key(docs: DataFrame, *columns: str, first: Callable[..., Column] = F.xxhash64) -> Column:
+    """A 64-bit key that rows of ``docs`` share only if they agree in ``columns``.
+
+    Keys are hashes. Those that rows with different second hashes share (about three among 10**10
+    rows) are looked for in one pass over both hashes, and their rows go by the second hash instead.
+    """
+    one, two = first(*columns), F.xxhash64(F.lit("second"), *columns)
+    shared = docs.select(one.alias("one"), two.alias("two")).groupBy("one").agg((F.min("two") != F.max("two")).alias("differ")).where("differ")
+    clashes = [r["one"] for r in shared.select("one").collect()]
+    return F.when(one.isin(clashes), two).otherwise(one) if clashes else one
+
+
 def row_bytes(schema: StructType) -> Column:
     """About how many bytes a row takes in a broadcast table; 32 bytes are taken for each string in an array."""
     total = F.lit(16 + 8 * len(schema))

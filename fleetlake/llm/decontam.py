@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import saved, small
+from .common import saved, small, text_key
 
 WINDOW = 10
 #: Lists that are intersected before the words are compared.
@@ -113,7 +113,7 @@ def contamination(docs: DataFrame, items: DataFrame, window: int = WINDOW, id_co
     """
     made = ("n_words", "n_hit", "n_items", "items_sha256", "contaminated", *(["n_near"] if slop else []))
     own = [c for c in docs.columns if c not in made]
-    keyed = docs.select(*(F.col(c) for c in own), F.xxhash64(id_col, text_col).alias("__key"))
+    keyed = docs.select(*(F.col(c) for c in own), text_key(docs, id_col, text_col).alias("__key"))
     places = saved(search(keyed.select(F.col("__key").alias("key"), F.col(text_col).alias("text")), items, window, slop), "places")
     near = places.where("distance > 0").groupBy("key").agg(F.countDistinct("item_id").alias("n_near"))
     places = places.where("distance = 0")

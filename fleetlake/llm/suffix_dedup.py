@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import discard, saved, small
+from .common import discard, saved, small, text_key
 from .textops import BYTE_CODES, U64, mix, span_hashes, text_chunks
 
 THRESHOLD = 200
@@ -401,7 +401,7 @@ def remove_repeats(docs: DataFrame, threshold: int = THRESHOLD, id_col: str = "d
     any, else by a shuffle on a hash of id and text.
     """
     own = [c for c in docs.columns if c not in ("n_bytes", "n_removed", "n_spans", "kept_text", "kept_sha256")]
-    keyed = docs.select(F.struct(*own).alias("own"), F.xxhash64(id_col, text_col).alias("key"), F.col(text_col).alias("text"))
+    keyed = docs.select(F.struct(*own).alias("own"), text_key(docs, id_col, text_col).alias("key"), F.col(text_col).alias("text"))
     runs = repeated_runs(keyed, threshold)
     joined = keyed.select("own", "key").join(small(runs), "key", "left").select("own", "runs")
     kind = docs.select(F.struct(*own).alias("own")).schema["own"].dataType.simpleString()
