@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import saved, small
+from .common import discard, saved, small
 
 DAMPING = 0.85
 #: Rank spreads until what one round adds, over all hosts, is below this share of one seed's mass.
@@ -16,7 +16,7 @@ TOLERANCE = 1e-6
 MIN_DISTRUST = 1e-4
 #: Rounds whose additions are kept as separate tables before they are summed.
 FOLD = 16
-_HREF = r"""(?i)\bhref\s*=\s*["']?\s*(https?://[^"'\s>]+)"""
+_HREF = r"""(?i)\bhref\s*=\s*["']?\s*((?:https?:)?//[^"'\s>]+)"""
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
@@ -43,8 +43,9 @@ def match_rule(rules: dict[str, str]) -> Column:
 
 
 def host_links(pages: DataFrame) -> DataFrame:
-    """(src, dst, weight): the share of a host's outgoing absolute links that goes to each other host."""
-    links = pages.select(F.col("host").alias("src"), F.explode(F.regexp_extract_all("html", F.lit(_HREF), 1)).alias("url")).select("src", url_host(F.col("url")).alias("dst"))
+    """(src, dst, weight): the share of a host's outgoing links with a host (//host/... too) that goes to each other host."""
+    links = pages.select(F.col("host").alias("src"), F.explode(F.regexp_extract_all("html", F.lit(_HREF), 1)).alias("url"))
+    links = links.select("src", url_host(F.regexp_replace("url", "^//", "http://")).alias("dst"))
     links = links.where("src <> '' and dst <> '' and src <> dst").groupBy("src", "dst").agg(F.count("*").alias("n"))
     total = links.groupBy("src").agg(F.sum("n").alias("total"))
     return links.join(total, "src").select("src", "dst", (F.col("n") / F.col("total")).alias("weight"))
@@ -66,7 +67,9 @@ def personalised_rank(edges: DataFrame, seeds: DataFrame, tolerance: float = TOL
         total = added.agg(F.sum("rank")).first()[0] or 0.0
         parts.append(added)
         if total < tolerance or len(parts) > FOLD:
-            parts = [saved(reduce(DataFrame.union, parts).groupBy("host").agg(F.sum("rank").alias("rank")), "rank")]
+            whole = saved(reduce(DataFrame.union, parts).groupBy("host").agg(F.sum("rank").alias("rank")), "rank")
+            discard(*(p for p in parts[1:] if p is not added))
+            parts = [whole]
         if total < tolerance:
             return parts[0]
 
@@ -81,7 +84,8 @@ def judge_pages(pages: DataFrame, rules: dict[str, str], id_col: str = "page_id"
     MIN_DISTRUST and its trust, whatever the size of the table. Null urls
     and urls without :// have empty host and path, no rule, and are allowed, as is any host that
     neither reaches. Null html has no links; repeated rows count their links again, which leaves the
-    shares as they are; a table without links or seeds spreads nothing.
+    shares as they are; a table without links or seeds spreads nothing, an empty one gives no rows. Equal
+    trust and distrust allow. Columns other than id, url and html are not read, so clashing names do no harm.
     """
     match = match_rule(rules)
     df = pages.select(F.col(id_col), url_host(F.col(url_col)).alias("host"), url_path(F.col(url_col)).alias("path"), F.col(html_col).alias("html"))
