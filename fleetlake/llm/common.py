@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
-from collections.abc import Callable
+from collections.abc import Callable, Iterable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -43,6 +43,12 @@ def discard(*tables: DataFrame) -> None:
         path.getFileSystem(t.sparkSession._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def kept_apart(own: list[str], used: Iterable[str]) -> dict[str, str]:
+    """A name for each own column under which it does not clash with the ``used`` ones."""
+    used = {x.lower() for x in used}
+    return {c: c if c.lower() not in used else f"__own{i}_{c}" for i, c in enumerate(own)}
+
+
 def text_key(docs: DataFrame, *columns: str, first: Callable[..., Column] = F.xxhash64) -> Column:
     """A 64-bit key that rows of ``docs`` share only if they agree in ``columns``.
 

@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import saved, small, text_key
+from .common import kept_apart, saved, small, text_key
 
 WINDOW = 10
 #: Lists that are intersected before the words are compared.
@@ -113,21 +113,22 @@ def contamination(docs: DataFrame, items: DataFrame, window: int = WINDOW, id_co
     """
     made = ("n_words", "n_hit", "n_items", "items_sha256", "contaminated", *(["n_near"] if slop else []))
     own = [c for c in docs.columns if c not in made]
-    keyed = docs.select(*(F.col(c) for c in own), text_key(docs, id_col, text_col).alias("__key"))
+    apart = kept_apart(own, ("__key", "__items"))
+    keyed = docs.select(*(F.col(c).alias(apart[c]) for c in own), text_key(docs, id_col, text_col).alias("__key"))
     places = saved(search(keyed.select(F.col("__key").alias("key"), F.col(text_col).alias("text")), items, window, slop), "places")
     near = places.where("distance > 0").groupBy("key").agg(F.countDistinct("item_id").alias("n_near"))
     places = places.where("distance = 0")
     covered = places.select("key", F.explode(F.sequence("start", F.col("start") + F.col("size") - 1)).alias("at")).distinct().groupBy("key").agg(F.count("*").alias("n_hit"))
-    names = places.select("key", F.col("item_id").cast("string").alias("item")).distinct().groupBy("key").agg(F.count("*").alias("n_items"), F.array_join(F.array_sort(F.collect_list("item")), ",").alias("items"))
+    names = places.select("key", F.col("item_id").cast("string").alias("item")).distinct().groupBy("key").agg(F.count("*").alias("n_items"), F.array_join(F.array_sort(F.collect_list("item")), ",").alias("__items"))
     hits = covered.join(names, "key")
     hits = saved((hits.join(near, "key", "full") if slop else hits).withColumnRenamed("key", "__key"), "hits")
     out = keyed.withColumn("n_words", F.size(words(F.col(text_col))).cast("long")).join(small(hits), "__key", "left")
     return out.select(
-        *own,
+        *(F.col(apart[c]).alias(c) for c in own),
         "n_words",
         F.coalesce("n_hit", F.lit(0)).cast("long").alias("n_hit"),
         F.coalesce("n_items", F.lit(0)).cast("long").alias("n_items"),
-        F.sha2(F.coalesce("items", F.lit("")), 256).alias("items_sha256"),
+        F.sha2(F.coalesce("__items", F.lit("")), 256).alias("items_sha256"),
         F.col("n_hit").isNotNull().alias("contaminated"),
         *([F.coalesce("n_near", F.lit(0)).alias("n_near")] if slop else []),
     )

@@ -21,7 +21,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import saved, small
+from .common import kept_apart, saved, small
 from .textops import U64, mix, text_chunks
 
 #: Characters of an n-gram.
@@ -67,7 +67,7 @@ def _codes(langs: list[str]) -> dict[str, np.uint64]:
 
 def _hash(columns: list[np.ndarray], codes: np.ndarray) -> np.ndarray:
     """The hash of n-grams given as columns of code points, the last first."""
-    h = codes + U64(len(columns)) * U64(0x9E3779B97F4A7C15)
+    h = codes + U64(len(columns) * 0x9E3779B97F4A7C15 & (1 << 64) - 1)
     for factor, c in zip(_FACTORS, columns, strict=False):
         h = h + c.astype(U64) * factor
     return mix(h)
@@ -275,7 +275,8 @@ def perplexity_filter(docs: DataFrame, labels: DataFrame, quantile: float = QUAN
     own = [c for c in docs.columns if c not in _SCORES]
     lang = F.coalesce("lang", F.lit(""))
     key = F.unhex(F.md5(F.concat_ws("\0", lang, "text")))
-    rows = docs.select(*own).withColumns({"_lang": lang, "_key": key, "_bytes": F.coalesce(F.octet_length("text"), F.lit(0))})
+    names = kept_apart(own, ("_lang", "_key", "_bytes"))
+    rows = docs.select(*(F.col(c).alias(names[c]) for c in own), lang.alias("_lang"), key.alias("_key"), F.coalesce(F.octet_length("text"), F.lit(0)).alias("_bytes"))
     texts = rows.where("_bytes > 0").select("doc_id", F.col("_lang").alias("lang"), F.col("_key").alias("key"), F.col("_bytes").alias("bytes"), "text")
     out_of = F.crc32(F.col("doc_id").cast("string")) % 5 == 0
     good_texts = texts.join(small(trusted), "doc_id", "left_semi")
@@ -288,4 +289,4 @@ def perplexity_filter(docs: DataFrame, labels: DataFrame, quantile: float = QUAN
     out = rows.join(small(scores.withColumnRenamed("key", "_key")), "_key", "left").join(F.broadcast(limits), "_lang", "left")
     rejected = (F.col("perplexity") > F.col("threshold")) & (F.col("_bytes") >= MIN_BYTES)
     symbols = F.when(F.col("_bytes") > 0, F.length("text") + 1).otherwise(0).cast("long")
-    return out.select(*own, symbols.alias("n_symbols"), "perplexity", "threshold", (~F.coalesce(rejected, F.lit(False))).alias("kept"))
+    return out.select(*(F.col(names[c]).alias(c) for c in own), symbols.alias("n_symbols"), "perplexity", "threshold", (~F.coalesce(rejected, F.lit(False))).alias("kept"))
