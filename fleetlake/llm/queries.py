@@ -90,6 +90,20 @@ def op10_positional_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     return contamination(docs, _table(spark, sf_dir, "benchmark")).drop("text")
 
 
+def op11_cube_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .mixing import mix
+
+    out = mix(_table(spark, sf_dir, "documents")).withColumnRenamed("id", "doc_id")
+    return out.select("doc_id", "size", "source_size", "target", "taken", "source", "copies")
+
+
+def op13_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .filter_audit import failures, interaction_audit
+
+    flags = failures(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+    return interaction_audit(flags, ["A", "B", "C", "D", "E"])
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {name: f for name, f in globals().items() if name.startswith("op") and callable(f)}
 
@@ -107,6 +121,19 @@ h AS (SELECT doc_id, count(DISTINCT p) AS n_hit FROM (SELECT doc_id, unnest(rang
 n AS (SELECT doc_id, count(DISTINCT item_id) AS n_items, sha256(array_to_string(list_sort(list(DISTINCT CAST(item_id AS VARCHAR))), ',')) AS digest FROM m GROUP BY 1)
 SELECT doc_id, len(w) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items, coalesce(digest, sha256('')) AS items_sha256, n_hit IS NOT NULL AS contaminated
 FROM d LEFT JOIN h USING (doc_id) LEFT JOIN n USING (doc_id)""",
+    "op13_filter_audit": r"""WITH d AS (SELECT doc_id, coalesce(lang, '') AS part, coalesce(text, '') AS t, list_filter(string_split_regex(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w FROM documents),
+firsts AS (SELECT t, min(doc_id) AS first FROM d GROUP BY t),
+l AS (SELECT doc_id, coalesce(bool_or(quality = 1), false) AS good, coalesce(bool_or(toxic = 1), false) AS toxic FROM labels GROUP BY doc_id),
+f AS (SELECT part, coalesce(good, false) AS good, coalesce(toxic, false) AS toxic, [len(w) < 200, 100 * len(list_distinct(w)) < 50 * len(w), 100 * length(regexp_replace(t, '[^A-Z]', '', 'g')) > 3 * length(t), regexp_matches(t, '[#$%&*|]'), coalesce(doc_id > first, false)] AS fails
+ FROM d JOIN firsts USING (t) LEFT JOIN l USING (doc_id)),
+m AS (SELECT part, CAST(fails[1] AS INT) + 2 * CAST(fails[2] AS INT) + 4 * CAST(fails[3] AS INT) + 8 * CAST(fails[4] AS INT) + 16 * CAST(fails[5] AS INT) AS mask, count(*) AS n, count(*) FILTER (good) AS g, count(*) FILTER (toxic) AS x FROM f GROUP BY 1, 2),
+k AS (SELECT unnest([0, 1, 2, 3, 4]) AS i),
+p AS (SELECT [a.i, b.i, c.i, d.i, e.i] AS o FROM k a, k b, k c, k d, k e WHERE len(list_distinct([a.i, b.i, c.i, d.i, e.i])) = 5),
+s AS (SELECT array_to_string(list_transform(o, lambda i: chr(65 + CAST(i AS INT))), '') AS filter_order, step, o[step] AS f, 1 << o[step] AS own, CAST(coalesce(list_sum(list_transform(o[1:step - 1], lambda i: 1 << i)), 0) AS INT) AS before FROM p, (SELECT unnest([1, 2, 3, 4, 5]) AS step)),
+r AS (SELECT part, filter_order, step, f, sum(n) FILTER (mask & (before | own) = 0) AS kept, sum(n) FILTER (mask & before = 0 AND mask & own > 0) AS removed, sum(n) FILTER (mask & before > 0 AND mask & own > 0) AS redundant,
+ sum(n) FILTER (mask = own) AS unique_fails, sum(g) FILTER (mask & before = 0 AND mask & own > 0) AS good_lost, sum(x) FILTER (mask & before = 0 AND mask & own > 0) AS toxic_lost FROM m, s GROUP BY ALL)
+SELECT part, filter_order, CAST(step AS INT) AS step, CAST(coalesce(kept, 0) AS BIGINT) AS kept, CAST(coalesce(removed, 0) AS BIGINT) AS removed, CAST(coalesce(redundant, 0) AS BIGINT) AS redundant, CAST(coalesce(unique_fails, 0) AS BIGINT) AS unique_fails,
+ CAST(coalesce(good_lost, 0) AS BIGINT) AS good_lost, CAST(coalesce(toxic_lost, 0) AS BIGINT) AS toxic_lost, CAST(sum(coalesce(removed, 0)) OVER (PARTITION BY part, f) AS BIGINT) AS shapley FROM r""",
 }
 
 
