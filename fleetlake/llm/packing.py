@@ -11,7 +11,7 @@ the per-partition totals of the sorted rows.
 from __future__ import annotations
 
 import json
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -37,6 +37,20 @@ def _printable_bytes() -> dict[str, int]:
     return {chr(b): b for b in own} | {chr(256 + i): b for i, b in enumerate(rest)}
 
 
+def guarded(fast: Callable, slow: Callable) -> Callable:
+    """``fast``, but ``slow`` for texts on which the rank-based encoder gives up (white space of some hundred thousand characters)."""
+
+    def encode(text: str):
+        try:
+            return fast(text)
+        except BaseException as e:
+            if type(e).__name__ != "PanicException":
+                raise
+            return slow(text)
+
+    return encode
+
+
 def encoder(path: str):
     """An encoder of the byte-level BPE vocabulary at ``path``, with its special tokens.
 
@@ -61,8 +75,7 @@ def encoder(path: str):
             probe = "The naïve  fox's\n\n\t12345 中文 \U0001f600 don't... ÀÉ|###!! " + " ".join(special)
             if fast.encode(probe, allowed_special="all") == slow(probe):
 
-                def encode(text: str) -> list[int]:
-                    return fast.encode(text, allowed_special="all") if any(s in text for s in special) else fast.encode_ordinary(text)
+                encode = guarded(lambda text: fast.encode(text, allowed_special="all") if any(s in text for s in special) else fast.encode_ordinary(text), slow)
 
         except (ImportError, KeyError, ValueError):
             pass
