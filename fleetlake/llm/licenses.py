@@ -25,6 +25,21 @@ NOTICE_PHRASES = {
     "gnu affero general public license": "agpl",
     "creative commons attribution": "cc-by",
     "isc license": "isc",
+    "gnu free documentation license": "gfdl",
+    "common development and distribution license": "cddl",
+    "european union public licence": "eupl",
+    "do what the fuck you want to public license": "wtfpl",
+    "sil open font license": "ofl",
+    "artistic license": "artistic",
+    "python software foundation license": "psf",
+    "zlib license": "zlib",
+    "cc0 1 0 universal": "cc0",
+    "dedicated to the public domain": "public-domain",
+    "permission to use copy modify and or distribute this software": "isc",
+    "licensed under the apache license version 2 0": "apache-2.0",
+    "gnu general public license version 2": "gpl-2.0",
+    "gnu general public license version 3": "gpl-3.0",
+    "proprietary and confidential": "proprietary",
     "boost software license": "bsl",
     "eclipse public license": "epl",
     "permission is hereby granted free of charge": "mit",
@@ -39,6 +54,12 @@ _TO_WORDS = bytes(c + 32 if 65 <= c <= 90 else c if 48 <= c <= 57 or 97 <= c <=
 _TOKENS = re.compile(r"[()]|[A-Za-z0-9][A-Za-z0-9.+:-]*")
 _TAG_LINE = re.compile(r"spdx-license-identifier:[ \t]*([^\r\n]*)", re.I)
 _BINDS = {"or": 1, "and": 2, "with": 3}
+#: Identifiers that a tag may hold alone, or join by operators in small letters.
+_VERSIONED = ("gpl", "lgpl", "agpl", "gfdl", "apache", "mpl", "epl", "cddl", "eupl", "cecill", "osl", "afl", "artistic", "bsl", "ecl", "lppl", "python", "php", "ofl", "cpl", "apsl", "mulanpsl", "zpl", "upl", "mit", "bsd", "isc", "zlib")
+_KNOWN = re.compile(
+    rf"(?:{'|'.join(_VERSIONED)})(?:-[0-9]+(?:\.[0-9]+)*[a-z]?(?:-only|-or-later|-clause(?:-[a-z0-9-]+)?)?\+?)?|0bsd|mit-0|mit-modern-variant|unlicense|wtfpl|ncsa|ofl-1\.1-(?:no-)?rfn|cc0-1\.0|"
+    r"cc-by(?:-nc)?(?:-sa|-nd)?-[0-9]\.[0-9]|psf-2\.0|postgresql|x11|curl|libpng(?:-2\.0)?|openssl|ssh-openssh|ruby|vim|tcl|ms-pl|ms-rl|hpnd|icu|unicode-(?:dfs-2016|3\.0)|w3c|bzip2-1\.0\.6|json|beerware|(?:documentref-[a-z0-9.-]+:)?licenseref-[a-z0-9.-]+"
+)
 #: Alternatives of a step that are listed; an expression with more is kept in postfix order. Licences are named in any case.
 ALTERNATIVES = 256
 
@@ -121,12 +142,32 @@ def evaluate(expression: str) -> tuple[list[str], list[list[str]] | None] | None
     return names, sorted(sorted(x) for x in stack[0])
 
 
+def _known(token: str) -> bool:
+    return _KNOWN.fullmatch(token.lower()) is not None
+
+
 def _leading(tokens: list[str]) -> list[str]:
-    """The tokens up to where prose begins: two operands side by side."""
-    for i in range(1, len(tokens)):
-        if tokens[i].lower() not in _BINDS and tokens[i] != ")" and (tokens[i - 1] == ")" or tokens[i - 1].lower() not in (*_BINDS, "(")) or tokens[i] == "(" and tokens[i - 1].lower() not in (*_BINDS, "("):
-            return tokens[:i]
-    return tokens
+    """The tokens up to where prose begins.
+
+    That is after an operand with a full stop, before two operands side by side, and before an operator
+    that is not in capitals unless known identifiers stand on both sides. A lone operand has to be known.
+    """
+    out: list[str] = []
+    for i, token in enumerate(tokens):
+        operand, before = token.lower() not in (*_BINDS, "(", ")"), out[-1] if out else "("
+        after_operand = before == ")" or before.lower() not in (*_BINDS, "(")
+        if (operand or token == "(") and after_operand:
+            break
+        if token.lower() in _BINDS and not token.isupper():
+            following = next((t for t in tokens[i + 1 :] if t != "("), "")
+            own = next((t for t in reversed(out) if t != ")"), "")
+            if not (_known(own) and _known(following.rstrip(".:-"))):
+                break
+        out.append(token.rstrip(".:-") if operand else token)
+        if operand and token != out[-1]:
+            break
+    names = [t for t in out if t.lower() not in (*_BINDS, "(", ")")]
+    return out if len(names) > 1 or all(map(_known, names)) else []
 
 
 _RESULT = pa.schema([("doc_id", pa.int64()), ("n_words", pa.int64()), ("n_base", pa.int64()), ("first_word", pa.int64()), ("last_word", pa.int64()), ("base_labels", pa.string()), ("labels", pa.string()), ("expressions", pa.list_(pa.string())), ("score", pa.float64())])
@@ -183,10 +224,11 @@ def scan_licenses(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     overlap. ``n_base`` counts all places of the base phrases; first_word and last_word are the
     smallest and largest word numbers (from 0) at which one starts, null if none. ``labels`` adds other
     notices and the licences named by identifier tags, whose expressions are listed as alternatives, or
-    in postfix order where these are too many.
+    in postfix order where these are too many. A tag's licence alone has to be a known identifier or a
+    LicenseRef; joined by AND, OR and WITH in capitals any names count; what follows as prose does not.
     The score is 1 with a valid tag, 0 without labels, else n / (n + 1) for n places. Null and empty
     texts have no words and empty labels; rows are judged one by one, so repeated rows and ids give
-    equal results.
+    equal results and there are no ties; a text of any length is scanned whole, in one pass.
     """
     kind = "doc_id long, n_words long, n_base long, first_word long, last_word long, base_labels string, labels string, expressions array<string>, score double"
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(_scan, kind)

@@ -50,3 +50,20 @@ def test_long_combined_statements_keep_their_licences(spark):
     assert row.expressions[0].split().count("and") == 11 and row.expressions[0].split().count("or") == 12
     odd = evaluate(" WITH ".join(f"(x{i}a OR x{i}b)" for i in range(40)))
     assert odd[1] is None and len(odd[0]) < 1000 and any("x39b" in x for x in odd[0])
+
+
+@pytest.mark.parametrize(
+    "tag, labels",
+    [
+        ("MIT.", "mit"), ("MIT and then more text", "mit"), ("Apache-2.0 or later version", "apache-2.0"), ("foo", ""), ("LicenseRef-own-1", "licenseref-own-1"), ("GPL-2.0-or-later, see COPYING", "gpl-2.0-or-later"),
+        ("MIT or Apache-2.0", "apache-2.0,mit"), ("(MIT OR own) */", "mit,own"), ("MIT OR Apache-2.0. Then AND more", "apache-2.0,mit"), ("BSD-3-Clause with thanks", "bsd-3-clause"), ("the usual", ""), ("", ""),
+    ],
+)
+def test_tags_end_where_prose_begins(spark, tag, labels):
+    row = scan_licenses(spark.createDataFrame([(1, f"// SPDX-License-Identifier: {tag}\n")], "doc_id long, text string")).first()
+    assert (row.labels, row.score == 1.0) == (labels, bool(labels))
+
+
+def test_very_long_text(spark):
+    row = scan_licenses(spark.createDataFrame([(1, "word " * 3_000_000 + "MIT license")], "doc_id long, text string")).first()
+    assert (row.n_words, row.n_base, row.first_word, row.labels) == (3_000_002, 1, 3_000_000, "mit")
