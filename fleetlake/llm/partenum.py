@@ -329,13 +329,18 @@ def similar_components(docs: DataFrame, n: int = 5, percent: int = 80, id_col: s
     with fewer words the whole sequence is one shingle, with none the set is empty. Two texts link when
     100 * |A and B| >= percent * |A or B| and neither is empty; equal sets therefore link. The component
     is the smallest id that links reach. A null or empty text is linked with nothing: its component is
-    its own id. Ids are integers; rows with a null id get a null component when alone and count for
-    nothing in others' minimum; repeated rows are equal sets.
+    its own id. Ids are integers; rows with a null id link like others, but count for nothing in the
+    minimum, and their component is null if no row that they reach has an id; repeated rows are equal
+    sets. A text of any length is one set.
     """
     docs = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
-    sets = saved(docs.mapInArrow(_set_rows(n, percent), "id long, n_shingles long, h1 long, h2 long, sketch binary"), "sets")
-    classes = sets.where("n_shingles > 0").groupBy("h1", "h2").agg(F.min("id").alias("rep"), F.max("n_shingles").alias("size"), F.any_value("sketch").alias("sketch"))
-    classes = saved(classes.where("rep is not null"), "classes")
+    # rows without an id go by a hash of their text; statistics let the scan skip them where there are none
+    named, others = docs.where("id is not null"), docs.where("id is null").withColumn("id", F.xxhash64(F.lit("no id"), "text"))
+    docs = named.union(others)
+    made = lambda df, own: df.mapInArrow(_set_rows(n, percent), "id long, n_shingles long, h1 long, h2 long, sketch binary").withColumn("own", own)
+    sets = saved(made(named, F.col("id")).union(made(others, F.lit(None).cast("long"))), "sets")
+    classes = sets.where("n_shingles > 0").groupBy("h1", "h2").agg(F.min("id").alias("rep"), F.min("own").alias("own"), F.max("n_shingles").alias("size"), F.any_value("sketch").alias("sketch"))
+    classes = saved(classes, "classes")
 
     sigs = docs.select("text").mapInArrow(_signature_rows(n, percent), "sig long, h1 long, root long")
     edges = sigs.repartition("sig").sortWithinPartitions("sig", "h1").mapInArrow(_shared, "a long, b long")
@@ -356,6 +361,8 @@ def similar_components(docs: DataFrame, n: int = 5, percent: int = 80, id_col: s
     joined = components(saved(_joined(rows, percent, True), "links"))
     discard(tight)
 
-    ids = classes.select("h1", "h2", "rep").join(joined.withColumnRenamed("node", "rep"), "rep", "left")
-    ids = saved(ids.select("h1", "h2", F.coalesce("label", "rep").alias("component")), "ids")
-    return sets.join(ids, ["h1", "h2"], "left").select("id", "n_shingles", F.when(F.col("n_shingles") > 0, F.col("component")).otherwise(F.col("id")).alias("component_id"))
+    joined = joined.withColumnRenamed("node", "rep").join(classes.select("rep", "own"), "rep")
+    joined = joined.join(joined.groupBy("label").agg(F.min("own").alias("least")), "label").select("rep", "least", F.lit(True).alias("linked"))
+    ids = classes.select("h1", "h2", "rep", "own").join(joined, "rep", "left")
+    ids = saved(ids.select("h1", "h2", F.when(F.col("linked"), F.col("least")).otherwise(F.col("own")).alias("component")), "ids")
+    return sets.join(ids, ["h1", "h2"], "left").select(F.col("own").alias("id"), "n_shingles", F.when(F.col("n_shingles") > 0, F.col("component")).otherwise(F.col("own")).alias("component_id"))

@@ -98,3 +98,14 @@ def test_a_shared_passage_makes_no_large_family(spark):
     rows = [(i, " ".join([*(word() for _ in range(150)), passage, *(word() for _ in range(150))])) for i in range(300)]
     out = similar_components(spark.createDataFrame(rows, "doc_id long, text string"), 5, 80)
     assert out.where(F.col("id") != F.col("component_id")).isEmpty()
+
+
+def test_links_through_rows_without_an_id(spark):
+    """The outer texts are linked only by the middle one, which has no id."""
+    words = [f"w{i}" for i in range(300)]
+    texts = [words[:280], words[10:290], words[20:]]
+    for ids, want in (((1, 2, 3), {1}), ((1, None, 3), {1}), ((None, 5, None), {5}), ((None, None, None), {None})):
+        rows = [(i, " ".join(t)) for i, t in zip(ids, texts, strict=True)]
+        got = similar_components(spark.createDataFrame([*rows, (9, "x y z"), (None, None)], "doc_id long, text string"), n=3, percent=90)
+        assert {r.component_id for r in got.collect() if r.n_shingles > 100} == want
+        assert sorted((r.id, r.component_id) for r in got.collect() if r.id == 9) == [(9, 9)]
