@@ -1,4 +1,4 @@
-"""The three vectorised helpers: indel ratio, label-fragment parser, HTML entities."""
+"""Helpers that run in Python: label-fragment parser, HTML entities, well-formed XML; and a plain reference of the common subsequence."""
 
 from __future__ import annotations
 
@@ -9,7 +9,7 @@ from xml.parsers import expat
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
-from pyspark.sql.types import BooleanType, DoubleType, StringType
+from pyspark.sql.types import BooleanType, StringType
 
 
 def lcs_length(a: str, b: str) -> int:
@@ -25,12 +25,6 @@ def lcs_length(a: str, b: str) -> int:
     return len(a) - row.bit_count()
 
 
-@F.pandas_udf(DoubleType())
-def indel_ratio(a: pd.Series, b: pd.Series) -> pd.Series:
-    """100 * 2 * LCS / (|a| + |b|); 100 for two empty strings."""
-    return pd.Series([100.0 if not x and not y else 200.0 * lcs_length(x, y) / (len(x) + len(y)) for x, y in zip(a, b, strict=True)], dtype="float64")
-
-
 @F.pandas_udf(StringType())
 def _all_entities(v: pd.Series) -> pd.Series:
     return v.map(html.unescape, na_action="ignore")

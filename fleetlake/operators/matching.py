@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.helpers import indel_ratio
 from ..functions.text import glob_pattern, normalize_name
 from ..sources.storage import saved
+from .fuzzy import similar_names
 
 #: Titles that are never matched.
 IGNORED_TITLES = ("Apple macOS *", "Oracle Java SE *", "Eclipse Temurin *", "Apple Safari", "Apple Xcode", "Microsoft Visual Studio", "Adobe *", "Jamf *")
@@ -42,47 +42,6 @@ def match_direct(names: DataFrame, slugs: DataFrame) -> DataFrame:
     return df.join(slugs.select("slug"), "slug").groupBy("title_id", "slug").agg(F.min("pos").alias("pos")).select("title_id", "pos", "slug")
 
 
-def _bigrams(c: Column) -> Column:
-    """Bigrams with the number of their repeat, so that a multiset joins like a set."""
-    n = F.length(c) - 1
-    plain = F.when(n > 0, F.transform(F.sequence(F.lit(1), n), lambda i: F.substr(c, i, F.lit(2)))).otherwise(F.array().cast("array<string>"))
-    return F.transform(plain, lambda g, i: F.concat(g, F.size(F.filter(F.slice(plain, F.lit(1), i), lambda x: x == g)).cast("string")))
-
-
-def similar_names(names: DataFrame, slugs: DataFrame, threshold: float = 85.0) -> DataFrame:
-    """(name, slug, ratio): the best slug of each distinct name by indel ratio, if it reaches the threshold; ties by slug.
-
-    Candidates share one of their rarest bigrams. A pair of ratio t has at least (1.5 t - 1)(|a| + |b|) - 1
-    bigrams in common, so it is enough to post so many of each side's rarest bigrams that this many can't
-    all lie in the rest; short pairs, for which that number is below one, meet by a character in common.
-    Thresholds up to 66.7 leave no such bound and raise. Candidates are cut down by the edit distance,
-    which never exceeds the indel distance, before the ratio is taken.
-    """
-    t = threshold / 100
-    if t <= 2 / 3:
-        raise ValueError("threshold must be over 66.7")
-    names, slugs = names.select("name").distinct(), slugs.select("slug").distinct()
-    grams = lambda df, c: df.select(c, F.explode(_bigrams(F.col(c))).alias("g"))
-    count = grams(slugs, "slug").groupBy("g").agg(F.count("*").alias("n"))
-
-    def rare(df: DataFrame, c: str) -> DataFrame:
-        # the partner's length is at least t / (2 - t) of this one's
-        shared = F.greatest(F.lit(1), F.ceil((1.5 * t - 1) * (F.length(c) * (2 / (2 - t))) - 1 - 1e-9))
-        order = Window.partitionBy(c).orderBy(F.coalesce("n", F.lit(0)), "g")
-        ranked = grams(df, c).join(count, "g", "left").withColumn("r", F.row_number().over(order))
-        return ranked.where(F.col("r") <= F.length(c) - 1 - shared + 1).select(c, "g")
-
-    short = lambda df, c: df.where(F.length(c) * (1.5 * t - 1) < 1).select(c, F.explode(F.array_distinct(F.split(c, ""))).alias("g"))
-    both = F.length("name") + F.length("slug")
-    near = (2 * F.least(F.length("name"), F.length("slug")) >= t * both - 1e-9) & (F.levenshtein("name", "slug") <= (1 - t) * both + 1e-9)
-    pairs = rare(names, "name").join(rare(slugs, "slug"), "g").union(short(names, "name").join(short(slugs, "slug"), "g"))
-    pairs = pairs.where(near).select("name", "slug").distinct()
-    equal = names.join(slugs, names["name"] == slugs["slug"]).select("name", "slug", F.lit(100.0).alias("ratio"))
-    scored = pairs.where("name <> slug").select("name", "slug", indel_ratio("name", "slug").alias("ratio")).where(F.col("ratio") >= threshold)
-    best = equal.union(scored).groupBy("name").agg(F.min(F.struct((-F.col("ratio")).alias("r"), "slug")).alias("b"))
-    return best.select("name", F.col("b.slug").alias("slug"), (-F.col("b.r")).alias("ratio"))
-
-
 def match_fuzzy(names: DataFrame, slugs: DataFrame, threshold: float = 85.0) -> DataFrame:
     """(title_id, pos, slug): the best slug of each lower-cased name."""
     low = names.select("title_id", "pos", F.lower("app_name").alias("name"))

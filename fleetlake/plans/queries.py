@@ -414,13 +414,31 @@ MATCH = cte("title_app_names", "label_rows").rstrip() + f""",
 m AS (SELECT title_id, min(2 * pos + kind) AS pos, slug FROM (SELECT title_id, pos, 0 AS kind, lower(app_name) AS slug FROM title_app_names UNION ALL SELECT title_id, pos, 1, {norm("app_name")} FROM title_app_names) n
  WHERE slug IN (SELECT name FROM label_rows) GROUP BY title_id, slug)
 """
+
+
+def fuzzy_sql(names: str, slugs: str, tag: str, threshold: float = 85) -> str:
+    """CTEs that end in ``best_<tag>`` (name, slug, ratio): every pair of names and slugs, cut down by the edit distance, by a common subsequence of bit rows (names of up to 120 characters)."""
+    t = threshold / 100
+    mask = "list_sum(list_transform(range(length(name)), lambda i: CASE WHEN name[CAST(i AS INT) + 1] = slug[CAST(j AS INT)] THEN 1::HUGEINT << CAST(i AS INT) ELSE 0::HUGEINT END))"
+    full = "((1::HUGEINT << length(name)) - 1)"
+    return f"""near_{tag} AS (SELECT name, slug FROM (SELECT DISTINCT name FROM ({names})) a JOIN (SELECT DISTINCT slug FROM ({slugs})) b
+ ON 2 * least(length(name), length(slug)) >= {t} * (length(name) + length(slug)) - 1e-9 AND levenshtein(name, slug) <= {1 - t} * (length(name) + length(slug)) + 1e-9),
+hits_{tag} AS (SELECT name, slug, list_transform(range(1, length(slug) + 1), lambda j: CAST({mask} AS HUGEINT)) AS hits FROM near_{tag}),
+rows_{tag} AS (SELECT name, slug, list_reduce(hits, lambda r, m: ((r + (r & m)) | (r - (r & m))) & {full}, {full}) AS bits FROM hits_{tag}),
+best_{tag} AS (SELECT name, slug, 200.0::DOUBLE * (length(name) - bit_count(bits)) / (length(name) + length(slug)) AS ratio FROM rows_{tag} WHERE ratio >= {threshold} QUALIFY row_number() OVER (PARTITION BY name ORDER BY ratio DESC, slug) = 1)"""
+
+
 add("f01_normalize_name", lambda t: t.table("part").select("p_partkey", x.normalize_name(F.concat("p_name", F.lit(" - (É) "), "p_brand")).alias("key")), "SELECT p_partkey, regexp_replace(lower(p_name || ' - (É) ' || p_brand), '[^a-z0-9]+', '', 'g') AS key FROM part")
 add("f02_drop_ignored", lambda t: matching.drop_ignored(t.titles, ["a*ue *", "?l* 1[0-4]*", "*[!0-8]"]).select("title_id"), f"WITH {TITLES}\nSELECT title_id FROM titles WHERE NOT (title GLOB 'a*ue *' OR title GLOB '?l* 1[0-4]*' OR title GLOB '*[!0-8]' OR title GLOB 'Adobe *' OR title GLOB 'Jamf *' OR title GLOB 'Apple macOS *')")
 add("f03_match_by_code", lambda t: matching.match_by_code(t.titles, t.labels.selectExpr("upper(hex(ord % 100)) AS code", "name").groupBy("code").agg(F.array_sort(F.collect_list("name")).alias("slugs")), _slugs(t).where("slug not like '%9'")).select("title_id", "slug"),
     MATCH + "SELECT title_id, name AS slug FROM titles JOIN label_rows ON name_id = upper(hex(ord % 100)) WHERE name NOT LIKE '%9'")
 add("f04_match_direct", lambda t: matching.match_direct(_names(t), _slugs(t)), MATCH + "SELECT title_id, pos, slug FROM m")
-add("f05_match_fuzzy", lambda t: matching.match_fuzzy(_names(t), _slugs(t)))
-add("f06_second_pass", lambda t: matching.second_pass(t.titles, t.casks.select(x.normalize_name("name").alias("slug"))))
+add("f05_match_fuzzy", lambda t: matching.match_fuzzy(_names(t), _slugs(t)),
+    MATCH.rstrip() + ",\n" + fuzzy_sql("SELECT lower(app_name) AS name FROM title_app_names", "SELECT name AS slug FROM label_rows", "n") + "\nSELECT title_id, min(pos) AS pos, slug FROM title_app_names JOIN best_n ON name = lower(app_name) GROUP BY title_id, slug")
+_NAMED = f"SELECT title_id, {norm('title')} AS name FROM titles"
+add("f06_second_pass", lambda t: matching.second_pass(t.titles, t.casks.select(x.normalize_name("name").alias("slug"))),
+    MATCH.rstrip() + f",\ns AS (SELECT DISTINCT {norm('name')} AS slug FROM ({SQL['cask_rows']})),\nd AS ({_NAMED}),\n" + fuzzy_sql("SELECT name FROM d WHERE name NOT IN (SELECT slug FROM s)", "SELECT slug FROM s", "t") + """
+SELECT title_id, 0 AS pos, name AS slug FROM d WHERE name <> '' AND name IN (SELECT slug FROM s) UNION ALL SELECT title_id, 0, slug FROM d JOIN best_t USING (name) WHERE name <> ''""")
 add("f07_attach_sources", lambda t: matching.attach_sources(matching.match_direct(_names(t), _slugs(t)), t.apps, ["installomator", "homebrew_cask"]).select("title_id", F.explode("sources").alias("source", "slugs")).select("title_id", "source", F.array_join("slugs", " ").alias("slugs")),
     APPS.rstrip() + ",\n" + MATCH.removeprefix("WITH ").replace(f"label_rows AS ({SQL['label_rows']}),\n", "").rstrip() + "\nSELECT title_id, s.source, string_agg(slug, ' ' ORDER BY pos) AS slugs FROM m JOIN (SELECT slug, unnest(src) AS source FROM apps) s USING (slug) WHERE s.source IN ('installomator', 'homebrew_cask') GROUP BY ALL")
 add("f08_enrich_native_ids", lambda t: matching.enrich_native_ids(matching.attach_sources(matching.match_direct(_names(t), _slugs(t)), t.apps), t.apps).select("title_id", F.explode("sources").alias("source", "names")).select("title_id", "source", F.array_join(F.array_sort("names"), "|").alias("names")),
@@ -429,9 +447,25 @@ SELECT title_id, s.source, CASE s.source WHEN 'autopkg' THEN max(repos) WHEN 'ja
  FROM m JOIN (SELECT slug, repos, i_title, unnest(src) AS source FROM apps) s USING (slug) GROUP BY title_id, s.source""")
 add("f09_unmatched", lambda t: matching.unmatched(t.titles, _names(t), matching.match_direct(_names(t), _slugs(t))).select("title_id", F.array_join("app_names", "|").alias("app_names")),
     MATCH + "SELECT title_id, coalesce(app_name, '') AS app_names FROM titles LEFT JOIN title_app_names USING (title_id) WHERE title_id NOT IN (SELECT title_id FROM m)")
-add("f10_match_titles", lambda t: matching.match_titles(t.titles, _names(t), t.apps, catalog.code_index(t.apps, t.standin("catalog_title_rows"))))
+add("f10_match_titles", lambda t: matching.match_titles(t.titles, _names(t), t.apps, catalog.code_index(t.apps, t.standin("catalog_title_rows"))),
+    APPS.rstrip() + ",\n" + MATCH.removeprefix("WITH ").replace(f"label_rows AS ({SQL['label_rows']}),\n", "").rsplit("m AS", 1)[0].rstrip() + f"""
+c AS (SELECT DISTINCT slug FROM apps WHERE list_contains(src, 'installomator') OR list_contains(src, 'homebrew_cask')),
+live AS (SELECT * FROM titles WHERE NOT ({' OR '.join(f"title GLOB '{g}'" for g in matching.IGNORED_TITLES)})),
+ct AS ({SQL['catalog_title_rows']}),
+codes AS (SELECT code, slug, CAST(row_number() OVER (PARTITION BY code ORDER BY slug) - 1 AS INT) AS pos FROM (SELECT jamf_id AS code, slug FROM apps WHERE jamf_id <> '' UNION SELECT ct.name_id, slug FROM apps JOIN ct ON {norm('app_name')} = key)),
+by_code AS (SELECT title_id, 'code' AS step, pos, slug FROM live JOIN codes ON code = live.name_id WHERE slug IN (SELECT slug FROM c)),
+n1 AS (SELECT * FROM title_app_names WHERE title_id IN (SELECT title_id FROM live) AND title_id NOT IN (SELECT title_id FROM by_code)),
+direct AS (SELECT title_id, 'direct' AS step, min(2 * pos + kind) AS pos, slug FROM (SELECT title_id, pos, 0 AS kind, lower(app_name) AS slug FROM n1 UNION ALL SELECT title_id, pos, 1, {norm("app_name")} FROM n1) WHERE slug IN (SELECT slug FROM c) GROUP BY title_id, slug),
+n2 AS (SELECT * FROM n1 WHERE title_id NOT IN (SELECT title_id FROM direct)),
+""" + fuzzy_sql("SELECT lower(app_name) AS name FROM n2", "SELECT slug FROM c", "n") + """,
+fuzzy AS (SELECT title_id, 'fuzzy' AS step, min(pos) AS pos, slug FROM n2 JOIN best_n ON name = lower(app_name) GROUP BY title_id, slug),
+d AS (""" + _NAMED.replace("FROM titles", "FROM live") + """ WHERE title_id NOT IN (SELECT title_id FROM by_code UNION SELECT title_id FROM direct UNION SELECT title_id FROM fuzzy)),
+""" + fuzzy_sql("SELECT name FROM d WHERE name NOT IN (SELECT slug FROM c)", "SELECT slug FROM c", "t") + """
+SELECT title_id, step, pos, slug FROM by_code UNION ALL SELECT title_id, step, pos, slug FROM direct UNION ALL SELECT title_id, step, pos, slug FROM fuzzy
+UNION ALL SELECT title_id, 'second pass', 0, name FROM d WHERE name <> '' AND name IN (SELECT slug FROM c) UNION ALL SELECT title_id, 'second pass', 0, slug FROM d JOIN best_t USING (name) WHERE name <> ''""")
 add("f11_candidate_apps", lambda t: matching.candidate_apps(t.apps, ["installomator", "autopkg"]).select("slug"), APPS + "SELECT slug FROM apps WHERE is_label")
-add("h01_indel_ratio", lambda t: matching.similar_names(t.table("part").selectExpr("lower(p_name || ' ' || p_size) AS name"), t.table("part").select(x.normalize_name(F.concat("p_name", "p_size")).alias("slug")), 80.0))
+add("h01_indel_ratio", lambda t: matching.similar_names(t.table("part").selectExpr("lower(p_name || ' ' || p_size) AS name"), t.table("part").select(x.normalize_name(F.concat("p_name", "p_size")).alias("slug")), 80.0),
+    "WITH " + fuzzy_sql("SELECT lower(p_name || ' ' || p_size) AS name FROM part", f"SELECT {norm('p_name || p_size')} AS slug FROM part", "n", 80) + "\nSELECT name, slug, ratio FROM best_n")
 
 # --- labels ----------------------------------------------------------------------------------------
 

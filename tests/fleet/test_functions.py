@@ -33,7 +33,7 @@ def test_lcs(a, b):
     assert helpers.lcs_length(a, b) == plain_lcs(a, b)
 
 
-@pytest.mark.parametrize("threshold", [85, 80, 70])
+@pytest.mark.parametrize("threshold", [100, 85, 80, 70])
 def test_blocking_loses_no_pair(spark, threshold):
     draw = random.Random(4)
     base = ["ab", "xyz", *("".join(draw.choices("abcdefgh12", k=draw.randint(1, 12))) for _ in range(60))]
