@@ -64,7 +64,7 @@ def lcs_length(a: Column | str, b: Column | str) -> Column:
 
     rows = F.aggregate(bound(blocks, lambda all_: F.transform(characters(b), lambda c: F.transform(all_, lambda m: of(m, c)))), F.transform(starts, lambda _: ones), long_step)
     long_length = F.aggregate(rows, F.lit(0), lambda n, row: n + F.lit(BLOCK) - F.bit_count(row))
-    return F.when(F.length(a) <= BLOCK, short_length).when(a.isNotNull() & b.isNotNull(), long_length)
+    return F.when(a.isNotNull() & b.isNotNull(), F.when(F.length(a) <= BLOCK, short_length).otherwise(long_length))
 
 
 def indel_ratio(a: Column | str, b: Column | str) -> Column:

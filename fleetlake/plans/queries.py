@@ -10,9 +10,10 @@ from pyspark.sql import functions as F
 
 from ..functions import text as x
 from ..functions.versions import parse_version
-from ..operators import catalog, compliance, diff, labels, lines, matching, reports, stitch, titles, trends
+from ..operators import catalog, compliance, diff, incremental, labels, lines, matching, reports, stitch, titles, trends
 from ..sources import catalogs, snapshots, storage
 from ..sources import titles as hydrate
+from ..streaming import files
 from .standins import SNAPSHOTS, SQL, TITLES, Tables
 
 AS_OF = "2001-11-05 00:00:00"
@@ -137,8 +138,9 @@ add(
     cte("title_app_names") + "SELECT title_id, app_name AS app_names FROM title_app_names",
 )
 add(
-    "a12_titles_envelope", lambda t: hydrate.titles_envelope(t.titles.select("title_id", "title", "hosts_patched"), "Fleet", at(AS_OF)).select("report_title", "title_count", F.length("titles").cast("long").alias("size")),
-    f"WITH {TITLES}\nSELECT 'Fleet' AS report_title, count(*) AS title_count, CAST(sum(length('{{\"title_id\":\"\",\"hosts_patched\":,\"title\":\"\"}},') + length(title_id) + length(CAST(hosts_patched AS VARCHAR)) + length(title)) + 1 AS BIGINT) AS size FROM titles",
+    "a12_titles_envelope",
+    lambda t: hydrate.titles_envelope(t.titles.select("title_id", "title", "hosts_patched"), "Fleet", at(AS_OF)).select("report_title", "title_count", F.explode(F.from_json("titles", "array<struct<title_id:string,title:string,hosts_patched:long>>")).alias("x")).select("report_title", "title_count", "x.*"),
+    f"WITH {TITLES}\nSELECT 'Fleet' AS report_title, (SELECT count(*) FROM titles) AS title_count, title_id, title, hosts_patched FROM titles",
 )
 
 
@@ -204,6 +206,33 @@ add(
     "a20_upsert", lambda t: storage.upsert(t.casks.select("token", "version", "ord"), t.casks.where("ord % 3 = 0").selectExpr("token", "version || 'b' AS version", "ord").union(t.casks.where("ord % 3 = 0").selectExpr("token", "version || 'a' AS version", "ord - 1")).union(t.casks.where("ord % 5 = 0").selectExpr("token || 'n' AS token", "version", "ord")), ["token"]),
     cte("cask_rows") + "SELECT token, CASE WHEN ord % 3 = 0 THEN version || 'b' ELSE version END AS version, ord FROM cask_rows UNION ALL SELECT token || 'n', version, ord FROM cask_rows WHERE ord % 5 = 0",
 )
+
+
+def _cask_updates(t: Tables) -> DataFrame:
+    last, first = t.casks.where("ord % 3 = 0").selectExpr("token", "version || 'b' AS version", "ord"), t.casks.where("ord % 3 = 0").selectExpr("token", "version || 'a' AS version", "ord - 1")
+    return last.union(first).union(t.casks.where("ord % 5 = 0").selectExpr("token || 'n' AS token", "version", "ord"))
+
+
+def _upserted_in_place(t: Tables) -> DataFrame:
+    path = storage.shared_path(t.spark, "casks")
+    storage.write_bucketed(t.casks.select("token", "version", "ord"), path, ["token"], 16)
+    storage.upsert_bucketed(_cask_updates(t), path)
+    return storage.read_bucketed(t.spark, path)
+
+
+def _upserted_from_files(t: Tables) -> DataFrame:
+    """The same updates as files that land in two lots, the older ones first, each taken in by a run of the file stream."""
+    path, folder, done = (storage.shared_path(t.spark, x) for x in ("casks", "landing", "done"))
+    storage.write_bucketed(t.casks.select("token", "version", "ord"), path, ["token"], 16)
+    rows = _cask_updates(t)
+    for lot in (rows.where("version like '%a'"), rows.where("version not like '%a'")):
+        lot.write.mode("append").json(folder)
+        files.take_in(t.spark, folder, rows.schema, path, done, ord="ord")
+    return storage.read_bucketed(t.spark, path)
+
+
+add("a20_upsert_in_place", _upserted_in_place, QUERIES["a20_upsert"][1])
+add("a20_upsert_from_files", _upserted_from_files, QUERIES["a20_upsert"][1])
 _RES = cte("label_rows", "resolved") + """, r AS (SELECT ord, label, ok, replace(downloadURL, '&amp;', '&') AS url, appNewVersion AS version FROM resolved),
 f AS (SELECT r.*, l.name IS NOT NULL AS known, url LIKE 'http%' AS gu, version NOT LIKE '%<%' AND version IS NOT NULL AS gv FROM r LEFT JOIN label_rows l ON l.name = r.label)"""
 _RES = _RES.replace("\n, r AS", ", r AS")
@@ -254,6 +283,24 @@ s_query("c06_excluded_titles", trends.excluded_titles, "SELECT count(*) AS exclu
 s_query("c07_sort_trend", lambda s: trends.sort_trend(trends.patch_adoption(s), "released", ascending=False), _ADOPT)
 s_query("c08_apply_trend", lambda s: trends.apply_trend(s, "release-frequency", "release_count"), "SELECT title, count(DISTINCT day) AS release_count FROM snaps GROUP BY 1")
 
+
+def _state(t: Tables) -> tuple[DataFrame, DataFrame]:
+    """The trend state after all snapshots: built over all but the newest, which arrives alone."""
+    path, state = storage.shared_path(t.spark, "history"), storage.shared_path(t.spark, "state")
+    t.snapshots.withColumn("snapshot_date", F.to_date("snapshot_ts")).write.partitionBy("snapshot_date").parquet(path)
+    table = t.spark.read.parquet(path)
+    newest = table.agg(F.max("snapshot_date")).first()[0]
+    incremental.update_trends(table.where(F.col("snapshot_date") < F.lit(newest)), state)
+    incremental.update_trends(table, state)
+    return incremental.read_state(t.spark, state)
+
+
+_CROSSED = f"SELECT title, round_even(avg({_DAYS}), 2) AS avg_days, count(*) AS sample_size, 80.0::DOUBLE AS threshold FROM snaps WHERE completion_percent >= 80 AND day IS NOT NULL GROUP BY 1"
+add("c01_adoption_from_state", lambda t: incremental.patch_adoption(_state(t)[0]), f"WITH {SNAPSHOTS}\n{_ADOPT}")
+add("c03_trends_from_state", lambda t: incremental.completion_trends(_state(t)[0]), QUERIES["c03_completion_trends"][1])
+add("c04_time_to_patch_from_state", lambda t: incremental.time_to_patch(_state(t)[0]), f"WITH {SNAPSHOTS}\n{_CROSSED}")
+add("c05_stale_apps_from_state", lambda t: trends.stale_apps(_state(t)[1]), QUERIES["c05_stale_apps"][1])
+
 # --- snapshot selection and diff -------------------------------------------------------------------
 
 s_query("d01_list_snapshots", diff.list_snapshots, "SELECT DISTINCT snapshot_ts, 'snapshot-' || strftime(snapshot_ts, '%Y-%m-%dT%H:%M:%S') AS label FROM snaps")
@@ -263,14 +310,14 @@ s_query("d04_select_baseline", lambda s: diff.select_baseline(s, at(SNAP_AS_OF),
 
 
 def _pair(t: Tables) -> tuple[DataFrame, DataFrame]:
-    frm, to = diff.diff_pair(t.snapshots)
-    return frm.where("cast(title_id as int) % 13 > 0"), to.where("cast(title_id as int) % 17 > 0")
+    """The two newest years; titles that ship in only one of them come and go."""
+    return diff.diff_pair(t.snapshots)
 
 
 PAIR = f"""WITH {SNAPSHOTS},
 times AS (SELECT DISTINCT snapshot_ts FROM snaps ORDER BY 1 DESC LIMIT 2),
-f AS (SELECT * FROM snaps WHERE snapshot_ts = (SELECT min(snapshot_ts) FROM times) AND CAST(title_id AS INT) % 13 > 0),
-t AS (SELECT * FROM snaps WHERE snapshot_ts = (SELECT max(snapshot_ts) FROM times) AND CAST(title_id AS INT) % 17 > 0),
+f AS (SELECT * FROM snaps WHERE snapshot_ts = (SELECT min(snapshot_ts) FROM times)),
+t AS (SELECT * FROM snaps WHERE snapshot_ts = (SELECT max(snapshot_ts) FROM times)),
 ch AS (SELECT title_id, t.title, f.completion_percent AS from_completion_percent, t.completion_percent AS to_completion_percent, f.total_hosts AS from_total_hosts, t.total_hosts AS to_total_hosts,
  f.latest_version AS from_latest_version, t.latest_version AS to_latest_version, round_even(t.completion_percent - f.completion_percent, 2) AS delta, f.latest_version IS DISTINCT FROM t.latest_version AS version_changed
  FROM f JOIN t USING (title_id) WHERE f.completion_percent <> t.completion_percent OR f.hosts_patched <> t.hosts_patched OR f.total_hosts <> t.total_hosts OR f.latest_version IS DISTINCT FROM t.latest_version)
@@ -288,12 +335,11 @@ add("d10_diff_summary", lambda t: diff.diff_summary(*_pair(t)), PAIR + f"""SELEC
 
 
 def _feed(t: Tables) -> DataFrame:
-    rows = [("15", "15.0.1"), ("16", "16.2.1"), ("17", "17.5.1"), ("44", "44.0.1")]
-    v = F.array(*(F.struct(F.lit(a).alias("OSVersion"), F.struct(F.lit(b).alias("ProductVersion"), F.lit("2001-10-01T00:00:00Z").alias("ReleaseDate")).alias("Latest")) for a, b in rows))
-    return compliance.flatten_os_feed(t.table("region").limit(1).select(v.alias("OSVersions")))
+    """The newest version that any device of a major version runs, as a feed."""
+    return compliance.flatten_os_feed(_seen(t).agg(F.array_sort(F.collect_list(F.struct("OSVersion", "Latest"))).alias("OSVersions")))
 
 
-_IOS = cte("ios_devices") + """, feed AS (SELECT * FROM (VALUES ('15', '15.0.1'), ('16', '16.2.1'), ('17', '17.5.1'), ('44', '44.0.1')) v(major, latest)),
+_IOS = cte("ios_devices") + """, feed AS (SELECT split_part(os_version, '.', 1) AS major, max(os_version) AS latest FROM ios_devices GROUP BY 1),
 os AS (SELECT 'iOS ' || latest AS title, 'iOS' AS title_id, 'Oct 01 2001' AS released, count(*) FILTER (os_version = latest) AS hosts_patched, count(*) FILTER (os_version <> latest) AS missing_patch, count(*) AS total_hosts,
  round_even(100.0::DOUBLE * count(*) FILTER (os_version = latest) / count(*), 2) AS completion_percent, latest AS latest_version FROM ios_devices JOIN feed ON major = split_part(os_version, '.', 1) GROUP BY latest)
 """
@@ -578,7 +624,7 @@ def flagship(t: Tables) -> DataFrame:
     return catalog.detect_drift(t.apps).select("slug", "name", "vendor", "leader", "laggard").orderBy("slug")
 
 
-add("flagship_catalog_drift", flagship, DRIFT + f"SELECT slug, name, vendor, {_D} FROM dr WHERE ka <> kb ORDER BY slug LIMIT 1000")
+add("flagship_catalog_drift", flagship, DRIFT + f"SELECT slug, name, vendor, {_D} FROM dr WHERE ka <> kb")
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

@@ -1,4 +1,4 @@
-"""Shared places and set-based upserts."""
+"""Shared places, set-based upserts, and bucketed tables of which an upsert rewrites only what changes."""
 
 from __future__ import annotations
 
@@ -50,3 +50,47 @@ def upsert(target: DataFrame, updates: DataFrame, keys: list[str], ord: str = "o
     """
     fresh = latest_by(updates, keys, ord).select(target.columns)
     return target.join(fresh.select(keys), keys, "left_anti").select(target.columns).unionByName(fresh)
+
+
+def _bucket(keys: list[str], buckets: int):
+    return F.pmod(F.xxhash64(*keys), F.lit(buckets)).cast("int")
+
+
+def write_bucketed(df: DataFrame, path: str, keys: list[str], buckets: int = 64) -> None:
+    """Write ``df``, a row for each key, as a table of hash buckets, one folder each; the number of buckets is kept beside it."""
+    df.sparkSession.createDataFrame([(buckets, keys)], "buckets int, keys array<string>").coalesce(1).write.json(f"{path}/_layout")
+    df.withColumn("bucket", _bucket(keys, buckets)).repartition("bucket").write.partitionBy("bucket").parquet(f"{path}/rows")
+
+
+def read_bucketed(spark: SparkSession, path: str) -> DataFrame:
+    return spark.read.parquet(f"{path}/rows").drop("bucket")
+
+
+def upsert_bucketed(updates: DataFrame, path: str, ord: str = "ord") -> int:
+    """``upsert`` into a bucketed table in place; returns the number of buckets that were rewritten.
+
+    Of updates with equal keys the last by ``ord`` counts. Updates that equal their row already are left
+    out, so applying the same updates again touches nothing; only buckets that the others fall into are
+    read and written, the rest keep their files. New rows of a bucket are written beside the table
+    before the bucket is replaced: a run that fails before that leaves the old rows, one that fails
+    while buckets are replaced is mended by repeating it.
+    """
+    spark = updates.sparkSession
+    layout = spark.read.json(f"{path}/_layout").first()
+    keys, buckets = layout["keys"], layout["buckets"]
+    rows = spark.read.parquet(f"{path}/rows")
+    columns = [c for c in rows.columns if c != "bucket"]
+    fresh = saved(latest_by(updates, keys, ord).select(columns).withColumn("bucket", _bucket(keys, buckets)), "fresh")
+    met = [r[0] for r in fresh.select("bucket").distinct().collect()]  # no more than there are buckets
+    old = rows.where(F.col("bucket").isin(met))
+    same = [F.col(f"a.{c}").eqNullSafe(F.col(f"b.{c}")) for c in columns]
+    wanted = saved(fresh.alias("a").join(old.alias("b"), [F.col(f"a.{c}").eqNullSafe(F.col(f"b.{c}")) for c in ("bucket", *keys)] + same, "left_anti"), "wanted")
+    changed = [r[0] for r in wanted.select("bucket").distinct().collect()]
+    if not changed:
+        return 0
+    old = rows.where(F.col("bucket").isin(changed))
+    kept = old.alias("a").join(wanted.alias("b"), [F.col(f"a.{c}").eqNullSafe(F.col(f"b.{c}")) for c in ("bucket", *keys)], "left_anti")
+    made = saved(kept.select(*columns, "bucket").unionByName(wanted.select(*columns, "bucket")), "buckets")
+    made.repartition("bucket").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("bucket").parquet(f"{path}/rows")
+    spark.catalog.refreshByPath(f"{path}/rows")
+    return len(changed)
