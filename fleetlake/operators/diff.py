@@ -34,6 +34,28 @@ def closest_snapshot(snaps: DataFrame, day: date) -> DataFrame:
     return snaps.select("snapshot_ts").distinct().orderBy(gap, "snapshot_ts").limit(1)
 
 
+def closest_snapshots(snaps: DataFrame, wanted: DataFrame, at: str = "at") -> DataFrame:
+    """``wanted`` with ``snapshot_ts``, the snapshot time nearest to its time ``at``; the earlier one of two, null without either.
+
+    Times and wanted times are sorted together within months and look back and forth for the nearest
+    known one; what lies in other months comes from one row for each month. So the wanted times are
+    dealt out once, by month, and no pair of a wanted and a known time is made.
+    """
+    month = F.date_trunc("month", "t").alias("month")
+    known = snaps.select(F.col("snapshot_ts").alias("t")).distinct()
+    both = known.withColumn("known", F.lit(True)).union(wanted.select(F.col(at).cast("timestamp")).where(F.col(at).isNotNull()).distinct().select("*", F.lit(False))).select("t", "known", month)
+    order = Window.partitionBy("month").orderBy("t", F.desc("known"))
+    own = F.when(F.col("known"), F.col("t"))
+    near = both.withColumns({"before": F.last(own, True).over(order.rowsBetween(Window.unboundedPreceding, 0)), "behind": F.first(own, True).over(order.rowsBetween(0, Window.unboundedFollowing))})
+    months = both.groupBy("month").agg(F.min(own).alias("first"), F.max(own).alias("last"))
+    line = Window.orderBy("month")  # a row for each month of the calendar that is met
+    months = months.select("month", F.last("last", True).over(line.rowsBetween(Window.unboundedPreceding, -1)).alias("earlier"), F.first("first", True).over(line.rowsBetween(1, Window.unboundedFollowing)).alias("later"))
+    near = near.where("not known").join(F.broadcast(months), "month").select("t", F.coalesce("before", "earlier").alias("a"), F.coalesce("behind", "later").alias("b"))
+    gap = lambda c: F.abs(F.unix_micros(c) - F.unix_micros("t"))
+    near = near.select(F.col("t").alias("__t"), F.when(F.col("b").isNull() | (gap("a") <= gap("b")), F.col("a")).otherwise(F.col("b")).alias("snapshot_ts"))
+    return wanted.join(near, F.col(at).cast("timestamp") == F.col("__t"), "left").drop("__t")
+
+
 def parse_window(text: str) -> timedelta:
     """'30d', '24h' or '1w' as a duration."""
     m = re.fullmatch(r"\s*(\d+)\s*([hdw])\s*", text.lower())

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as x
 from ..functions.versions import parse_version
-from ..operators import catalog, compliance, diff, incremental, labels, lines, matching, reports, stitch, titles, trends
+from ..operators import catalog, compliance, diff, incremental, labels, lines, matching, reports, search, stitch, titles, trends
 from ..sources import catalogs, snapshots, storage
 from ..sources import titles as hydrate
 from ..streaming import files
@@ -306,6 +306,12 @@ add("c05_stale_apps_from_state", lambda t: trends.stale_apps(_state(t)[1]), QUER
 s_query("d01_list_snapshots", diff.list_snapshots, "SELECT DISTINCT snapshot_ts, 'snapshot-' || strftime(snapshot_ts, '%Y-%m-%dT%H:%M:%S') AS label FROM snaps")
 s_query("d02_latest_snapshot", lambda s: diff.latest_snapshot(s).select(*SNAP_COLS), f"SELECT {', '.join(SNAP_COLS)} FROM snaps WHERE snapshot_ts = (SELECT max(snapshot_ts) FROM snaps)")
 s_query("d03_closest_snapshot", lambda s: diff.closest_snapshot(s, date(1998, 7, 2)), "SELECT snapshot_ts FROM (SELECT DISTINCT snapshot_ts FROM snaps) ORDER BY abs(epoch(snapshot_ts - TIMESTAMP '1998-07-02')), snapshot_ts LIMIT 1")
+add(
+    "d03_closest_snapshots", lambda t: diff.closest_snapshots(t.snapshots, t.table("orders").select("o_orderkey", F.col("o_orderdate").cast("timestamp").alias("at"))).select("o_orderkey", "snapshot_ts"),
+    f"""WITH {SNAPSHOTS}, times AS (SELECT DISTINCT snapshot_ts FROM snaps), days AS (SELECT DISTINCT CAST(o_orderdate AS TIMESTAMP) AS day FROM orders),
+near AS (SELECT day, arg_min(snapshot_ts, (abs(epoch(snapshot_ts - day)), snapshot_ts)) AS snapshot_ts FROM days, times GROUP BY day)
+SELECT o_orderkey, snapshot_ts FROM orders JOIN near ON day = CAST(o_orderdate AS TIMESTAMP)""",
+)
 s_query("d04_select_baseline", lambda s: diff.select_baseline(s, at(SNAP_AS_OF), since="750d"), f"SELECT min(snapshot_ts) AS snapshot_ts FROM snaps WHERE snapshot_ts >= TIMESTAMP '{SNAP_AS_OF}' - INTERVAL 750 DAY")
 
 
@@ -412,6 +418,23 @@ add("i17_stitch_counts", lambda t: stitch.stitch_counts(t.apps), APPS + """SELEC
 
 add("j01_list_apps", lambda t: flat(catalog.list_apps(t.apps, vendor="s%", source="homebrew_cask", exclude_source="autopkg", limit=50, offset=5)), APPS + f"SELECT {A_SQL} FROM apps WHERE vendor ILIKE 's%' AND list_contains(src, 'homebrew_cask') AND NOT list_contains(src, 'autopkg') ORDER BY slug LIMIT 50 OFFSET 5")
 add("j02_search_apps", lambda t: flat(catalog.search_apps(t.apps, "CASK-1", 60)), APPS + f"SELECT {A_SQL} FROM apps WHERE slug ILIKE '%cask-1%' OR name ILIKE '%cask-1%' OR vendor ILIKE '%cask-1%' OR bundle_id ILIKE '%cask-1%' ORDER BY slug LIMIT 60")
+
+
+def _indexed_search(t: Tables) -> DataFrame:
+    path = storage.shared_path(t.spark, "search")
+    apps = storage.saved(t.apps, "apps")
+    search.write_search_index(apps, path, 16)
+    return flat(search.search_indexed(apps, path, "CASK-1", 60))
+
+
+def _page(t: Tables) -> DataFrame:
+    path = storage.shared_path(t.spark, "catalog")
+    search.write_catalog(t.apps, path, 16)
+    return flat(search.page_after(t.spark, path, "app3", 50, vendor="s%", source="homebrew_cask"))
+
+
+add("j02_search_indexed", _indexed_search, QUERIES["j02_search_apps"][1])
+add("j01_page_after", _page, APPS + f"SELECT {A_SQL} FROM apps WHERE slug > 'app3' AND vendor ILIKE 's%' AND list_contains(src, 'homebrew_cask') ORDER BY slug LIMIT 50")
 add("j03_get_app", lambda t: flat(catalog.get_app(t.apps, "app6")), APPS + f"SELECT {A_SQL} FROM apps WHERE slug = 'app6'")
 add("j03_get_app_sources", lambda t: catalog.get_app_sources(t.apps, t.labels.where("ord % 4 = 0").select(F.col("name").alias("slug"))).select("slug", F.col("cask_detail.token").alias("token"), F.col("installer_detail.title").alias("title")), APPS + "SELECT slug, token, i_title AS title FROM apps JOIN label_rows l ON l.name = slug WHERE ord % 4 = 0")
 add("j04_catalog_summary", lambda t: catalog.catalog_summary(t.apps), APPS + "SELECT count(*) AS total, count(*) FILTER (is_label) AS installomator, count(token) AS homebrew_cask, count(n_recipes) AS autopkg, count(i_title) AS jamf_app_installer FROM apps")
