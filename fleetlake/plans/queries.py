@@ -144,6 +144,19 @@ add(
 )
 
 
+def _envelope_files(t: Tables) -> DataFrame:
+    """The envelope's files, read back line by line: its head and its titles."""
+    path = storage.shared_path(t.spark, "envelope")
+    hydrate.write_titles_envelope(t.titles.select("title_id", "title", "hosts_patched"), "Fleet", at(AS_OF), path)
+    lines = t.spark.read.text(path)
+    head = lines.where(F.col("value").endswith('"titles":[')).select(F.from_json(F.concat("value", F.lit("]}")), "report_title string, title_count long").alias("h")).select("h.*")
+    rows = lines.where(F.col("value").rlike('^,?[{]"title_id"')).select(F.from_json(F.ltrim("value", F.lit(",")), "title_id string, title string, hosts_patched long").alias("x")).select("x.*")
+    return rows.join(F.broadcast(head))  # one row
+
+
+add("a12_envelope_files", _envelope_files, QUERIES["a12_titles_envelope"][1])
+
+
 def _titles_ndjson(t: Tables) -> DataFrame:
     path = storage.shared_path(t.spark, "titles")
     hydrate.write_titles_ndjson(t.titles.select("title_id", "title", "hosts_patched", "completion_percent"), path)

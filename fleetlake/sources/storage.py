@@ -10,8 +10,12 @@ from pyspark.sql import functions as F
 
 
 def shared_path(spark: SparkSession, name: str) -> str:
-    """A new path under spark.checkpoint.dir; under a fresh temporary folder where that is unset (one machine, tests)."""
-    folder = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spark-")
+    """A new path under spark.checkpoint.dir; under a fresh temporary folder where that is unset on one machine (tests). On a cluster it has to be set."""
+    folder = spark.conf.get("spark.checkpoint.dir", None)
+    if not folder:
+        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+            raise ValueError("spark.checkpoint.dir has to name a folder that all executors share")
+        folder = tempfile.mkdtemp(prefix="spark-")
     return f"{folder.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 

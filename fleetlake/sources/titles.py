@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.text import blank_to_null, half_even
@@ -105,3 +105,20 @@ def titles_envelope(titles: DataFrame, report_title: str, as_of) -> DataFrame:
 def write_titles_ndjson(titles: DataFrame, path: str) -> None:
     """Titles as lines of JSON, written in parallel."""
     titles.write.json(path)
+
+
+def write_titles_envelope(titles: DataFrame, report_title: str, as_of: Column, path: str) -> int:
+    """The document of ``titles_envelope`` as text files whose lines, in order of the files' names, join up to it; returns the title count.
+
+    Titles go by ranges of title_id to as many files as Spark makes of them; a title's number, and with it
+    where a comma stands, follows from the counts of the ranges before it. Repeated ids stand side by side;
+    without titles the list is empty.
+    """
+    cols = ["title_id", *sorted(c for c in titles.columns if c != "title_id")]
+    rows = numbered(titles.select("title_id", F.to_json(F.struct(*cols)).alias("text")), "title_id", "at")
+    n = rows.count()
+    lines = rows.select((F.col("at") + 1).alias("at"), F.concat(F.when(F.col("at") > 0, ",").otherwise(""), "text").alias("value"))
+    head = F.to_json(F.struct(as_of.alias("generated_at"), F.lit(report_title).alias("report_title"), F.lit(n).alias("title_count")))
+    ends = titles.sparkSession.range(2).withColumn("head", head).select((F.col("id") * (n + 1)).alias("at"), F.when(F.col("id") == 0, F.concat(F.expr("substring(head, 1, length(head) - 1)"), F.lit(',"titles":['))).otherwise(F.lit("]}")).alias("value"))
+    lines.union(ends).repartitionByRange("at").sortWithinPartitions("at").select("value").write.text(path)
+    return n
