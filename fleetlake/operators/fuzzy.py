@@ -3,9 +3,10 @@
 Two strings at indel distance d have a common subsequence that is left if x characters are taken out
 of one and y out of the other, x + y = d. Distances up to two, where nearly all best matches lie, are
 found by joining on the strings that are left; this gives the true pairs and no others. Names for
-which no better slug can exist are done then. The rest meet slugs through segments: of d + 1 disjoint
-segments of a slug one at least stands whole in the name, shifted no more than the edits before and
-after it allow; a slug is cut into a few segments more and its hottest ones are left out.
+which no better slug can exist are done then. The rest are joined with up to two characters left out
+on both sides. Pairs of lengths for which the threshold allows more meet through segments: of d + 1
+disjoint segments of a slug one at least stands whole in the name, shifted no more than the edits
+before and after it allow; a slug is cut into a few segments more and its hottest ones are left out.
 """
 
 from __future__ import annotations
@@ -54,8 +55,12 @@ def segment_plan(n: int, m: int, d: int) -> list[tuple[int, int, int, int, int,
     return out
 
 
-def close_pairs(names: DataFrame, slugs: DataFrame, threshold: float) -> DataFrame:
-    """(name, slug, ratio) of pairs that reach the threshold: equal ones of any length, and those at distance one or two of up to SHORT characters.
+#: Characters taken out of a name and of a slug: first those that make distances up to two, then the rest of up to two each.
+FIRST, SECOND = ((1, 0), (0, 1), (1, 1), (2, 0), (0, 2)), ((2, 1), (1, 2), (2, 2))
+
+
+def close_pairs(names: DataFrame, slugs: DataFrame, threshold: float, taken_out: tuple[tuple[int, int], ...] = FIRST) -> DataFrame:
+    """(name, slug, ratio) of pairs that reach the threshold: equal ones of any length, and those of up to SHORT characters that are alike once so many are taken out of each.
 
     What is taken out of both sides gives the distance, so no ratio is worked out. A pair can come more than once, also with a lower ratio than its own.
     """
@@ -63,20 +68,26 @@ def close_pairs(names: DataFrame, slugs: DataFrame, threshold: float) -> DataFra
     taken = lambda df, c, size, k: df.where(F.col(size) <= SHORT).select(c, size, F.explode(without(c, k)).alias("left"))
     pairs = [names.join(slugs, names["name"] == slugs["slug"]).select("name", "slug", F.lit(100.0).alias("ratio"))]
     both = F.col("n") + F.col("m")
-    for x, y in ((1, 0), (0, 1), (1, 1), (2, 0), (0, 2)):
+    for x, y in taken_out:
         ratio = 200.0 * (F.col("n") - x) / both
         pairs.append(taken(names, "name", "n", x).join(taken(slugs, "slug", "m", y), "left").select("name", "slug", ratio.alias("ratio")).where(F.col("ratio") >= threshold))
     return reduce(DataFrame.union, pairs)
 
 
+def left_out_suffices(n: int, m: int, d: int) -> bool:
+    """Whether ``close_pairs`` finds all pairs of these lengths up to distance d."""
+    return max(n, m) <= SHORT and (d + n - m) // 2 <= 2 and (d - n + m) // 2 <= 2
+
+
 def segment_pairs(names: DataFrame, slugs: DataFrame, threshold: float) -> DataFrame | None:
     """(name, slug) pairs that share a segment where the threshold allows it: all that reach the threshold, and others.
 
+    Lengths for which ``left_out_suffices`` are left out.
     None if no lengths allow any. Only lengths come to the driver; the plan of segments has a row for each pair of lengths and segment.
     """
     spark = names.sparkSession
     lengths = lambda df, c: [r[0] for r in df.select(F.length(c)).distinct().collect()]
-    plan = [row for n in lengths(names, "name") for m in lengths(slugs, "slug") if (d := distance(n, m, threshold)) >= 0 for row in segment_plan(n, m, d)]
+    plan = [row for n in lengths(names, "name") for m in lengths(slugs, "slug") if (d := distance(n, m, threshold)) >= 0 and not left_out_suffices(n, m, d) for row in segment_plan(n, m, d)]
     if not plan:
         return None
     plan = F.broadcast(spark.createDataFrame(plan, "n int, m int, d int, q int, start int, size int, first int, last int"))
@@ -113,7 +124,10 @@ def similar_names(names: DataFrame, slugs: DataFrame, threshold: float = 85.0) -
     # a pair at distance three or more has a ratio of at most 1 - 3 / (2 n + 3)
     bound = F.lit(100.0) * (1 - F.lit(3.0) / (2 * F.length("name") + 3)) + 1e-9
     done = close.where((F.col("b.r") == -100) | ((F.length("name") <= SHORT - 2) & (-F.col("b.r") > bound)))
-    far = segment_pairs(saved(names.join(done, "name", "left_anti"), "rest"), slugs, threshold)
+    rest = saved(names.join(done, "name", "left_anti"), "rest")
+    found = [close, best(close_pairs(rest, slugs, threshold, SECOND))]
+    far = segment_pairs(rest, slugs, threshold)
     if far is not None:
-        close = best(_scored(far, threshold)).union(close).groupBy("name").agg(F.min("b").alias("b"))
-    return close.select("name", F.col("b.slug").alias("slug"), (-F.col("b.r")).alias("ratio"))
+        found.append(best(_scored(far, threshold)))
+    out = reduce(DataFrame.union, found).groupBy("name").agg(F.min("b").alias("b"))
+    return out.select("name", F.col("b.slug").alias("slug"), (-F.col("b.r")).alias("ratio"))
