@@ -74,15 +74,22 @@ def indel_ratio(a: Column | str, b: Column | str) -> Column:
     return F.when(both == 0, F.lit(100.0)).otherwise(F.lit(200.0) * lcs_length(a, b) / both)
 
 
-def without(c: Column | str, n: int) -> Column:
-    """The distinct strings that are left if ``n`` (0, 1 or 2) characters are taken out."""
+def without(c: Column | str, n: int, distinct: bool = True) -> Column:
+    """The strings that are left if ``n`` (0, 1 or 2) characters are taken out.
+
+    Of a run of equal characters the first ones go, so few strings come twice; none does if ``distinct``.
+    """
     c = col(c)
     size = F.length(c)
     left, right = (lambda i: F.substr(c, F.lit(1), i - 1)), (lambda i: F.substr(c, i + 1, size))
-    none = F.array().cast("array<string>")
+    repeats = lambda i: F.substr(c, i, F.lit(1)) == F.substr(c, i - 1, F.lit(1))
+    none, once = F.array().cast("array<string>"), F.array_distinct if distinct else (lambda x: x)
     if n == 0:
         return F.array(c)
     if n == 1:
-        return F.when(size > 0, F.array_distinct(F.transform(F.sequence(F.lit(1), size), lambda i: F.concat(left(i), right(i))))).otherwise(none)
-    two = F.transform(F.sequence(F.lit(1), size - 1), lambda i: F.transform(F.sequence(i + 1, size), lambda j: F.concat(left(i), F.substr(c, i + 1, j - i - 1), right(j))))
-    return F.when(size > 1, F.array_distinct(F.flatten(two))).otherwise(none)
+        places = F.filter(F.sequence(F.lit(1), size), lambda i: (i == 1) | ~repeats(i))
+        return F.when(size > 0, once(F.transform(places, lambda i: F.concat(left(i), right(i))))).otherwise(none)
+    firsts = F.filter(F.sequence(F.lit(1), size - 1), lambda i: (i == 1) | ~repeats(i))
+    seconds = lambda i: F.filter(F.sequence(i + 1, size), lambda j: (j == i + 1) | ~repeats(j))
+    two = F.transform(firsts, lambda i: F.transform(seconds(i), lambda j: F.concat(left(i), F.substr(c, i + 1, j - i - 1), right(j))))
+    return F.when(size > 1, once(F.flatten(two))).otherwise(none)

@@ -65,7 +65,7 @@ def close_pairs(names: DataFrame, slugs: DataFrame, threshold: float, taken_out:
     What is taken out of both sides gives the distance, so no ratio is worked out. A pair can come more than once, also with a lower ratio than its own.
     """
     names, slugs = names.select("name", F.length("name").alias("n")), slugs.select("slug", F.length("slug").alias("m"))
-    taken = lambda df, c, size, k: df.where(F.col(size) <= SHORT).select(c, size, F.explode(without(c, k)).alias("left"))
+    taken = lambda df, c, size, k: df.where(F.col(size) <= SHORT).select(c, size, F.explode(without(c, k, distinct=False)).alias("left"))
     pairs = [names.join(slugs, names["name"] == slugs["slug"]).select("name", "slug", F.lit(100.0).alias("ratio"))]
     both = F.col("n") + F.col("m")
     for x, y in taken_out:

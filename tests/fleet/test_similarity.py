@@ -28,10 +28,11 @@ def test_common_subsequence_on_any_text(spark):
 
 
 def test_characters_left_out(spark):
-    texts = ["abca", "a", "", "\U0001f600x\U0001f600"]
-    df = spark.createDataFrame([(t,) for t in texts], "c string").select("c", *(similarity.without("c", k).alias(f"w{k}") for k in (0, 1, 2)))
+    texts = ["abca", "a", "", "aaaa", "aabb", "abab", "aab", "baa", "\U0001f600x\U0001f600"]
+    df = spark.createDataFrame([(t,) for t in texts], "c string").select("c", *(similarity.without("c", k).alias(f"w{k}") for k in (0, 1, 2)), *(similarity.without("c", k, False).alias(f"all{k}") for k in (0, 1, 2)))
     for r in df.collect():
         for k in (0, 1, 2):
+            assert set(r[f"all{k}"]) == set(r[f"w{k}"])
             assert sorted(r[f"w{k}"]) == sorted({"".join(x) for x in combinations(r.c, len(r.c) - k)} if len(r.c) >= k else [])
 
 
