@@ -1,4 +1,4 @@
-"""Line filters over a table lines(doc_id, line_no, line); all windows share the key doc_id."""
+"""Line filters over a table lines(doc_id, line_no, line); windows share the key doc_id."""
 
 from __future__ import annotations
 
@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.helpers import well_formed
+from ..sources.storage import numbered
 
 
 def to_lines(df: DataFrame, text: str = "text") -> DataFrame:
@@ -115,16 +116,31 @@ def tr_delete(lines: DataFrame, src: str) -> DataFrame:
     return lines.withColumn("line", F.translate("line", src, ""))
 
 
-def sort_lines(lines: DataFrame, reverse: bool = False, numeric: bool = False) -> DataFrame:
-    """Lines of each document in order, renumbered; numeric order puts numbers first, then text."""
+def sort_lines(lines: DataFrame, reverse: bool = False, numeric: bool = False, ranged: bool = False) -> DataFrame:
+    """Lines of each document in order, renumbered; numeric order puts numbers first, then text.
+
+    A document is sorted by one task; with ``ranged`` all lines are dealt by ranges of document and order,
+    and numbered from the counts of the ranges, so one of any length is spread over tasks.
+    """
     number = F.trim("line").try_cast("double")
     keys = [number.isNull(), number, F.col("line")] if numeric else [F.col("line")]
     order = [k.desc() if reverse else k.asc() for k in keys] + [F.col("line_no").asc()]
-    return lines.withColumn("line_no", F.row_number().over(Window.partitionBy("doc_id").orderBy(*order)))
-
-
-def uniq(lines: DataFrame) -> DataFrame:
-    """Without lines equal to the one before."""
+    if not ranged:
+        return lines.withColumn("line_no", F.row_number().over(Window.partitionBy("doc_id").orderBy(*order)))
+    rows = numbered(lines, [F.col("doc_id").asc(), *order], "__n")
+    first = rows.groupBy(F.col("doc_id").alias("__d")).agg(F.min("__n").alias("__first"))
+    out = rows.join(first, F.col("doc_id").eqNullSafe(F.col("__d"))).withColumn("line_no", (F.col("__n") - F.col("__first") + 1).cast("int"))
+    return out.select(lines.columns)
+
+
+def uniq(lines: DataFrame, ranged: bool = False) -> DataFrame:
+    """Without lines equal to the one before; ``ranged`` as in ``sort_lines``."""
+    if ranged:
+        rows = numbered(lines, [F.col("doc_id"), F.col("line_no")], "__n")
+        before = rows.select((F.col("__n") + 1).alias("__n"), F.col("doc_id").alias("__d"), F.col("line").alias("__b"), F.lit(True).alias("__any"))
+        met = rows.join(before, "__n", "left")
+        own = F.coalesce(F.col("__any"), F.lit(False)) & F.col("doc_id").eqNullSafe(F.col("__d"))
+        return met.where(~own | F.col("__b").isNull() | (F.col("__b") != F.col("line"))).select(lines.columns)
     before = F.lag("line").over(Window.partitionBy("doc_id").orderBy("line_no"))
     return lines.withColumn("__b", before).where("__b is null or __b <> line").drop("__b")
 

@@ -649,6 +649,8 @@ l_query("t07_tr_delete", lambda df: lines.tr_delete(df, "aeiou"), "SELECT doc_id
 l_query("t08_sort_lines", lambda df: lines.sort_lines(df), "SELECT doc_id, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY line COLLATE \"C\", line_no) AS INT) AS line_no, line FROM lines")
 l_query("t08_sort_numeric", lambda df: lines.sort_lines(lines.awk_field(df, 2), reverse=True, numeric=True), "SELECT doc_id, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY n IS NULL DESC, n DESC NULLS LAST, line DESC, line_no) AS INT) AS line_no, line FROM (SELECT *, try_cast(trim(line) AS DOUBLE) AS n FROM (SELECT doc_id, line_no, coalesce(string_split(trim(regexp_replace(line, '[ \\t\\n\\v\\f\\r]+', ' ', 'g')), ' ')[2], '') AS line FROM lines))")
 l_query("t09_uniq", lambda df: lines.uniq(lines.sort_lines(df)).select("doc_id", "line"), "SELECT DISTINCT doc_id, line FROM lines")
+add("t08_sort_ranged", lambda t: lines.sort_lines(lines.to_lines(t.table("documents")), ranged=True), QUERIES["t08_sort_lines"][1])
+add("t09_uniq_ranged", lambda t: lines.uniq(lines.sort_lines(lines.to_lines(t.table("documents")), ranged=True), ranged=True).select("doc_id", "line"), QUERIES["t09_uniq"][1])
 add("t10_xpath_values", lambda t: lines.xpath_values(t.table("part").select("p_partkey", F.concat(F.lit('<a xmlns:s="u">'), F.expr("replace('<i s:v=\"V\">N</i><i s:v=\"W\">M</i>', 'V', p_brand)"), F.when(F.col("p_partkey") % 5 > 0, "</a>").otherwise("")).alias("xml")), '/a/i/@*[name()="s:v"]').select("p_partkey", "value"),
     "SELECT p_partkey, 's:v=\"' || unnest([p_brand, 'W']) || '\"' AS value FROM part WHERE p_partkey % 5 > 0")
 

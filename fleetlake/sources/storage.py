@@ -5,7 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 
@@ -26,12 +26,13 @@ def saved(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def numbered(df: DataFrame, ord: str, name: str) -> DataFrame:
-    """``df`` with a long column ``name`` that counts up from 0 in the order of ``ord`` (ties in any order).
+def numbered(df: DataFrame, ord: str | list[Column], name: str) -> DataFrame:
+    """``df`` with a long column ``name`` that counts up from 0 in the order of ``ord``, a column or sort columns (ties in any order).
 
     Rows are dealt by ranges of ``ord`` and counted in each partition; only one count for each partition is gathered.
     """
-    placed = df.repartitionByRange(ord).sortWithinPartitions(ord).withColumn("__at", F.monotonically_increasing_id())
+    ord = [F.col(ord)] if isinstance(ord, str) else ord
+    placed = df.repartitionByRange(*ord).sortWithinPartitions(*ord).withColumn("__at", F.monotonically_increasing_id())
     placed = saved(placed, "numbered")
     part, place = F.shiftrightunsigned("__at", 33), F.col("__at").bitwiseAND((1 << 33) - 1)
     counts = placed.groupBy(part.alias("__part")).agg(F.count("*").alias("__n"))

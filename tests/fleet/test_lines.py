@@ -1,6 +1,7 @@
 """grep and cut on small inputs, by hand."""
 
 import pytest
+from pyspark.sql import functions as F
 
 from fleetlake.operators import lines
 
@@ -30,3 +31,15 @@ def test_grep_only_takes_the_first_match_of_a_line(table):
     assert values(lines.grep(table, "[0-9]+", only=True)) == ["1"]
     assert values(lines.grep(table, "[0-9]*", only=True)) == ["", "", "", ""]
     assert values(lines.grep(table, "[0-9]+", only=True, every=True)) == ["1", "22"]
+
+
+def test_ranges_give_the_same_rows_and_spread_a_long_document(spark):
+    """One document of 60,000 lines among small ones, null ids and null lines."""
+    long = spark.range(60_000).select(F.lit(7).alias("doc_id"), (F.col("id") + 1).cast("int").alias("line_no"), F.concat(F.lit("line "), F.pmod(F.xxhash64("id"), F.lit(900))).alias("line"))
+    df = long.union(spark.createDataFrame([(1, 1, "b"), (1, 2, "a"), (1, 3, "a"), (2, 1, None), (2, 2, "10"), (2, 3, "9"), (None, 1, "x"), (None, 2, "x")], "doc_id int, line_no int, line string"))
+    rows = lambda out: sorted(map(str, (tuple(r) for r in out.select("doc_id", "line_no", "line").collect())))
+    for options in ({}, {"reverse": True}, {"numeric": True}):
+        assert rows(lines.sort_lines(df, ranged=True, **options)) == rows(lines.sort_lines(df, **options))
+    assert rows(lines.uniq(lines.sort_lines(df), ranged=True)) == rows(lines.uniq(lines.sort_lines(df)))
+    placed = df.repartitionByRange(8, "doc_id", "line", "line_no").where("doc_id = 7")
+    assert placed.select(F.spark_partition_id()).distinct().count() >= 7
