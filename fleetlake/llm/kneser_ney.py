@@ -4,9 +4,10 @@ The model predicts a character from the ORDER - 1 before it. Characters are real
 and script kept, without any fixed vocabulary, so the tables grow with the corpus in every script.
 A log-probability is a sum of table values, one for each n-gram and context of a text that the model
 has seen. N-grams are counted and modelled as strings in Spark, sharded by (language, n-gram). For
-scoring they go by 64-bit hashes: the hottest HOT n-grams are looked up where the texts are (their
-size is bounded), all others meet the texts' counts in a shuffled join, so no key of the join is hot
-and results don't depend on HOT.
+scoring they go by 64-bit hashes. Tasks gather texts in packs of bounded size; a pack asks once for
+each distinct n-gram of its texts, the requests meet the model in a join dealt by n-gram, and the
+answers meet the pack's compressed texts again. A frequent n-gram is asked for once a pack, so no key
+is hot, and nothing of the model comes to the driver.
 """
 
 from __future__ import annotations
@@ -18,16 +19,21 @@ from functools import reduce
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.taskcontext import TaskContext
 
 from .common import kept_apart, saved, small
 from .textops import U64, mix, text_chunks
 
 #: Characters of an n-gram.
-ORDER = 5
-#: N-grams that are looked up beside the texts, 12 bytes each; results do not depend on it.
-HOT = 3 << 20
+ORDER = 6
+#: A pack is closed once it has so many bytes of text or so many distinct n-grams; results do not depend on them.
+PACK_BYTES = 64 << 20
+PACK_GRAMS = 3_000_000
+#: Bytes of text that are compressed as one row.
+BLOCK_BYTES = 2 << 20
 #: A language's threshold: this quantile of held-out trusted documents' perplexity, times MARGIN.
 QUANTILE = 0.99
 MARGIN = 1.5
@@ -115,7 +121,7 @@ def gram_counts(texts: DataFrame) -> DataFrame:
 
 
 def gram_model(counts: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """((lang, gram, value, heat) of all n-grams and contexts seen, (lang, unknown)) from ``gram_counts``.
+    """((lang, gram, value) of all n-grams and contexts seen, (lang, unknown)) from ``gram_counts``.
 
     A character's log-probability is ``unknown``, that of a character never seen, plus the values of
     the n-grams that end there and of the contexts that end before it. Discounts D1, D2 and D3+ are
@@ -142,16 +148,16 @@ def gram_model(counts: DataFrame) -> tuple[DataFrame, DataFrame]:
         else:
             t = t.withColumns({"ctx": F.substring("gram", 1, m - 1), "low": F.substring("gram", 2, m - 1)})
             ctx = saved(t.groupBy("lang", "ctx").agg(F.sum("c").alias("total"), (F.sum("cut") / F.sum("c")).alias("weight")), f"contexts{m}")
-            values.append(ctx.select("lang", F.col("ctx").alias("gram"), F.log("weight").alias("value"), F.col("total").alias("heat")))
+            values.append(ctx.select("lang", F.col("ctx").alias("gram"), F.log("weight").alias("value")))
             base = F.col("weight") * F.col("low_p")
             p = t.join(ctx, ["lang", "ctx"]).join(lower, ["lang", "low"])
             p = p.withColumn("p", (F.col("c") - F.col("cut")) / F.col("total") + base).withColumn("value", F.log(F.col("p") / base))
-        p = p.select("lang", "gram", "p", "value", F.col("c").alias("heat"))
+        p = p.select("lang", "gram", "p", "value")
         p = saved(p, f"p{m}") if m < ORDER else p
-        values.append(p.select("lang", "gram", "value", "heat"))
+        values.append(p.select("lang", "gram", "value"))
         lower = p.select("lang", F.col("gram").alias("low"), F.col("p").alias("low_p"))
     every = reduce(DataFrame.union, values)
-    return every.groupBy("lang", "gram").agg(F.sum("value").alias("value"), F.max("heat").alias("heat")), unknown
+    return every.groupBy("lang", "gram").agg(F.sum("value").alias("value")), unknown
 
 
 def _hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -168,23 +174,39 @@ def _hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for m in range(1, ORDER + 1):
             at = np.flatnonzero(size == m)
             h[at] = _hash([points[last[at] - k] for k in range(m)], codes[at])
-        yield pa.record_batch([pa.array(h.view(np.int64)), batch.column(2), batch.column(3)], names=["gram", "value", "heat"])
+        yield pa.record_batch([pa.array(h.view(np.int64)), batch.column(2)], names=["gram", "value"])
 
 
 def hashed_model(model: DataFrame) -> DataFrame:
-    """(gram, value, heat) with the 64-bit hashes that stand for (lang, n-gram) in scoring; heat in steps of an eighth of its power of two."""
-    heat = F.floor(8 * F.log2(F.col("heat"))).cast("int")
-    return model.select("lang", "gram", F.col("value").cast("float"), heat.alias("heat")).mapInArrow(_hashed, "gram long, value float, heat int")
+    """(gram, value) with the 64-bit hashes that stand for (lang, n-gram) in scoring."""
+    return model.select("lang", "gram", F.col("value").cast("float")).mapInArrow(_hashed, "gram long, value float")
 
 
-def _doc_sums(hot, unknown: dict[str, float], rest: bool):
-    """(key, gram, c, n, base): a row with c 0, a text's characters and its sum over hot n-grams; with ``rest``, also its other distinct n-grams."""
+def _grams(line: np.ndarray, at: np.ndarray, codes: np.ndarray) -> tuple[list[np.ndarray], np.ndarray]:
+    """(for each number of characters, the hashes of the n-grams that end at distinct contexts; the context of each place of ``at``).
+
+    The longest n-gram that ends at a place gives all others that end there, so each distinct one is hashed once.
+    """
+    top, first, back = np.unique(_hash([line[at - k] for k in range(ORDER)], codes), return_index=True, return_inverse=True)
+    columns, code = [line[at[first] - k] for k in range(ORDER)], codes[first]
+    return [*(_hash(columns[:m], code) for m in range(1, ORDER)), top], back
+
+
+def _packs(pack_bytes: int, block_bytes: int):
+    """(pack, gram, block): a row for each distinct n-gram of a pack, and rows with some of its texts, compressed, dealt by any number."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known, value = hot.value
-        seen = set()
+        seen: set[bytes] = set()  # copies in this task are scored once; a text's score does not depend on it
+        packer = zstandard.ZstdCompressor(level=3)
+        pack = np.array([TaskContext.get().partitionId() << 32], np.int64)
+        held, n_held, size = [], 0, 0
+
+        def closed() -> pa.RecordBatch:
+            grams = np.unique(np.concatenate(held)).view(np.int64)
+            return pa.record_batch([pa.array(np.repeat(pack, len(grams))), pa.array(grams), pa.nulls(len(grams), pa.binary())], names=["pack", "gram", "block"])
+
         for batch in batches:
-            fresh = []  # copies in this task are counted once; a text's mean does not depend on it
+            fresh = []
             for i, key in enumerate(batch.column(0).to_pylist()):
                 if key not in seen:
                     seen.add(key)
@@ -195,61 +217,87 @@ def _doc_sums(hot, unknown: dict[str, float], rest: bool):
             langs = batch.column(1).to_pylist()
             codes_of = _codes(langs)
             codes = np.array([codes_of[x] for x in langs], U64)
-            start = np.array([unknown.get(x, 0.0) for x in langs])
-            for row, data, offsets in text_chunks(batch.column(2)):
-                texts = len(offsets) - 1
+            for row, data, offsets in text_chunks(batch.column(2), block_bytes):
                 line, at, text = _lines(data, offsets)
-                top, first, back = np.unique(_hash([line[at - k] for k in range(ORDER)], codes[row + text]), return_index=True, return_inverse=True)
-                # the longest n-gram that ends at a place gives all others that end there, so each distinct one is looked up once
-                columns, code = [line[at[first] - k] for k in range(ORDER)], codes[row + text[first]]
-                total, cold = np.zeros(len(top)), []
-                for m in range(1, ORDER + 1):
-                    gram = top if m == ORDER else _hash(columns[:m], code)
-                    is_hot = np.zeros(len(gram), bool)
-                    if len(known):
-                        found = np.minimum(np.searchsorted(known, gram), len(known) - 1)
-                        is_hot = known[found] == gram
-                        total[is_hot] += value[found[is_hot]]
-                    if rest:
-                        cold.append((gram, ~is_hot))
-                n = np.bincount(text, minlength=texts) - 1
-                base = n * start[row : row + texts] + np.bincount(text, total[back], texts)
-                out = [(np.arange(texts), np.zeros(texts, np.int64), np.zeros(texts, np.int64), n.astype(np.int64), base)]
-                for gram, is_cold in cold:
-                    here = np.flatnonzero(is_cold[back])
-                    names, number = np.unique(gram[back[here]], return_inverse=True)
-                    pairs, c = np.unique(text[here] * len(names) + number, return_counts=True)
-                    none = np.zeros(len(pairs), np.int64)
-                    out.append((pairs // max(len(names), 1), names[pairs % max(len(names), 1)].view(np.int64), c.astype(np.int64), none, none.astype(float)))
-                t, *rows = (np.concatenate(x) for x in zip(*out, strict=True))
-                yield pa.record_batch([batch.column(0).take(pa.array(row + t)), *(pa.array(x) for x in rows)], names=["key", "gram", "c", "n", "base"])
+                held.append(np.unique(np.concatenate(_grams(line, at, codes[row + text])[0])))
+                n_held, size = n_held + len(held[-1]), size + len(data)
+                sink = pa.BufferOutputStream()
+                with pa.ipc.new_stream(sink, batch.schema) as out:
+                    out.write_batch(batch.slice(row, len(offsets) - 1))
+                block = packer.compress(sink.getvalue())
+                yield pa.record_batch([pa.array(pack), pa.array(mix(pack.view(U64) + U64(size)).view(np.int64)), pa.array([block], pa.binary())], names=["pack", "gram", "block"])
+                if n_held > PACK_GRAMS:
+                    held[:] = [np.unique(np.concatenate(held))]
+                    n_held = len(held[0])
+                if size > pack_bytes or n_held > PACK_GRAMS // 2:
+                    yield closed()
+                    pack = pack + 1
+                    held, n_held, size = [], 0, 0
+        if held:
+            yield closed()
+
+    return run
+
+
+def _scores(unknown: dict[str, float]):
+    """(key, n, log): characters and log-probability of each text, from a pack's known n-grams and then its blocks."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        open_pack, found, table = None, [], None
+        for batch in batches:
+            packs = batch.column(0).to_numpy()
+            blocks = batch.column(3)
+            for start, end in _runs(packs):
+                if packs[start] != open_pack:
+                    open_pack, found, table = packs[start], [], None
+                here = blocks.slice(start, end - start)
+                n = here.null_count  # n-grams stand before blocks
+                if n:
+                    found.append((batch.column(1).slice(start, n).to_numpy().view(U64), batch.column(2).slice(start, n).to_numpy()))
+                for i in range(n, end - start):
+                    if table is None:
+                        known, value = (np.concatenate(x) for x in zip(*found, strict=True)) if found else (np.zeros(0, U64), np.zeros(0, np.float32))
+                        order = np.argsort(known)
+                        table, found = (known[order], value[order]), []
+                    yield _block_scores(zstandard.decompress(here[i].as_py()), *table, unknown)
 
     return run
 
 
-def perplexities(texts: DataFrame, model: DataFrame, unknown: DataFrame) -> DataFrame:
+def _runs(x: np.ndarray) -> list[tuple[int, int]]:
+    """(start, end) of the runs of equal neighbours."""
+    cuts = [0, *(np.flatnonzero(x[1:] != x[:-1]) + 1).tolist(), len(x)] if len(x) else [0]
+    return list(zip(cuts[:-1], cuts[1:], strict=True))
+
+
+def _block_scores(block: bytes, known: np.ndarray, value: np.ndarray, unknown: dict[str, float]) -> pa.RecordBatch:
+    texts = pa.ipc.open_stream(block).read_next_batch()
+    langs = texts.column(1).to_pylist()
+    codes_of = _codes(langs)
+    codes = np.array([codes_of[x] for x in langs], U64)
+    n, log = np.zeros(len(langs), np.int64), np.zeros(len(langs))
+    for row, data, offsets in text_chunks(texts.column(2)):
+        line, at, text = _lines(data, offsets)
+        here = slice(row, row + len(offsets) - 1)
+        grams, back = _grams(line, at, codes[row + text])
+        total = np.zeros(len(grams[-1]))
+        for gram in grams if len(known) else ():
+            place = np.minimum(np.searchsorted(known, gram), len(known) - 1)
+            total += np.where(known[place] == gram, value[place], 0.0)
+        n[here] = np.bincount(text, minlength=len(offsets) - 1) - 1
+        log[here] = n[here] * np.array([unknown.get(x, 0.0) for x in langs[here]]) + np.bincount(text, total[back], len(offsets) - 1)
+    return pa.record_batch([texts.column(0), pa.array(n), pa.array(log)], names=["key", "n", "log"])
+
+
+def perplexities(texts: DataFrame, model: DataFrame, unknown: DataFrame, pack_bytes: int = PACK_BYTES, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """(key, n_symbols, perplexity) of every distinct key of ``texts`` (key binary, lang, text) under a saved ``hashed_model``."""
-    heats = sorted(((r["heat"], r["n"]) for r in model.groupBy("heat").agg(F.count("*").alias("n")).collect()), reverse=True)  # some hundred rows
-    least, held = None, 0
-    for heat, n in heats:
-        if held + n > HOT:
-            break
-        least, held = heat, held + n
-    rest = held < sum(n for _, n in heats)
-    hot = model.where(F.lit(False) if least is None else F.col("heat") >= least).select("gram", "value").toArrow()
-    known = hot["gram"].to_numpy().view(U64)
-    order = np.argsort(known)
-    known, value = known[order], hot["value"].to_numpy()[order]
-    del hot, order
     start = {r["lang"]: r["unknown"] for r in unknown.collect()}
-    rows = texts.select("key", "lang", "text").mapInArrow(_doc_sums(texts.sparkSession.sparkContext.broadcast((known, value)), start, rest), "key binary, gram long, c long, n long, base double")
-    log = F.col("base")
-    if rest:  # the shuffled join: both sides are dealt by the n-gram's hash
-        cold = model if least is None else model.where(F.col("heat") < least)
-        rows = rows.join(cold.select("gram", "value").hint("merge"), "gram", "left")
-        log = log + F.col("c") * F.coalesce("value", F.lit(0.0))
-    sums = rows.groupBy("key").agg(F.sum(log).alias("log"), F.sum("n").alias("n"), F.count_if(F.col("c") == 0).alias("copies"))
-    return sums.select("key", (F.col("n") / F.col("copies")).cast("long").alias("n_symbols"), F.exp(-F.col("log") / F.col("n")).alias("perplexity"))
+    rows = texts.select("key", "lang", "text").mapInArrow(_packs(pack_bytes, block_bytes), "pack long, gram long, block binary")
+    # the sharded join: requests and model are dealt by the n-gram's hash, answers and blocks by pack
+    met = rows.join(model.select("gram", "value").hint("merge"), "gram", "left").where("block is not null or value is not null")
+    met = met.select("pack", "gram", "value", "block").repartition("pack").sortWithinPartitions("pack", F.col("block").isNotNull())
+    scores = met.mapInArrow(_scores(start), "key binary, n long, log double").groupBy("key").agg(F.max("n").alias("n"), F.max("log").alias("log"))
+    return scores.select("key", F.col("n").alias("n_symbols"), F.exp(-F.col("log") / F.col("n")).alias("perplexity"))
 
 
 _SCORES = ("n_symbols", "perplexity", "threshold", "kept")
