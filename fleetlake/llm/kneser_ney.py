@@ -4,10 +4,11 @@ The model predicts a character from the ORDER - 1 before it. Characters are real
 and script kept, without any fixed vocabulary, so the tables grow with the corpus in every script.
 A log-probability is a sum of table values, one for each n-gram and context of a text that the model
 has seen. N-grams are counted and modelled as strings in Spark, sharded by (language, n-gram). For
-scoring they go by 64-bit hashes. Tasks gather texts in packs of bounded size; a pack asks once for
-each distinct n-gram of its texts, the requests meet the model in a join dealt by n-gram, and the
-answers meet the pack's compressed texts again. A frequent n-gram is asked for once a pack, so no key
-is hot, and nothing of the model comes to the driver.
+scoring they go by 64-bit hashes. Tasks gather texts in packs of bounded size: for each n-gram of a
+pack one row lists its texts, these rows meet the model in a join dealt by n-gram, and sums for each
+text come back. Only the few n-grams that nearly all texts hold are looked up beside the texts, as
+hot keys; a filter of fixed size keeps most n-grams that the model lacks out of the join. Values are
+whole numbers of 1 / UNIT, so sums do not depend on the order of rows.
 """
 
 from __future__ import annotations
@@ -19,8 +20,7 @@ from functools import reduce
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-import zstandard
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.taskcontext import TaskContext
 
@@ -29,11 +29,14 @@ from .textops import U64, mix, text_chunks
 
 #: Characters of an n-gram.
 ORDER = 6
-#: A pack is closed once it has so many bytes of text or so many distinct n-grams; results do not depend on them.
-PACK_BYTES = 64 << 20
-PACK_GRAMS = 3_000_000
-#: Bytes of text that are compressed as one row.
-BLOCK_BYTES = 2 << 20
+#: N-grams that are looked up beside the texts, 12 bytes each; results do not depend on it.
+HOT = 1 << 18
+#: A pack is closed once it holds so many (n-gram, text) pairs; results do not depend on it.
+PACK_PAIRS = 3_000_000
+#: 64-bit words of the filter that tells most n-grams that the model lacks; a fuller filter passes more rows to the join, no others.
+FILTER_WORDS = 1 << 21
+#: Steps of a table value, for one.
+UNIT = 1 << 20
 #: A language's threshold: this quantile of held-out trusted documents' perplexity, times MARGIN.
 QUANTILE = 0.99
 MARGIN = 1.5
@@ -121,7 +124,7 @@ def gram_counts(texts: DataFrame) -> DataFrame:
 
 
 def gram_model(counts: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """((lang, gram, value) of all n-grams and contexts seen, (lang, unknown)) from ``gram_counts``.
+    """((lang, gram, value, heat) of all n-grams and contexts seen, (lang, unknown)) from ``gram_counts``.
 
     A character's log-probability is ``unknown``, that of a character never seen, plus the values of
     the n-grams that end there and of the contexts that end before it. Discounts D1, D2 and D3+ are
@@ -148,16 +151,16 @@ def gram_model(counts: DataFrame) -> tuple[DataFrame, DataFrame]:
         else:
             t = t.withColumns({"ctx": F.substring("gram", 1, m - 1), "low": F.substring("gram", 2, m - 1)})
             ctx = saved(t.groupBy("lang", "ctx").agg(F.sum("c").alias("total"), (F.sum("cut") / F.sum("c")).alias("weight")), f"contexts{m}")
-            values.append(ctx.select("lang", F.col("ctx").alias("gram"), F.log("weight").alias("value")))
+            values.append(ctx.select("lang", F.col("ctx").alias("gram"), F.log("weight").alias("value"), F.col("total").alias("heat")))
             base = F.col("weight") * F.col("low_p")
             p = t.join(ctx, ["lang", "ctx"]).join(lower, ["lang", "low"])
             p = p.withColumn("p", (F.col("c") - F.col("cut")) / F.col("total") + base).withColumn("value", F.log(F.col("p") / base))
-        p = p.select("lang", "gram", "p", "value")
+        p = p.select("lang", "gram", "p", "value", F.col("c").alias("heat"))
         p = saved(p, f"p{m}") if m < ORDER else p
-        values.append(p.select("lang", "gram", "value"))
+        values.append(p.select("lang", "gram", "value", "heat"))
         lower = p.select("lang", F.col("gram").alias("low"), F.col("p").alias("low_p"))
     every = reduce(DataFrame.union, values)
-    return every.groupBy("lang", "gram").agg(F.sum("value").alias("value")), unknown
+    return every.groupBy("lang", "gram").agg(F.sum("value").alias("value"), F.max("heat").alias("heat")), unknown
 
 
 def _hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -174,37 +177,68 @@ def _hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for m in range(1, ORDER + 1):
             at = np.flatnonzero(size == m)
             h[at] = _hash([points[last[at] - k] for k in range(m)], codes[at])
-        yield pa.record_batch([pa.array(h.view(np.int64)), batch.column(2)], names=["gram", "value"])
+        yield pa.record_batch([pa.array(h.view(np.int64)), batch.column(2), batch.column(3)], names=["gram", "value", "heat"])
 
 
 def hashed_model(model: DataFrame) -> DataFrame:
-    """(gram, value) with the 64-bit hashes that stand for (lang, n-gram) in scoring."""
-    return model.select("lang", "gram", F.col("value").cast("float")).mapInArrow(_hashed, "gram long, value float")
+    """(gram, value, heat) with the 64-bit hashes that stand for (lang, n-gram) in scoring; values in steps of 1 / UNIT, heat in steps of an eighth of its power of two."""
+    heat = F.floor(8 * F.log2(F.col("heat"))).cast("int")
+    value = F.rint(UNIT * F.col("value")).cast("int")
+    return model.select("lang", "gram", value.alias("value"), heat.alias("heat")).mapInArrow(_hashed, "gram long, value int, heat int")
 
 
-def _grams(line: np.ndarray, at: np.ndarray, codes: np.ndarray) -> tuple[list[np.ndarray], np.ndarray]:
-    """(for each number of characters, the hashes of the n-grams that end at distinct contexts; the context of each place of ``at``).
+_LISTED = np.dtype([("text", "<u2"), ("times", "u1")])
+_ROWS = "text long, key binary, n long, log long, gram long, lists binary"
 
-    The longest n-gram that ends at a place gives all others that end there, so each distinct one is hashed once.
-    """
-    top, first, back = np.unique(_hash([line[at - k] for k in range(ORDER)], codes), return_index=True, return_inverse=True)
-    columns, code = [line[at[first] - k] for k in range(ORDER)], codes[first]
-    return [*(_hash(columns[:m], code) for m in range(1, ORDER)), top], back
 
+def _bits(gram: Column) -> Column:
+    """The four bits (fewer where they fall together) that stand for an n-gram in its word of the filter."""
+    bits = [F.call_function("shiftleft", F.lit(1).cast("long"), F.shiftrightunsigned(gram, at).cast("int").bitwiseAND(63)) for at in (40, 46, 52, 58)]
+    return reduce(lambda x, y: x.bitwiseOR(y), bits)
 
-def _packs(pack_bytes: int, block_bytes: int):
-    """(pack, gram, block): a row for each distinct n-gram of a pack, and rows with some of its texts, compressed, dealt by any number."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen: set[bytes] = set()  # copies in this task are scored once; a text's score does not depend on it
-        packer = zstandard.ZstdCompressor(level=3)
-        pack = np.array([TaskContext.get().partitionId() << 32], np.int64)
-        held, n_held, size = [], 0, 0
+def _filter_of(model: DataFrame) -> np.ndarray:
+    """FILTER_WORDS words with the bits of all n-grams of ``model``."""
+    words = model.groupBy(F.pmod("gram", F.lit(FILTER_WORDS)).cast("int").alias("word")).agg(F.bit_or(_bits(F.col("gram"))).alias("bits")).toArrow()
+    out = np.zeros(FILTER_WORDS, U64)
+    out[words["word"].to_numpy()] = words["bits"].to_numpy().view(U64)
+    return out
+
+
+def _may_be_known(gram: np.ndarray, words: np.ndarray) -> np.ndarray:
+    bits = np.zeros(len(gram), U64)
+    for at in (40, 46, 52, 58):
+        bits |= U64(1) << ((gram >> U64(at)) & U64(63))
+    return words[(gram % U64(len(words))).astype(np.int64)] & bits == bits
+
+
+def _pack_rows(first: int, held: list[tuple[np.ndarray, ...]]) -> pa.RecordBatch:
+    """A row for each n-gram of a pack with the texts that hold it, as numbers from ``first``, and how often."""
+    gram, text, times = (np.concatenate(x) for x in zip(*held, strict=True))
+    more = np.maximum(1, -(-times // 255))  # a count beyond 255 takes several entries
+    gram, text, left = (np.repeat(x, more) for x in (gram, text, times))
+    left = np.minimum(255, left - 255 * (np.arange(len(left)) - np.repeat(np.cumsum(more) - more, more)))
+    order = np.argsort(gram, kind="stable")
+    lists = np.empty(len(order), _LISTED)
+    lists["text"], lists["times"] = text[order] - first, left[order]
+    grams, start = np.unique(gram[order], return_index=True)
+    ends = np.append(start, len(order)).astype(np.int32) * _LISTED.itemsize
+    lists = pa.BinaryArray.from_buffers(pa.binary(), len(grams), [None, pa.py_buffer(ends), pa.py_buffer(lists.tobytes())])
+    none = pa.nulls(len(grams), pa.int64())
+    return pa.record_batch([pa.array(np.full(len(grams), first)), pa.nulls(len(grams), pa.binary()), none, none, pa.array(grams.view(np.int64)), lists], names=_NAMES)
+
+
+_NAMES = ["text", "key", "n", "log", "gram", "lists"]
+
 
-        def closed() -> pa.RecordBatch:
-            grams = np.unique(np.concatenate(held)).view(np.int64)
-            return pa.record_batch([pa.array(np.repeat(pack, len(grams))), pa.array(grams), pa.nulls(len(grams), pa.binary())], names=["pack", "gram", "block"])
+def _packs(shared, unknown: dict[str, int], pack_pairs: int):
+    """A row for each text with its characters and its sum over hot n-grams, dealt by any number, and rows of ``_pack_rows``."""
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known, value, words = shared.value
+        seen: set[bytes] = set()  # copies in this task are scored once; a text's score does not depend on it
+        number = first = TaskContext.get().partitionId() << 40
+        held, pairs = [], 0
         for batch in batches:
             fresh = []
             for i, key in enumerate(batch.column(0).to_pylist()):
@@ -217,87 +251,84 @@ def _packs(pack_bytes: int, block_bytes: int):
             langs = batch.column(1).to_pylist()
             codes_of = _codes(langs)
             codes = np.array([codes_of[x] for x in langs], U64)
-            for row, data, offsets in text_chunks(batch.column(2), block_bytes):
+            start = np.array([unknown.get(x, 0) for x in langs])
+            for row, data, offsets in text_chunks(batch.column(2)):
+                texts = len(offsets) - 1
+                if number + texts - first > 1 << 16 or pairs > pack_pairs:
+                    if held:
+                        yield _pack_rows(first, held)
+                    first, held, pairs = number, [], 0
                 line, at, text = _lines(data, offsets)
-                held.append(np.unique(np.concatenate(_grams(line, at, codes[row + text])[0])))
-                n_held, size = n_held + len(held[-1]), size + len(data)
-                sink = pa.BufferOutputStream()
-                with pa.ipc.new_stream(sink, batch.schema) as out:
-                    out.write_batch(batch.slice(row, len(offsets) - 1))
-                block = packer.compress(sink.getvalue())
-                yield pa.record_batch([pa.array(pack), pa.array(mix(pack.view(U64) + U64(size)).view(np.int64)), pa.array([block], pa.binary())], names=["pack", "gram", "block"])
-                if n_held > PACK_GRAMS:
-                    held[:] = [np.unique(np.concatenate(held))]
-                    n_held = len(held[0])
-                if size > pack_bytes or n_held > PACK_GRAMS // 2:
-                    yield closed()
-                    pack = pack + 1
-                    held, n_held, size = [], 0, 0
+                top, here, back = np.unique(_hash([line[at - k] for k in range(ORDER)], codes[row + text]), return_index=True, return_inverse=True)
+                # the longest n-gram that ends at a place gives all others that end there, so each distinct one is looked up once
+                columns, code = [line[at[here] - k] for k in range(ORDER)], codes[row + text[here]]
+                total = np.zeros(len(top), np.int64)
+                for m in range(1, ORDER + 1):
+                    gram = top if m == ORDER else _hash(columns[:m], code)
+                    is_hot = np.zeros(len(gram), bool)
+                    if len(known):
+                        found = np.minimum(np.searchsorted(known, gram), len(known) - 1)
+                        is_hot = known[found] == gram
+                        total[is_hot] += value[found[is_hot]]
+                    if len(words):
+                        cold = np.flatnonzero((~is_hot & _may_be_known(gram, words))[back])
+                        names, which = np.unique(gram[back[cold]], return_inverse=True)
+                        both, times = np.unique(which * texts + text[cold], return_counts=True)
+                        held.append((names[both // texts], number + both % texts, times))
+                        pairs += len(both)
+                n = np.bincount(text, minlength=texts) - 1
+                log = np.zeros(texts, np.int64)
+                np.add.at(log, text, total[back])
+                ids = number + np.arange(texts)
+                yield pa.record_batch([pa.array(ids), batch.column(0).slice(row, texts), pa.array(n), pa.array(log + n * start[row : row + texts]), pa.array(mix(ids.view(U64)).view(np.int64)), pa.nulls(texts, pa.binary())], names=_NAMES)
+                number += texts
         if held:
-            yield closed()
-
-    return run
-
-
-def _scores(unknown: dict[str, float]):
-    """(key, n, log): characters and log-probability of each text, from a pack's known n-grams and then its blocks."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        open_pack, found, table = None, [], None
-        for batch in batches:
-            packs = batch.column(0).to_numpy()
-            blocks = batch.column(3)
-            for start, end in _runs(packs):
-                if packs[start] != open_pack:
-                    open_pack, found, table = packs[start], [], None
-                here = blocks.slice(start, end - start)
-                n = here.null_count  # n-grams stand before blocks
-                if n:
-                    found.append((batch.column(1).slice(start, n).to_numpy().view(U64), batch.column(2).slice(start, n).to_numpy()))
-                for i in range(n, end - start):
-                    if table is None:
-                        known, value = (np.concatenate(x) for x in zip(*found, strict=True)) if found else (np.zeros(0, U64), np.zeros(0, np.float32))
-                        order = np.argsort(known)
-                        table, found = (known[order], value[order]), []
-                    yield _block_scores(zstandard.decompress(here[i].as_py()), *table, unknown)
+            yield _pack_rows(first, held)
 
     return run
 
 
-def _runs(x: np.ndarray) -> list[tuple[int, int]]:
-    """(start, end) of the runs of equal neighbours."""
-    cuts = [0, *(np.flatnonzero(x[1:] != x[:-1]) + 1).tolist(), len(x)] if len(x) else [0]
-    return list(zip(cuts[:-1], cuts[1:], strict=True))
-
-
-def _block_scores(block: bytes, known: np.ndarray, value: np.ndarray, unknown: dict[str, float]) -> pa.RecordBatch:
-    texts = pa.ipc.open_stream(block).read_next_batch()
-    langs = texts.column(1).to_pylist()
-    codes_of = _codes(langs)
-    codes = np.array([codes_of[x] for x in langs], U64)
-    n, log = np.zeros(len(langs), np.int64), np.zeros(len(langs))
-    for row, data, offsets in text_chunks(texts.column(2)):
-        line, at, text = _lines(data, offsets)
-        here = slice(row, row + len(offsets) - 1)
-        grams, back = _grams(line, at, codes[row + text])
-        total = np.zeros(len(grams[-1]))
-        for gram in grams if len(known) else ():
-            place = np.minimum(np.searchsorted(known, gram), len(known) - 1)
-            total += np.where(known[place] == gram, value[place], 0.0)
-        n[here] = np.bincount(text, minlength=len(offsets) - 1) - 1
-        log[here] = n[here] * np.array([unknown.get(x, 0.0) for x in langs[here]]) + np.bincount(text, total[back], len(offsets) - 1)
-    return pa.record_batch([texts.column(0), pa.array(n), pa.array(log)], names=["key", "n", "log"])
-
-
-def perplexities(texts: DataFrame, model: DataFrame, unknown: DataFrame, pack_bytes: int = PACK_BYTES, block_bytes: int = BLOCK_BYTES) -> DataFrame:
+def _text_sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(text, key, n, log): the texts' own rows as they are, and sums over the listed n-grams with a value."""
+    for batch in batches:
+        text, key, n, log, lists, value = batch.columns
+        own = lists.is_null()
+        yield pa.record_batch([x.filter(own) for x in (text, key, n, log)], names=_NAMES[:4])
+        listed = np.flatnonzero(~own.to_numpy(zero_copy_only=False))
+        if len(listed):
+            lists = lists.take(pa.array(listed))
+            size = pc.binary_length(lists).to_numpy() // _LISTED.itemsize
+            entries = np.frombuffer(b"".join(lists.to_pylist()), _LISTED)
+            ids = np.repeat(text.to_numpy()[listed], size) + entries["text"]
+            logs = np.repeat(value.take(pa.array(listed)).to_numpy().astype(np.int64), size) * entries["times"]
+            ids, which = np.unique(ids, return_inverse=True)
+            sums = np.zeros(len(ids), np.int64)
+            np.add.at(sums, which, logs)
+            yield pa.record_batch([pa.array(ids), pa.nulls(len(ids), pa.binary()), pa.nulls(len(ids), pa.int64()), pa.array(sums)], names=_NAMES[:4])
+
+
+def perplexities(texts: DataFrame, model: DataFrame, unknown: DataFrame, pack_pairs: int = PACK_PAIRS) -> DataFrame:
     """(key, n_symbols, perplexity) of every distinct key of ``texts`` (key binary, lang, text) under a saved ``hashed_model``."""
-    start = {r["lang"]: r["unknown"] for r in unknown.collect()}
-    rows = texts.select("key", "lang", "text").mapInArrow(_packs(pack_bytes, block_bytes), "pack long, gram long, block binary")
-    # the sharded join: requests and model are dealt by the n-gram's hash, answers and blocks by pack
-    met = rows.join(model.select("gram", "value").hint("merge"), "gram", "left").where("block is not null or value is not null")
-    met = met.select("pack", "gram", "value", "block").repartition("pack").sortWithinPartitions("pack", F.col("block").isNotNull())
-    scores = met.mapInArrow(_scores(start), "key binary, n long, log double").groupBy("key").agg(F.max("n").alias("n"), F.max("log").alias("log"))
-    return scores.select("key", F.col("n").alias("n_symbols"), F.exp(-F.col("log") / F.col("n")).alias("perplexity"))
+    heats = sorted(((r["heat"], r["n"]) for r in model.groupBy("heat").agg(F.count("*").alias("n")).collect()), reverse=True)  # some hundred rows
+    least, held = None, 0
+    for heat, n in heats:
+        if held + n > HOT:
+            break
+        least, held = heat, held + n
+    hot = model.where(F.lit(False) if least is None else F.col("heat") >= least).select("gram", "value").toArrow()
+    known = hot["gram"].to_numpy().view(U64)
+    order = np.argsort(known)
+    known, value = known[order], hot["value"].to_numpy()[order]
+    rest = held < sum(n for _, n in heats)
+    cold = model if least is None else model.where(F.col("heat") < least)
+    shared = texts.sparkSession.sparkContext.broadcast((known, value, _filter_of(cold) if rest else np.zeros(0, U64)))
+    start = {r["lang"]: round(UNIT * r["unknown"]) for r in unknown.collect()}
+    rows = texts.select("key", "lang", "text").mapInArrow(_packs(shared, start, pack_pairs), _ROWS)
+    met = rows.join(cold.select("gram", "value").hint("merge"), "gram", "left").where("lists is null or value is not null")
+    sums = met.select("text", "key", "n", "log", "lists", "value").mapInArrow(_text_sums, "text long, key binary, n long, log long")
+    sums = sums.groupBy("text").agg(F.max("key").alias("key"), F.max("n").alias("n"), F.sum("log").alias("log"))
+    sums = sums.groupBy("key").agg(F.max("n").alias("n"), F.max("log").alias("log"))
+    return sums.select("key", F.col("n").alias("n_symbols"), F.exp(-F.col("log") / UNIT / F.col("n")).alias("perplexity"))
 
 
 _SCORES = ("n_symbols", "perplexity", "threshold", "kept")

@@ -55,12 +55,14 @@ def brute_log(train, context, char):
     return math.log(brute(train, None)((*(["<s>"] * (ORDER - 1) + [*context])[1 - ORDER :], char)))
 
 
-@pytest.mark.parametrize(("pack", "block"), [(1, 1), (40, 20), (1 << 20, 1 << 16)])
-def test_perplexities_agree_with_brute_force(spark, pack, block):
-    texts = [*dict.fromkeys(TRAIN), "a zebra saw the cat", "###", "cat dog cat dog", "中文 the cat \U0001f600é"]
+@pytest.mark.parametrize(("hot", "pack", "words"), [(0, 1, 1), (5, 40, 1 << 10), (0, 1 << 20, 1 << 21), (1 << 16, 1 << 20, 1)])
+def test_perplexities_agree_with_brute_force(spark, hot, pack, words, monkeypatch):
+    monkeypatch.setattr(kneser_ney, "HOT", hot)
+    monkeypatch.setattr(kneser_ney, "FILTER_WORDS", words)
+    texts = [*dict.fromkeys(TRAIN), "a zebra saw the cat", "###", "cat dog cat dog", "中文 the cat \U0001f600é", "the cat " * 600]
     model, unknown = gram_model(gram_counts(spark.createDataFrame([("en", t) for t in TRAIN], "lang string, text string")))
     given = spark.createDataFrame([(bytes([i]), "en", t) for i, t in enumerate(texts)], "key binary, lang string, text string")
-    got = perplexities(given, saved(hashed_model(model), "model"), unknown, pack, block).orderBy("key").collect()
+    got = perplexities(given, saved(hashed_model(model), "model"), unknown, pack).orderBy("key").collect()
     assert [r.perplexity for r in got] == pytest.approx(brute(TRAIN, texts), rel=1e-5)
     assert [r.n_symbols for r in got] == [len(t) + 1 for t in texts]
 
