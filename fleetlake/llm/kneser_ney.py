@@ -28,7 +28,7 @@ from .common import kept_apart, saved, small
 from .textops import U64, mix, text_chunks
 
 #: Characters of an n-gram.
-ORDER = 6
+ORDER = 5
 #: N-grams that are looked up beside the texts, 12 bytes each; results do not depend on it.
 HOT = 1 << 18
 #: A pack is closed once it holds so many (n-gram, text) pairs; results do not depend on it.
