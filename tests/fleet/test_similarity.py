@@ -70,3 +70,12 @@ def test_thresholds_that_join_everything_are_refused(spark):
     df = spark.createDataFrame([("a", "a")], "name string, slug string")
     with pytest.raises(ValueError):
         fuzzy.similar_names(df, df, 66)
+
+
+def test_strings_with_characters_left_out_are_not_broadcast(spark):
+    """Their tables look small to Spark, what is left of the strings is not."""
+    names = spark.range(2000).select(F.concat(F.lit("application "), "id").alias("name"))
+    slugs = spark.range(2000).select(F.concat(F.lit("application"), "id").alias("slug"))
+    for taken_out in (fuzzy.FIRST, fuzzy.SECOND):
+        plan = fuzzy.close_pairs(names, slugs, 85.0, taken_out)._jdf.queryExecution().executedPlan().toString()
+        assert "BroadcastExchange" not in plan and "SortMergeJoin" in plan
