@@ -4,9 +4,9 @@ The model predicts a character from the ORDER - 1 before it. Characters are real
 and script kept, without any fixed vocabulary, so the tables grow with the corpus in every script.
 A log-probability is a sum of table values, one for each n-gram and context of a text that the model
 has seen. N-grams are counted and modelled as strings in Spark, sharded by (language, n-gram). For
-scoring they go by 64-bit hashes. Tasks gather texts in packs of bounded size: for each n-gram of a
-pack one row lists its texts, these rows meet the model in a join dealt by n-gram, and sums for each
-text come back. Only the few n-grams that nearly all texts hold are looked up beside the texts, as
+scoring they go by 64-bit hashes. Tasks gather texts in packs of bounded size. Each distinct n-gram of a
+pack meets the model in a join dealt by n-gram; values found go back to the pack, where the lists of its
+texts' n-grams wait, and are summed up there: rows grow with packs' n-grams, not with tasks times texts. Only the few n-grams that nearly all texts hold are looked up beside the texts, as
 hot keys; a filter of fixed size keeps most n-grams that the model lacks out of the join. Values are
 whole numbers of 1 / UNIT, so sums do not depend on the order of rows.
 """
@@ -187,8 +187,34 @@ def hashed_model(model: DataFrame) -> DataFrame:
     return model.select("lang", "gram", value.alias("value"), heat.alias("heat")).mapInArrow(_hashed, "gram long, value int, heat int")
 
 
-_LISTED = np.dtype([("text", "<u2"), ("times", "u1")])
-_ROWS = "text long, key binary, n long, log long, gram long, lists binary"
+#: A text of a pack: its key, symbols and sum over hot n-grams.
+_TEXT = np.dtype([("key", "V16"), ("n", "<i8"), ("log", "<i8")])
+_ROWS = "pack long, at int, gram long, texts binary, lists binary"
+_NAMES = ["pack", "at", "gram", "texts", "lists"]
+
+
+def _squeezed(numbers: np.ndarray) -> bytes:
+    """32-bit numbers as zstd over their lowest bytes, then the next ones; the count goes first."""
+    planes = np.ascontiguousarray(numbers.astype("<u4").view(np.uint8).reshape(-1, 4).T).tobytes()
+    return len(numbers).to_bytes(8, "little") + pa.compress(planes, codec="zstd", asbytes=True)
+
+
+def _unsqueezed(data: bytes) -> np.ndarray:
+    n = int.from_bytes(data[:8], "little")
+    planes = np.frombuffer(pa.decompress(data[8:], 4 * n, codec="zstd", asbytes=True), np.uint8)
+    return np.ascontiguousarray(planes.reshape(4, n).T).view("<u4").reshape(-1)
+
+
+def _joined(parts: list[bytes]) -> bytes:
+    return b"".join(len(x).to_bytes(8, "little") + x for x in parts)
+
+
+def _parts(data: bytes) -> Iterator[bytes]:
+    at = 0
+    while at < len(data):
+        n = int.from_bytes(data[at : at + 8], "little")
+        yield data[at + 8 : at + 8 + n]
+        at += 8 + n
 
 
 def _bits(gram: Column) -> Column:
@@ -212,33 +238,36 @@ def _may_be_known(gram: np.ndarray, words: np.ndarray) -> np.ndarray:
     return words[(gram % U64(len(words))).astype(np.int64)] & bits == bits
 
 
-def _pack_rows(first: int, held: list[tuple[np.ndarray, ...]]) -> pa.RecordBatch:
-    """A row for each n-gram of a pack with the texts that hold it, as numbers from ``first``, and how often."""
-    gram, text, times = (np.concatenate(x) for x in zip(*held, strict=True))
-    more = np.maximum(1, -(-times // 255))  # a count beyond 255 takes several entries
-    gram, text, left = (np.repeat(x, more) for x in (gram, text, times))
-    left = np.minimum(255, left - 255 * (np.arange(len(left)) - np.repeat(np.cumsum(more) - more, more)))
-    order = np.argsort(gram, kind="stable")
-    lists = np.empty(len(order), _LISTED)
-    lists["text"], lists["times"] = text[order] - first, left[order]
-    grams, start = np.unique(gram[order], return_index=True)
-    ends = np.append(start, len(order)).astype(np.int32) * _LISTED.itemsize
-    lists = pa.BinaryArray.from_buffers(pa.binary(), len(grams), [None, pa.py_buffer(ends), pa.py_buffer(lists.tobytes())])
-    none = pa.nulls(len(grams), pa.int64())
-    return pa.record_batch([pa.array(np.full(len(grams), first)), pa.nulls(len(grams), pa.binary()), none, none, pa.array(grams.view(np.int64)), lists], names=_NAMES)
-
-
-_NAMES = ["text", "key", "n", "log", "gram", "lists"]
+def _pack_rows(pack: int, texts: list[np.ndarray], held: list[tuple[np.ndarray, ...]]) -> Iterator[pa.RecordBatch]:
+    """A row for each distinct n-gram of a pack with its place there, and one with the texts and, for each text, the places of its n-grams and how often it holds them."""
+    texts = np.concatenate(texts)
+    gram, text, times = (np.concatenate(x) for x in zip(*held, strict=True)) if held else (np.zeros(0, U64), np.zeros(0, np.int32), np.zeros(0, np.int32))
+    held.clear()
+    grams, at = np.unique(gram, return_inverse=True)
+    del gram
+    order = np.argsort(text * np.int64(len(grams)) + at)
+    text, at, times = text[order], at[order], times[order]
+    sizes = np.bincount(text, minlength=len(texts))
+    step = np.diff(at, prepend=0)
+    starts = (np.cumsum(sizes) - sizes)[sizes > 0]
+    step[starts] = at[starts]
+    lists = _joined([_squeezed(sizes), _squeezed(step), _squeezed(times)])
+    one = pa.array([pack], pa.int64())
+    yield pa.record_batch([one, pa.nulls(1, pa.int32()), pa.array(mix(np.array([pack], U64)).view(np.int64)), pa.array([texts.tobytes()], pa.binary()), pa.array([lists], pa.binary())], names=_NAMES)
+    for i in range(0, len(grams), 1 << 16):
+        some = grams[i : i + (1 << 16)]
+        none = pa.nulls(len(some), pa.binary())
+        yield pa.record_batch([pa.array(np.full(len(some), pack)), pa.array(np.arange(i, i + len(some), dtype=np.int32)), pa.array(some.view(np.int64)), none, none], names=_NAMES)
 
 
 def _packs(shared, unknown: dict[str, int], pack_pairs: int):
-    """A row for each text with its characters and its sum over hot n-grams, dealt by any number, and rows of ``_pack_rows``."""
+    """The rows of ``_pack_rows`` of all packs that a task closes."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known, value, words = shared.value
         seen: set[bytes] = set()  # copies in this task are scored once; a text's score does not depend on it
-        number = first = TaskContext.get().partitionId() << 40
-        held, pairs = [], 0
+        pack, number, pairs = TaskContext.get().partitionId() << 40, 0, 0  # number: texts of the pack
+        own, held = [], []
         for batch in batches:
             fresh = []
             for i, key in enumerate(batch.column(0).to_pylist()):
@@ -254,10 +283,9 @@ def _packs(shared, unknown: dict[str, int], pack_pairs: int):
             start = np.array([unknown.get(x, 0) for x in langs])
             for row, data, offsets in text_chunks(batch.column(2)):
                 texts = len(offsets) - 1
-                if number + texts - first > 1 << 16 or pairs > pack_pairs:
-                    if held:
-                        yield _pack_rows(first, held)
-                    first, held, pairs = number, [], 0
+                if own and (number + texts > 1 << 16 or pairs > pack_pairs):
+                    yield from _pack_rows(pack, own, held)
+                    pack, number, pairs, own, held = pack + 1, 0, 0, [], []
                 line, at, text = _lines(data, offsets)
                 top, here, back = np.unique(_hash([line[at - k] for k in range(ORDER)], codes[row + text]), return_index=True, return_inverse=True)
                 # the longest n-gram that ends at a place gives all others that end there, so each distinct one is looked up once
@@ -274,37 +302,71 @@ def _packs(shared, unknown: dict[str, int], pack_pairs: int):
                         cold = np.flatnonzero((~is_hot & _may_be_known(gram, words))[back])
                         names, which = np.unique(gram[back[cold]], return_inverse=True)
                         both, times = np.unique(which * texts + text[cold], return_counts=True)
-                        held.append((names[both // texts], number + both % texts, times))
+                        held.append((names[both // texts], (number + both % texts).astype(np.int32), times.astype(np.int32)))
                         pairs += len(both)
                 n = np.bincount(text, minlength=texts) - 1
                 log = np.zeros(texts, np.int64)
                 np.add.at(log, text, total[back])
-                ids = number + np.arange(texts)
-                yield pa.record_batch([pa.array(ids), batch.column(0).slice(row, texts), pa.array(n), pa.array(log + n * start[row : row + texts]), pa.array(mix(ids.view(U64)).view(np.int64)), pa.nulls(texts, pa.binary())], names=_NAMES)
+                rows = np.empty(texts, _TEXT)
+                rows["key"] = np.frombuffer(b"".join(batch.column(0).slice(row, texts).to_pylist()), "V16")
+                rows["n"], rows["log"] = n, log + n * start[row : row + texts]
+                own.append(rows)
                 number += texts
-        if held:
-            yield _pack_rows(first, held)
+        if own:
+            yield from _pack_rows(pack, own, held)
 
     return run
 
 
-def _text_sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(text, key, n, log): the texts' own rows as they are, and sums over the listed n-grams with a value."""
+#: Values that a task holds before it passes them on.
+VALUES = 1_000_000
+
+
+def _found(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(pack, texts, lists): packs' own rows as they are, and the places and values that were found, one row for each pack and VALUES of them."""
+    held: list[tuple[np.ndarray, ...]] = []
+
+    def rows() -> pa.RecordBatch:
+        pack, at, value = (np.concatenate(x) for x in zip(*held, strict=True))
+        order = np.lexsort((at, pack))
+        pack, at, value = pack[order], at[order], value[order]
+        packs, start = np.unique(pack, return_index=True)
+        ends = np.append(start[1:], len(pack))
+        lists = [_joined([_squeezed(np.diff(at[i:j], prepend=0)), _squeezed(value[i:j].view(np.uint32))]) for i, j in zip(start, ends, strict=True)]
+        return pa.record_batch([pa.array(packs), pa.nulls(len(packs), pa.binary()), pa.array(lists, pa.binary())], names=["pack", "texts", "lists"])
+
     for batch in batches:
-        text, key, n, log, lists, value = batch.columns
-        own = lists.is_null()
-        yield pa.record_batch([x.filter(own) for x in (text, key, n, log)], names=_NAMES[:4])
-        listed = np.flatnonzero(~own.to_numpy(zero_copy_only=False))
-        if len(listed):
-            lists = lists.take(pa.array(listed))
-            size = pc.binary_length(lists).to_numpy() // _LISTED.itemsize
-            entries = np.frombuffer(b"".join(lists.to_pylist()), _LISTED)
-            ids = np.repeat(text.to_numpy()[listed], size) + entries["text"]
-            logs = np.repeat(value.take(pa.array(listed)).to_numpy().astype(np.int64), size) * entries["times"]
-            ids, which = np.unique(ids, return_inverse=True)
-            sums = np.zeros(len(ids), np.int64)
-            np.add.at(sums, which, logs)
-            yield pa.record_batch([pa.array(ids), pa.nulls(len(ids), pa.binary()), pa.nulls(len(ids), pa.int64()), pa.array(sums)], names=_NAMES[:4])
+        pack, at, texts, lists, value = batch.columns
+        own = texts.is_valid()
+        yield pa.record_batch([x.filter(own) for x in (pack, texts, lists)], names=["pack", "texts", "lists"])
+        met = pc.invert(own)
+        held.append(tuple(x.filter(met).to_numpy() for x in (pack, at, value)))
+        if sum(len(x[0]) for x in held) > VALUES:
+            yield rows()
+            held.clear()
+    if sum(len(x[0]) for x in held):
+        yield rows()
+
+
+def _pack_sums(table: pa.Table) -> pa.Table:
+    """(key, n, log) of the texts of one pack, from its lists and the values found for its n-grams."""
+    texts, sizes, places, times, found = np.zeros(0, _TEXT), None, None, None, []
+    for own, lists in zip(table["texts"].to_pylist(), table["lists"].to_pylist(), strict=True):
+        if own is None:
+            step, value = map(_unsqueezed, _parts(lists))
+            found.append((np.cumsum(step, dtype=np.int64), value.view(np.int32)))
+        else:
+            texts = np.frombuffer(own, _TEXT)
+            sizes, step, times = (_unsqueezed(x).astype(np.int64) for x in _parts(lists))
+            places = np.concatenate(([0], np.cumsum(step)))
+    ends = np.cumsum(sizes)
+    at = places[1:] - np.repeat(places[ends - sizes], sizes)
+    values = np.zeros(1 + max(at.max(initial=0), max((int(x[0][-1]) for x in found), default=0)), np.int64)
+    for place, value in found:
+        values[place] = value
+    sums = np.concatenate(([0], np.cumsum(values[at] * times)))
+    keys = pa.array([bytes(x) for x in texts["key"]], pa.binary())
+    return pa.table({"key": keys, "n": texts["n"].copy(), "log": texts["log"] + sums[ends] - sums[ends - sizes]})
 
 
 def perplexities(texts: DataFrame, model: DataFrame, unknown: DataFrame, pack_pairs: int = PACK_PAIRS) -> DataFrame:
@@ -324,9 +386,9 @@ def perplexities(texts: DataFrame, model: DataFrame, unknown: DataFrame, pack_pa
     shared = texts.sparkSession.sparkContext.broadcast((known, value, _filter_of(cold) if rest else np.zeros(0, U64)))
     start = {r["lang"]: round(UNIT * r["unknown"]) for r in unknown.collect()}
     rows = texts.select("key", "lang", "text").mapInArrow(_packs(shared, start, pack_pairs), _ROWS)
-    met = rows.join(cold.select("gram", "value").hint("merge"), "gram", "left").where("lists is null or value is not null")
-    sums = met.select("text", "key", "n", "log", "lists", "value").mapInArrow(_text_sums, "text long, key binary, n long, log long")
-    sums = sums.groupBy("text").agg(F.max("key").alias("key"), F.max("n").alias("n"), F.sum("log").alias("log"))
+    met = rows.join(cold.select("gram", "value").hint("merge"), "gram", "left").where("texts is not null or value is not null")
+    found = met.select("pack", "at", "texts", "lists", "value").mapInArrow(_found, "pack long, texts binary, lists binary")
+    sums = found.groupBy("pack").applyInArrow(_pack_sums, "key binary, n long, log long")
     sums = sums.groupBy("key").agg(F.max("n").alias("n"), F.max("log").alias("log"))
     return sums.select("key", F.col("n").alias("n_symbols"), F.exp(-F.col("log") / UNIT / F.col("n")).alias("perplexity"))
 
