@@ -33,6 +33,8 @@ ORDER = 5
 HOT = 1 << 18
 #: A pack is closed once it holds so many (n-gram, text) pairs; results do not depend on it.
 PACK_PAIRS = 3_000_000
+#: Bytes of text from which n-grams are taken for a pack at once; results do not depend on it.
+PACK_BYTES = 1 << 20
 #: 64-bit words of the filter that tells most n-grams that the model lacks; a fuller filter passes more rows to the join, no others.
 FILTER_WORDS = 1 << 21
 #: Steps of a table value, for one.
@@ -238,20 +240,35 @@ def _may_be_known(gram: np.ndarray, words: np.ndarray) -> np.ndarray:
     return words[(gram % U64(len(words))).astype(np.int64)] & bits == bits
 
 
+def _places(grams: np.ndarray, some: np.ndarray) -> np.ndarray:
+    """Where in sorted ``grams`` each of ``some`` stands, looked up once for each run of equal ones."""
+    first = np.flatnonzero(np.append(True, some[1:] != some[:-1])[: len(some)])
+    return np.repeat(np.searchsorted(grams, some[first]).astype(np.int32), np.diff(first, append=len(some)))
+
+
 def _pack_rows(pack: int, texts: list[np.ndarray], held: list[tuple[np.ndarray, ...]]) -> Iterator[pa.RecordBatch]:
     """A row for each distinct n-gram of a pack with its place there, and one with the texts and, for each text, the places of its n-grams and how often it holds them."""
     texts = np.concatenate(texts)
-    gram, text, times = (np.concatenate(x) for x in zip(*held, strict=True)) if held else (np.zeros(0, U64), np.zeros(0, np.int32), np.zeros(0, np.int32))
+    grams = np.unique(np.concatenate([np.zeros(0, U64), *(np.unique(x[0]) for x in held)]))
+    # four bytes a pair and column, the longest arrays freed as soon as they are used: two tasks beside an executor's heap have to fit
+    place = [_places(grams, x[0]) for x in held]
+    text, times = [x[1] for x in held], [x[2] for x in held]
     held.clear()
-    grams, at = np.unique(gram, return_inverse=True)
-    del gram
-    order = np.argsort(text * np.int64(len(grams)) + at)
-    text, at, times = text[order], at[order], times[order]
+    place, text, times = (np.concatenate([np.zeros(0, np.int32), *x]) for x in (place, text, times))
     sizes = np.bincount(text, minlength=len(texts))
-    step = np.diff(at, prepend=0)
+    key = text * np.int64(len(grams))
+    key += place
+    del text
+    order = np.argsort(key)
+    del key
+    place, times = place[order], times[order]
+    del order
+    step = np.diff(place, prepend=np.int32(0))
     starts = (np.cumsum(sizes) - sizes)[sizes > 0]
-    step[starts] = at[starts]
+    step[starts] = place[starts]
+    del place
     lists = _joined([_squeezed(sizes), _squeezed(step), _squeezed(times)])
+    del step, times
     one = pa.array([pack], pa.int64())
     yield pa.record_batch([one, pa.nulls(1, pa.int32()), pa.array(mix(np.array([pack], U64)).view(np.int64)), pa.array([texts.tobytes()], pa.binary()), pa.array([lists], pa.binary())], names=_NAMES)
     for i in range(0, len(grams), 1 << 16):
@@ -276,12 +293,13 @@ def _packs(shared, unknown: dict[str, int], pack_pairs: int):
                     fresh.append(i)
             if not fresh:
                 continue
-            batch = batch.take(pa.array(fresh))
+            if len(fresh) < batch.num_rows:
+                batch = batch.take(pa.array(fresh))
             langs = batch.column(1).to_pylist()
             codes_of = _codes(langs)
             codes = np.array([codes_of[x] for x in langs], U64)
             start = np.array([unknown.get(x, 0) for x in langs])
-            for row, data, offsets in text_chunks(batch.column(2)):
+            for row, data, offsets in text_chunks(batch.column(2), PACK_BYTES):
                 texts = len(offsets) - 1
                 if own and (number + texts > 1 << 16 or pairs > pack_pairs):
                     yield from _pack_rows(pack, own, held)
@@ -299,9 +317,12 @@ def _packs(shared, unknown: dict[str, int], pack_pairs: int):
                         is_hot = known[found] == gram
                         total[is_hot] += value[found[is_hot]]
                     if len(words):
-                        cold = np.flatnonzero((~is_hot & _may_be_known(gram, words))[back])
-                        names, which = np.unique(gram[back[cold]], return_inverse=True)
-                        both, times = np.unique(which * texts + text[cold], return_counts=True)
+                        asked = ~is_hot & _may_be_known(gram, words)
+                        names, which = np.unique(gram[asked], return_inverse=True)
+                        of = np.zeros(len(gram), np.int64)
+                        of[asked] = which
+                        cold = np.flatnonzero(asked[back])
+                        both, times = np.unique(of[back[cold]] * texts + text[cold], return_counts=True)
                         held.append((names[both // texts], (number + both % texts).astype(np.int32), times.astype(np.int32)))
                         pairs += len(both)
                 n = np.bincount(text, minlength=texts) - 1
