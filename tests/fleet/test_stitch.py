@@ -34,3 +34,21 @@ def test_payload_joins_keep_no_null_keys_together(spark):
         assert {r.slug: r.sources for r in apps.collect() if len(r.sources) > 1} == {"app1": ["installomator", "homebrew_cask"], "app2": ["installomator", "autopkg"], "app3": ["installomator", "jamf_app_installer"]}
     finally:
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
+def test_lists_of_recipes_are_joined_last(spark):
+    """Nothing shuffles or sorts rows that carry them already."""
+    labels = spark.createDataFrame([("app1", "Name 1", None)], "name string, display_name string, package_id string").select("*", *(F.lit(None).cast("string").alias(c) for c in ("install_type", "download_url", "app_new_version", "expected_team_id")))
+    casks = spark.createDataFrame([("app1", 1, "Name 1", "u", "1", "s")], "token string, ord int, name string, url string, version string, sha256 string").withColumn("artifacts", F.array(F.struct(F.array("name").alias("app"))))
+    recipes = spark.createDataFrame([("r2", "Name 1", "o/r", "p", "t"), ("r1", "name-1", "o/r", "p", "t")], "identifier string, name string, repo string, path string, inferred_type string")
+    installers = spark.createDataFrame([(1, "Name 1", "Jamf", None, "1", "7", "u")], "ord int, title string, source string, bundle_id string, version string, jamf_id string, download_url string")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", -1)
+    try:
+        apps = stitch.label_apps(labels, casks, recipes, installers)
+        formatted = apps._jdf.queryExecution().explainString(spark._jvm.org.apache.spark.sql.execution.ExplainMode.fromString("formatted"))
+        nodes = [x for x in formatted.split("\n\n") if x.startswith("(")]
+        assert not [x for x in nodes if ("Exchange\n" in x.split("[codegen")[0] + "\n" or ") Exchange" in x) and "recipe_detail" in x.split("Arguments")[0]]
+        row = apps.first()
+        assert [r.identifier for r in row.recipe_detail] == ["r1", "r2"] and row.sources == list(stitch.SOURCE_ORDER)
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
