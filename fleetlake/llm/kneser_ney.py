@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 from pyspark.taskcontext import TaskContext
 
 from .common import kept_apart, saved, small
-from .textops import U64, mix, text_chunks
+from .textops import U64, let_go, mix, text_chunks
 
 #: Characters of an n-gram.
 ORDER = 5
@@ -33,8 +33,8 @@ ORDER = 5
 HOT = 1 << 18
 #: A pack is closed once it holds so many (n-gram, text) pairs; results do not depend on it.
 PACK_PAIRS = 3_000_000
-#: Bytes of text from which n-grams are taken for a pack at once; results do not depend on it.
-PACK_BYTES = 1 << 20
+#: Bytes of text from which n-grams are taken at once; results do not depend on it.
+PACK_BYTES = 1 << 19
 #: 64-bit words of the filter that tells most n-grams that the model lacks; a fuller filter passes more rows to the join, no others.
 FILTER_WORDS = 1 << 21
 #: Steps of a table value, for one.
@@ -84,27 +84,42 @@ def _hash(columns: list[np.ndarray], codes: np.ndarray) -> np.ndarray:
     return mix(h)
 
 
+def _distinct(h: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(sorted distinct numbers, a place of each, where each of ``h`` stands among them)."""
+    order = np.argsort(h)
+    h = h[order]
+    first = np.append(True, h[1:] != h[:-1])[: len(h)]
+    back = np.empty(len(h), np.int32)
+    back[order] = np.cumsum(first, dtype=np.int32) - np.int32(1)
+    return h[first], order[first], back
+
+
 def _count_grams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     held: list[tuple[np.ndarray, ...]] = []  # hash, count, code points, language
     names: list[str] = []
 
     def merged() -> tuple[np.ndarray, ...]:
-        h, c, points, lang = (np.concatenate(x) for x in zip(*held, strict=True))
-        h, first, at = np.unique(h, return_index=True, return_inverse=True)
-        return h, np.bincount(at, c).astype(np.int64), points[first], lang[first]
+        h, c, points, lang = zip(*held, strict=True)
+        held.clear()
+        h, first, at = _distinct(np.concatenate(h))
+        c = np.bincount(at, np.concatenate(c)).astype(np.int64)
+        del at
+        points = np.concatenate(points)
+        return h, c, points[first], np.concatenate(lang)[first]
 
     def rows() -> pa.RecordBatch:
         _, c, points, lang = merged()
         grams = np.ascontiguousarray(points).view(f"<U{ORDER}").reshape(-1)
         return pa.record_batch([pa.array(names).take(pa.array(lang)), pa.array(grams), pa.array(c)], names=["lang", "gram", "c"])
 
+    let_go()
     for batch in batches:
         langs = batch.column(0).to_pylist()
         names.extend(sorted(set(langs) - set(names)))
         number = np.array([names.index(x) for x in langs], np.int32)
         codes_of = _codes(names)
         codes = np.array([codes_of[x] for x in names], U64)
-        for row, data, offsets in text_chunks(batch.column(1)):
+        for row, data, offsets in text_chunks(batch.column(1), PACK_BYTES):
             line, at, text = _lines(data, offsets)
             real = line[at] != START
             at, lang = at[real], number[row + text[real]]
@@ -118,6 +133,7 @@ def _count_grams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                     held.clear()
     if held:
         yield rows()
+    let_go()
 
 
 def gram_counts(texts: DataFrame) -> DataFrame:
@@ -246,27 +262,39 @@ def _places(grams: np.ndarray, some: np.ndarray) -> np.ndarray:
     return np.repeat(np.searchsorted(grams, some[first]).astype(np.int32), np.diff(first, append=len(some)))
 
 
+def _placed(grams: np.ndarray, n: int, held: list[tuple[np.ndarray, ...]]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(pairs of each of n texts; by text and place in sorted ``grams``, steps from place to place and how often); empties ``held``.
+
+    Two tasks beside an executor's heap have to fit: runs of texts are sorted apart, and pairs are freed as soon as they are placed.
+    """
+    pairs = sum(len(x[0]) for x in held)
+    sizes, step = np.zeros(n, np.int64), np.zeros(pairs, np.int32)
+    times = np.zeros(pairs, np.result_type(np.uint8, *(x[2].dtype for x in held)))
+    at, run = 0, []
+    held.reverse()
+    while held or run:
+        if held and (not len(held[-1][0]) or not run or held[-1][1].min() <= max(x[1].max() for x in run)):
+            x = held.pop()
+            if len(x[0]):
+                run.append((_places(grams, x[0]), x[1], x[2]))
+            continue
+        place, text, often = (np.concatenate(x) for x in zip(*run, strict=True))
+        run.clear()
+        order = np.argsort(text * np.int64(len(grams)) + place)
+        place, text = place[order], text[order]
+        to = at + len(place)
+        step[at:to] = np.where(np.diff(text, prepend=-1) > 0, place, np.diff(place, prepend=np.int32(0)))
+        times[at:to] = often[order]
+        sizes += np.bincount(text, minlength=n)
+        at = to
+    return sizes, step, times
+
+
 def _pack_rows(pack: int, texts: list[np.ndarray], held: list[tuple[np.ndarray, ...]]) -> Iterator[pa.RecordBatch]:
     """A row for each distinct n-gram of a pack with its place there, and one with the texts and, for each text, the places of its n-grams and how often it holds them."""
     texts = np.concatenate(texts)
     grams = np.unique(np.concatenate([np.zeros(0, U64), *(np.unique(x[0]) for x in held)]))
-    # four bytes a pair and column, the longest arrays freed as soon as they are used: two tasks beside an executor's heap have to fit
-    place = [_places(grams, x[0]) for x in held]
-    text, times = [x[1] for x in held], [x[2] for x in held]
-    held.clear()
-    place, text, times = (np.concatenate([np.zeros(0, np.int32), *x]) for x in (place, text, times))
-    sizes = np.bincount(text, minlength=len(texts))
-    key = text * np.int64(len(grams))
-    key += place
-    del text
-    order = np.argsort(key)
-    del key
-    place, times = place[order], times[order]
-    del order
-    step = np.diff(place, prepend=np.int32(0))
-    starts = (np.cumsum(sizes) - sizes)[sizes > 0]
-    step[starts] = place[starts]
-    del place
+    sizes, step, times = _placed(grams, len(texts), held)
     lists = _joined([_squeezed(sizes), _squeezed(step), _squeezed(times)])
     del step, times
     one = pa.array([pack], pa.int64())
@@ -281,6 +309,7 @@ def _packs(shared, unknown: dict[str, int], pack_pairs: int):
     """The rows of ``_pack_rows`` of all packs that a task closes."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        let_go()
         known, value, words = shared.value
         seen: set[bytes] = set()  # copies in this task are scored once; a text's score does not depend on it
         pack, number, pairs = TaskContext.get().partitionId() << 40, 0, 0  # number: texts of the pack
@@ -305,7 +334,7 @@ def _packs(shared, unknown: dict[str, int], pack_pairs: int):
                     yield from _pack_rows(pack, own, held)
                     pack, number, pairs, own, held = pack + 1, 0, 0, [], []
                 line, at, text = _lines(data, offsets)
-                top, here, back = np.unique(_hash([line[at - k] for k in range(ORDER)], codes[row + text]), return_index=True, return_inverse=True)
+                top, here, back = _distinct(_hash([line[at - k] for k in range(ORDER)], codes[row + text]))
                 # the longest n-gram that ends at a place gives all others that end there, so each distinct one is looked up once
                 columns, code = [line[at[here] - k] for k in range(ORDER)], codes[row + text[here]]
                 total = np.zeros(len(top), np.int64)
@@ -322,8 +351,9 @@ def _packs(shared, unknown: dict[str, int], pack_pairs: int):
                         of = np.zeros(len(gram), np.int64)
                         of[asked] = which
                         cold = np.flatnonzero(asked[back])
-                        both, times = np.unique(of[back[cold]] * texts + text[cold], return_counts=True)
-                        held.append((names[both // texts], (number + both % texts).astype(np.int32), times.astype(np.int32)))
+                        both = of[back[cold]] * texts + text[cold]
+                        both, times = np.unique(both.astype(np.int32) if len(names) * texts < 1 << 31 else both, return_counts=True)
+                        held.append((names[both // texts], (number + both % texts).astype(np.int32), times.astype(np.min_scalar_type(times.max(initial=0)))))
                         pairs += len(both)
                 n = np.bincount(text, minlength=texts) - 1
                 log = np.zeros(texts, np.int64)
@@ -335,10 +365,13 @@ def _packs(shared, unknown: dict[str, int], pack_pairs: int):
                 number += texts
         if own:
             yield from _pack_rows(pack, own, held)
+        let_go()
 
     return run
 
 
+#: (N-gram, text) pairs of a pack that are summed up at once, one text at least; results do not depend on it.
+SUM_PAIRS = 1 << 18
 #: Values that a task holds before it passes them on.
 VALUES = 1_000_000
 
@@ -367,27 +400,39 @@ def _found(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             held.clear()
     if sum(len(x[0]) for x in held):
         yield rows()
+    held.clear()
+    let_go()
 
 
 def _pack_sums(table: pa.Table) -> pa.Table:
     """(key, n, log) of the texts of one pack, from its lists and the values found for its n-grams."""
-    texts, sizes, places, times, found = np.zeros(0, _TEXT), None, None, None, []
+    texts, sizes, step, times, found = np.zeros(0, _TEXT), None, None, None, []
     for own, lists in zip(table["texts"].to_pylist(), table["lists"].to_pylist(), strict=True):
         if own is None:
-            step, value = map(_unsqueezed, _parts(lists))
-            found.append((np.cumsum(step, dtype=np.int64), value.view(np.int32)))
+            place, value = map(_unsqueezed, _parts(lists))
+            found.append((np.cumsum(place, dtype=np.int64), value.view(np.int32)))
         else:
             texts = np.frombuffer(own, _TEXT)
-            sizes, step, times = (_unsqueezed(x).astype(np.int64) for x in _parts(lists))
-            places = np.concatenate(([0], np.cumsum(step)))
-    ends = np.cumsum(sizes)
-    at = places[1:] - np.repeat(places[ends - sizes], sizes)
-    values = np.zeros(1 + max(at.max(initial=0), max((int(x[0][-1]) for x in found), default=0)), np.int64)
+            sizes, step, times = map(_unsqueezed, _parts(lists))
+    # one more than the last place found: all places after it have no value
+    values = np.zeros(2 + max((int(x[0][-1]) for x in found), default=0), np.int64)
     for place, value in found:
         values[place] = value
-    sums = np.concatenate(([0], np.cumsum(values[at] * times)))
+    del found
+    sizes = sizes.astype(np.int64)
+    ends, sums = np.cumsum(sizes), np.zeros(len(sizes), np.int64)
+    i = 0
+    while i < len(sizes):  # runs of texts, as a whole pack's numbers at eight bytes are too many for two tasks beside an executor's heap
+        start = ends[i] - sizes[i]
+        to = max(i + 1, int(np.searchsorted(ends, start + SUM_PAIRS, "right")))
+        first, last, own = ends[i:to] - sizes[i:to] - start, ends[i:to] - start, slice(start, ends[to - 1])
+        places = np.concatenate(([0], np.cumsum(step[own], dtype=np.int64)))
+        at = np.minimum(places[1:] - np.repeat(places[first], sizes[i:to]), len(values) - 1)
+        total = np.concatenate(([0], np.cumsum(values[at] * times[own])))
+        sums[i:to] = total[last] - total[first]
+        i = to
     keys = pa.array([bytes(x) for x in texts["key"]], pa.binary())
-    return pa.table({"key": keys, "n": texts["n"].copy(), "log": texts["log"] + sums[ends] - sums[ends - sizes]})
+    return pa.table({"key": keys, "n": texts["n"].copy(), "log": texts["log"] + sums})
 
 
 def perplexities(texts: DataFrame, model: DataFrame, unknown: DataFrame, pack_pairs: int = PACK_PAIRS) -> DataFrame:

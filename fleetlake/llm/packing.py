@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import saved, small
-from .textops import U64, mix
+from .textops import KEPT, U64, let_go, mix
 
 LENGTH = 1024
 SEPARATOR = 0
@@ -27,6 +27,7 @@ DIMS = 4
 LEVELS = 8  # bits a dimension
 
 _ENCODERS: dict[str, tuple] = {}
+KEPT.append(_ENCODERS.clear)
 _PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 
 
@@ -118,6 +119,8 @@ def _tokenised(path: str):
                     at, rows, held = i + 1, [], 0
             if rows:
                 yield pa.record_batch([own.slice(at, len(rows)), *(pa.array(x, f[1]) for x, f in zip(zip(*rows, strict=True), fields[1:], strict=True))], schema=schema)
+        del encode
+        let_go()
 
     return run
 

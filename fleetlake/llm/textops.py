@@ -6,7 +6,9 @@ costs a few numpy passes instead of a Python loop over characters.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import contextlib
+import ctypes
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -19,6 +21,22 @@ _MULT = 0x9E3779B97F4A7C15
 _INV = pow(_MULT, -1, 1 << 64)
 
 
+#: Drop what a worker keeps for later tasks of its operator.
+KEPT: list[Callable[[], None]] = []
+
+
+def let_go() -> None:
+    """Give back what this worker still holds from other tasks: tables kept for later ones, and freed memory that was not returned.
+
+    Spark hands a worker from one stage to the next, so what one leaves adds to what the next takes.
+    """
+    for drop in KEPT:
+        drop()
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # only glibc has it
+        ctypes.CDLL(None).malloc_trim(0)
+
+
 def _byte_codes(seed: int) -> np.ndarray:
     return np.random.default_rng(seed).integers(1, 2**63, 256, dtype=np.uint64)
 
@@ -71,6 +89,9 @@ def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     return _powers[0][:n], _powers[1][:n]
 
 
+KEPT.append(lambda: _powers.__setitem__(slice(None), [np.ones(1, U64), np.ones(1, U64)]))
+
+
 def span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, codes: np.ndarray = BYTE_CODES) -> np.ndarray:
     """A 64-bit hash of each byte span; equal spans hash equally wherever they stand."""
     up, down = powers(len(data) + 1)

@@ -36,3 +36,46 @@ def test_taking_n_grams_of_a_text_takes_no_more_for_a_longer_run_of_texts(monkey
     _, peak = tracemalloc.get_traced_memory()
     tracemalloc.stop()
     assert rows > 1 and peak < 190 << 20, peak >> 20
+
+
+def _held(texts: int, each: int):
+    draw = np.random.default_rng(7)
+    held = []
+    for part in range(20):
+        both = np.sort(draw.choice(50_000 * texts, each, replace=False))
+        held.append((kn.mix((both // texts).astype(np.uint64)), (part * texts + both % texts).astype(np.int32), draw.integers(1, 9, each).astype(np.uint8)))
+    return held
+
+
+def test_sums_of_a_pack_take_little_beside_its_lists(monkeypatch):
+    """And are those of a loop over pairs, whatever is summed up at once; places without a value count nothing."""
+    texts, each = 20, 60_000
+    held = _held(texts, each)
+    want = np.zeros(20 * texts, np.int64)
+    grams = np.unique(np.concatenate([x[0] for x in held]))
+    values = np.random.default_rng(8).integers(-1000, 1000, len(grams))
+    values[-100:] = values[::3] = 0
+    for gram, text, times in held:
+        np.add.at(want, text, values[np.searchsorted(grams, gram)] * times)
+    own = next(kn._pack_rows(0, [np.zeros(20 * texts, kn._TEXT)], held))
+    at = np.flatnonzero(values)
+    found = kn._joined([kn._squeezed(np.diff(at, prepend=0)), kn._squeezed(values[at].astype(np.int32).view(np.uint32))])
+    table = pa.table({"texts": [own.column(3)[0].as_py(), None], "lists": [own.column(4)[0].as_py(), found]})
+    tracemalloc.start()
+    out = kn._pack_sums(table)
+    _, peak = tracemalloc.get_traced_memory()
+    tracemalloc.stop()
+    assert out["log"].to_numpy().tolist() == want.tolist()
+    assert peak < 28 * 20 * each, peak / (20 * each)
+    monkeypatch.setattr(kn, "SUM_PAIRS", 1)
+    assert kn._pack_sums(table)["log"].to_numpy().tolist() == want.tolist()
+
+
+def test_a_worker_lets_go_of_what_other_tasks_left():
+    from fleetlake.llm import packing, textops
+
+    textops.powers(10)
+    packing._ENCODERS["a"] = (None, 1)
+    textops.let_go()
+    assert len(textops._powers[0]) == 1 and len(textops._powers[1]) == 1 and not packing._ENCODERS
+    assert len(textops.powers(10)[0]) == 10
