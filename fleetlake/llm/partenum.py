@@ -38,6 +38,8 @@ BLOCK_FEATURES = 400_000
 SKETCH_SETS = 2048
 #: Signatures of a task that are looked at for repeats before they are shuffled.
 BATCH = 400_000
+#: Bytes of text of which sets are made at once; results do not depend on it.
+SET_BYTES = 1 << 18
 
 
 class Bands:
@@ -130,7 +132,7 @@ def _set_rows(n: int, percent: int):
         bands = Bands(percent)
         for batch in batches:
             size, h1, h2, sketch = (np.zeros(batch.num_rows, np.int64), np.zeros(batch.num_rows, U64), np.zeros(batch.num_rows, U64), [None] * batch.num_rows)
-            for row, data, offsets in text_chunks(batch.column(1)):
+            for row, data, offsets in text_chunks(batch.column(1), SET_BYTES):
                 for i, u in _sets(data, offsets, n):
                     size[row + i], h1[row + i], h2[row + i] = len(u), *_names(u)
                     if len(u):
@@ -171,7 +173,7 @@ def _signature_rows(n: int, percent: int):
         bands, seen = Bands(percent), set()
         sigs, owners, held = [], [], 0
         for batch in batches:
-            for _, data, offsets in text_chunks(batch.column(0)):
+            for _, data, offsets in text_chunks(batch.column(0), SET_BYTES):
                 for _, u in _sets(data, offsets, n):
                     if not len(u):
                         continue
@@ -221,7 +223,7 @@ def _features(n: int):
         for batch in batches:
             feats = [None] * batch.num_rows
             names = batch.column(3).to_numpy()
-            for row, data, offsets in text_chunks(batch.column(0)):
+            for row, data, offsets in text_chunks(batch.column(0), SET_BYTES):
                 for i, u in _sets(data, offsets, n):
                     if len(u) and _names(u)[0].view(np.int64) == names[row + i]:  # else another text under the same id
                         feats[row + i] = u.tobytes()

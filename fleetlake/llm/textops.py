@@ -81,7 +81,7 @@ _powers = [np.ones(1, U64), np.ones(1, U64)]
 def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     """Wrapping powers 0..n-1 of the multiplier and of its inverse."""
     if len(_powers[0]) < n:
-        size = max(n, CHUNK_BYTES + 1)
+        size = max(n, 2 * len(_powers[0]))
         for i, m in enumerate((_MULT, _INV)):
             x = np.full(size, U64(m))
             x[0] = 1

@@ -79,3 +79,16 @@ def test_a_worker_lets_go_of_what_other_tasks_left():
     textops.let_go()
     assert len(textops._powers[0]) == 1 and len(textops._powers[1]) == 1 and not packing._ENCODERS
     assert len(textops.powers(10)[0]) == 10
+
+
+def test_hashing_short_texts_keeps_no_large_tables():
+    from fleetlake.llm import partenum, textops
+
+    textops.let_go()
+    text = pa.array([f"{i} word " * 30 for i in range(8000)])
+    tracemalloc.start()
+    rows = sum(b.num_rows for b in partenum._set_rows(5, 80)(iter([pa.record_batch([pa.array(range(8000)), text], names=["id", "text"])])))
+    _, peak = tracemalloc.get_traced_memory()
+    tracemalloc.stop()
+    assert rows == 8000 and peak < 40 << 20, peak >> 20
+    assert len(textops._powers[0]) < 1 << 20
