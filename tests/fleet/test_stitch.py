@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from fleetlake.operators import stitch
+from fleetlake.operators import catalog, stitch
 from fleetlake.sources.storage import left_join_spread
 
 
@@ -52,3 +52,24 @@ def test_lists_of_recipes_are_joined_last(spark):
         assert [r.identifier for r in row.recipe_detail] == ["r1", "r2"] and row.sources == list(stitch.SOURCE_ORDER)
     finally:
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
+def test_lists_of_recipes_are_built_only_where_they_are_read(spark):
+    """Coverage, sources and vendors ask whether an app has recipes; neither the lists nor the DISTINCT of recipes is computed for that."""
+    labels = spark.createDataFrame([("app1", "Name 1", None), ("app2", "Name 2", None)], "name string, display_name string, package_id string").select("*", *(F.lit(None).cast("string").alias(c) for c in ("install_type", "download_url", "app_new_version", "expected_team_id")))
+    casks = spark.createDataFrame([("app1", 1, "Name 1", "u", "1", "s"), ("c3", 2, "Name 3", "u", "1", "s")], "token string, ord int, name string, url string, version string, sha256 string").withColumn("artifacts", F.array(F.struct(F.array("name").alias("app"))))
+    rows = [("r2", "Name 1", "o/r", "p", "t"), ("r1", "name-1", "o/r", "p", "t"), ("r1", "name-1", "o/r", "p", "t"), ("r3", "Name 3", None, None, None), ("r4", "-", "o/r", "p", "t"), ("r5", None, "o/r", "p", "t")]
+    recipes = spark.createDataFrame(rows, "identifier string, name string, repo string, path string, inferred_type string").distinct()
+    installers = spark.createDataFrame([(1, "Name 1", "Jamf", None, "1", "7", "u")], "ord int, title string, source string, bundle_id string, version string, jamf_id string, download_url string")
+    apps = stitch.stitch_catalog(labels, casks, recipes, installers)
+    asked = {
+        "j04": catalog.catalog_summary(apps), "i14": stitch.label_apps(labels, casks, recipes, installers).select("slug", "sources"),
+        "f07": apps.select("slug", "sources"), "j07": apps.where("vendor is not null").select("vendor").distinct(), "counts": stitch.stitch_counts(apps),
+    }
+    for name, df in asked.items():
+        plan = df._jdf.queryExecution().optimizedPlan().toString()
+        assert "collect_list" not in plan and "identifier#" not in plan.replace("LogicalRDD [identifier#", ""), name
+    assert asked["j04"].first().asDict() == {"total": 3, "installomator": 2, "homebrew_cask": 2, "autopkg": 2, "jamf_app_installer": 1}
+    got = {r.slug: r for r in apps.collect()}
+    assert {s: r.recipe_detail and [x.identifier for x in r.recipe_detail] for s, r in got.items()} == {"app1": ["r1", "r2"], "app2": None, "c3": ["r3"]}
+    assert all((r.recipe_detail is not None) == ("autopkg" in r.sources) for r in got.values())
