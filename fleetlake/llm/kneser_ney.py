@@ -205,7 +205,7 @@ def hashed_model(model: DataFrame) -> DataFrame:
     return model.select("lang", "gram", value.alias("value"), heat.alias("heat")).mapInArrow(_hashed, "gram long, value int, heat int")
 
 
-#: A text of a pack: its key, symbols and sum over hot n-grams.
+#: A text of a pack: its key (keys of other sizes go beside, by the text's number), symbols and sum over hot n-grams.
 _TEXT = np.dtype([("key", "V16"), ("n", "<i8"), ("log", "<i8")])
 _ROWS = "pack long, at int, gram long, texts binary, lists binary"
 _NAMES = ["pack", "at", "gram", "texts", "lists"]
@@ -290,12 +290,15 @@ def _placed(grams: np.ndarray, n: int, held: list[tuple[np.ndarray, ...]]) -> tu
     return sizes, step, times
 
 
-def _pack_rows(pack: int, texts: list[np.ndarray], held: list[tuple[np.ndarray, ...]]) -> Iterator[pa.RecordBatch]:
-    """A row for each distinct n-gram of a pack with its place there, and one with the texts and, for each text, the places of its n-grams and how often it holds them."""
+def _pack_rows(pack: int, texts: list[np.ndarray], held: list[tuple[np.ndarray, ...]], odd: dict[int, bytes] | None = None) -> Iterator[pa.RecordBatch]:
+    """A row for each distinct n-gram of a pack with its place there, and one with the texts and, for each text, the places of its n-grams and how often it holds them.
+
+    ``odd`` has the keys, by the text's number, that do not fit a text's own place for one.
+    """
     texts = np.concatenate(texts)
     grams = np.unique(np.concatenate([np.zeros(0, U64), *(np.unique(x[0]) for x in held)]))
     sizes, step, times = _placed(grams, len(texts), held)
-    lists = _joined([_squeezed(sizes), _squeezed(step), _squeezed(times)])
+    lists = _joined([_squeezed(sizes), _squeezed(step), _squeezed(times), *(i.to_bytes(8, "little") + key for i, key in (odd or {}).items())])
     del step, times
     one = pa.array([pack], pa.int64())
     yield pa.record_batch([one, pa.nulls(1, pa.int32()), pa.array(mix(np.array([pack], U64)).view(np.int64)), pa.array([texts.tobytes()], pa.binary()), pa.array([lists], pa.binary())], names=_NAMES)
@@ -313,7 +316,7 @@ def _packs(shared, unknown: dict[str, int], pack_pairs: int):
         known, value, words = shared.value
         seen: set[bytes] = set()  # copies in this task are scored once; a text's score does not depend on it
         pack, number, pairs = TaskContext.get().partitionId() << 40, 0, 0  # number: texts of the pack
-        own, held = [], []
+        own, held, odd = [], [], {}
         for batch in batches:
             fresh = []
             for i, key in enumerate(batch.column(0).to_pylist()):
@@ -331,8 +334,8 @@ def _packs(shared, unknown: dict[str, int], pack_pairs: int):
             for row, data, offsets in text_chunks(batch.column(2), PACK_BYTES):
                 texts = len(offsets) - 1
                 if own and (number + texts > 1 << 16 or pairs > pack_pairs):
-                    yield from _pack_rows(pack, own, held)
-                    pack, number, pairs, own, held = pack + 1, 0, 0, [], []
+                    yield from _pack_rows(pack, own, held, odd)
+                    pack, number, pairs, own, held, odd = pack + 1, 0, 0, [], [], {}
                 line, at, text = _lines(data, offsets)
                 top, here, back = _distinct(_hash([line[at - k] for k in range(ORDER)], codes[row + text]))
                 # the longest n-gram that ends at a place gives all others that end there, so each distinct one is looked up once
@@ -359,12 +362,14 @@ def _packs(shared, unknown: dict[str, int], pack_pairs: int):
                 log = np.zeros(texts, np.int64)
                 np.add.at(log, text, total[back])
                 rows = np.empty(texts, _TEXT)
-                rows["key"] = np.frombuffer(b"".join(batch.column(0).slice(row, texts).to_pylist()), "V16")
+                keys = batch.column(0).slice(row, texts).to_pylist()
+                odd |= {number + i: key for i, key in enumerate(keys) if len(key) != 16}
+                rows["key"] = np.frombuffer(b"".join(key if len(key) == 16 else bytes(16) for key in keys), "V16")
                 rows["n"], rows["log"] = n, log + n * start[row : row + texts]
                 own.append(rows)
                 number += texts
         if own:
-            yield from _pack_rows(pack, own, held)
+            yield from _pack_rows(pack, own, held, odd)
         let_go()
 
     return run
@@ -406,14 +411,15 @@ def _found(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def _pack_sums(table: pa.Table) -> pa.Table:
     """(key, n, log) of the texts of one pack, from its lists and the values found for its n-grams."""
-    texts, sizes, step, times, found = np.zeros(0, _TEXT), None, None, None, []
+    texts, sizes, step, times, odd, found = np.zeros(0, _TEXT), None, None, None, [], []
     for own, lists in zip(table["texts"].to_pylist(), table["lists"].to_pylist(), strict=True):
         if own is None:
             place, value = map(_unsqueezed, _parts(lists))
             found.append((np.cumsum(place, dtype=np.int64), value.view(np.int32)))
         else:
             texts = np.frombuffer(own, _TEXT)
-            sizes, step, times = map(_unsqueezed, _parts(lists))
+            sizes, step, times, *odd = _parts(lists)
+            sizes, step, times = map(_unsqueezed, (sizes, step, times))
     # one more than the last place found: all places after it have no value
     values = np.zeros(2 + max((int(x[0][-1]) for x in found), default=0), np.int64)
     for place, value in found:
@@ -431,8 +437,10 @@ def _pack_sums(table: pa.Table) -> pa.Table:
         total = np.concatenate(([0], np.cumsum(values[at] * times[own])))
         sums[i:to] = total[last] - total[first]
         i = to
-    keys = pa.array([bytes(x) for x in texts["key"]], pa.binary())
-    return pa.table({"key": keys, "n": texts["n"].copy(), "log": texts["log"] + sums})
+    keys = [bytes(x) for x in texts["key"]]
+    for x in odd:
+        keys[int.from_bytes(x[:8], "little")] = x[8:]
+    return pa.table({"key": pa.array(keys, pa.binary()), "n": texts["n"].copy(), "log": texts["log"] + sums})
 
 
 def perplexities(texts: DataFrame, model: DataFrame, unknown: DataFrame, pack_pairs: int = PACK_PAIRS) -> DataFrame:
