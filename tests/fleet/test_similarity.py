@@ -79,3 +79,41 @@ def test_strings_with_characters_left_out_are_not_broadcast(spark):
     for taken_out in (fuzzy.FIRST, fuzzy.SECOND):
         plan = fuzzy.close_pairs(names, slugs, 85.0, taken_out)._jdf.queryExecution().executedPlan().toString()
         assert "BroadcastExchange" not in plan and "SortMergeJoin" in plan
+
+
+def test_numbered_names_are_not_scored_against_all_slugs_of_their_letters(spark, monkeypatch):
+    """Strings that end in their number need no score, and pairs that share only letters are never made."""
+    scored, met = [], []
+    monkeypatch.setattr(fuzzy, "_scored", lambda pairs, threshold, f=fuzzy._scored: (scored.append(pairs.count()), f(pairs, threshold))[1])
+    monkeypatch.setattr(fuzzy, "_best", lambda pairs, f=getattr(fuzzy, "_best", None): (met.append(pairs.count()), f(pairs))[1], raising=False)
+    kind = F.element_at(F.array(*map(F.lit, ("hotplate", "redanvil", "coldwidget", "oldwidget"))), (F.col("id") % 4 + 1).cast("int"))
+    for k in (300, 3000):
+        names = spark.range(k).select(F.concat(kind, F.col("id") * 14 + 100_001).alias("name"))
+        slugs = spark.range(k).select(F.concat(kind, F.col("id") * 14 + 2_000_000).alias("slug"))
+        fuzzy.similar_names(names, slugs).count()
+        scored.append(-sum(met))
+        met.clear()
+    pairs = [x for x in scored if x < 0]
+    assert not [x for x in scored if x > 0]
+    assert -pairs[1] < 40 * 3000
+
+
+@pytest.mark.parametrize(("kinds", "digits"), [(1024, 12), (3, 5), (0, 12)])
+def test_kinds_miss_no_pair(spark, kinds, digits, monkeypatch):
+    """Digits before, within and after the letters, and none; all strings by kind, some, and none."""
+    monkeypatch.setattr(fuzzy, "KINDS", kinds)
+    monkeypatch.setattr(fuzzy, "CROWD", 2)
+    monkeypatch.setattr(fuzzy, "DIGITS", digits)
+    draw = random.Random(kinds)
+
+    def text():
+        letters, number = draw.choice(["hotrod", "oldrod", "hot rod", "é-", "app", "app ", ""]), "".join(draw.choices("0123", k=draw.choice((0, 1, 4, 5, 6))))
+        at = draw.choice((len(letters), len(letters), draw.randint(0, len(letters))))
+        return letters[:at] + number + letters[at:]
+
+    names, slugs = ({text() for _ in range(120)} for _ in range(2))
+    df = lambda rows, c: spark.createDataFrame([*((x,) for x in rows), (None,)], f"{c} string")
+    got = {(r.name, r.slug, r.ratio) for r in fuzzy.similar_names(df(names, "name"), df(slugs, "slug")).collect()}
+    ratio = lambda a, b: 200.0 * lcs_length(a, b) / (len(a) + len(b)) if a or b else 100.0
+    best = {n: min((-ratio(n, s), s) for s in slugs) for n in names}
+    assert got == {(n, s, -r) for n, (r, s) in best.items() if -r >= 85}
