@@ -117,3 +117,14 @@ def test_kinds_miss_no_pair(spark, kinds, digits, monkeypatch):
     ratio = lambda a, b: 200.0 * lcs_length(a, b) / (len(a) + len(b)) if a or b else 100.0
     best = {n: min((-ratio(n, s), s) for s in slugs) for n in names}
     assert got == {(n, s, -r) for n, (r, s) in best.items() if -r >= 85}
+
+
+def test_names_whose_letters_are_far_from_all_slugs_are_not_joined(spark, monkeypatch):
+    """The second pass of f10: titles against app12 and cask-12; the kinds alone tell that nothing matches."""
+    joined = []
+    for step in ("close_pairs", "kind_pairs"):
+        monkeypatch.setattr(fuzzy, step, lambda *a, f=getattr(fuzzy, step, None), **k: (joined.append(f), f(*a, **k))[1], raising=False)
+    names = spark.range(500).select(F.concat(F.lit("hotplate"), F.col("id") + 1000).alias("name"))
+    slugs = spark.range(500).select(F.concat(F.element_at(F.array(F.lit("app"), F.lit("cask-")), (F.col("id") % 2 + 1).cast("int")), F.col("id") + 1000).alias("slug"))
+    assert fuzzy.similar_names(names, slugs).count() == 0
+    assert not joined
