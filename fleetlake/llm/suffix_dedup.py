@@ -31,6 +31,8 @@ THRESHOLD = 200
 DIGIT = 64
 #: Members up to which a group of differing contexts is compared directly.
 GROUP = 2048
+#: Pairs of members that are compared at once, and members that a task gathers for that; results do not depend on them.
+PAIRS, HELD = 4096, 4096
 #: Windows in a run of the third digit.
 RUN = 12
 _CODES2 = np.random.default_rng(29).integers(1, 2**63, 256, dtype=np.uint64)
@@ -187,17 +189,22 @@ def _contexts(threshold: int):
     return run
 
 
-def _matrix(values: list[bytes], width: int, flip: bool) -> tuple[np.ndarray, np.ndarray]:
+def _words(values: list[bytes], width: int, flip: bool) -> tuple[np.ndarray, np.ndarray]:
+    """Byte strings as rows of 64-bit words, the first byte the lowest, and their sizes."""
     size = np.array([len(v) for v in values])
+    width = -(-width // 8) * 8
     joined = b"".join((v[::-1] if flip else v).ljust(width, b"\0") for v in values)
-    return np.frombuffer(joined, np.uint8).reshape(len(values), width), size
+    return np.frombuffer(joined, "<u8").reshape(len(values), -1), size
 
 
-def _common(m: np.ndarray, size: np.ndarray, i: int) -> np.ndarray:
-    """Bytes that row i shares with each row from the left, within both lengths."""
-    differs = m != m[i]
-    first = np.where(differs.any(1), differs.argmax(1), m.shape[1])
-    return np.minimum(first, np.minimum(size, size[i]))
+def _common(m: np.ndarray, size: np.ndarray, some: np.ndarray, others: np.ndarray | slice) -> np.ndarray:
+    """Bytes that each of some rows shares from the left, within both lengths, with the rows that ``others`` has for it."""
+    differs = m[some][:, None] ^ m[others]
+    at = (differs != 0).argmax(2)
+    word = np.take_along_axis(differs, at[:, :, None], 2)[:, :, 0]
+    # bits below the lowest one that differs, in whole bytes
+    first = np.where(word != 0, 8 * at + (np.bitwise_count((word & (~word + U64(1))) - U64(1)) >> 3), 8 * m.shape[1])
+    return np.minimum(first, np.minimum(size[some][:, None], size[others]))
 
 
 def _compare(threshold: int):
@@ -205,32 +212,41 @@ def _compare(threshold: int):
     reach = threshold - DIGIT
     schema = pa.schema([("key", pa.int64()), ("lo", pa.int32()), ("hi", pa.int32())])
 
-    def group(rows: list[tuple]) -> Iterator[tuple[int, int, int]]:
-        if len(rows) < 2:
-            return
-        before, nb = _matrix([r[4] for r in rows], reach, True)
-        after, na = _matrix([r[5] for r in rows], threshold, False)
-        for i, r in enumerate(rows):
-            if r[3]:
-                continue
-            left, right = _common(before, nb, i), _common(after, na, i)
-            start, end = np.maximum(threshold - right, 0), np.minimum(left, reach)
+    def spans(groups: list[list[tuple]]) -> Iterator[tuple[int, int, int]]:
+        """Of groups of equal size."""
+        n, rows = len(groups[0]), [r for g in groups for r in g]
+        before, nb = _words([r[4] for r in rows], reach, True)
+        after, na = _words([r[5] for r in rows], threshold, False)
+        own = np.array([i for i, r in enumerate(rows) if not r[3]], np.int64)
+        for i in range(0, len(own), max(1, PAIRS // n)):
+            some = own[i : i + max(1, PAIRS // n)]
+            others = (some - some % n)[:, None] + np.arange(n) if len(groups) > 1 else slice(None)
+            start, end = np.maximum(threshold - _common(after, na, some, others), 0), np.minimum(_common(before, nb, some, others), reach)
             fit = start <= end
-            fit[i] = False
-            if not fit.any():
+            fit[np.arange(len(some)), some % n] = False
+            who = np.nonzero(fit)[0]
+            if not len(who):
                 continue
-            delta = np.zeros(reach + 2, np.int64)
-            np.add.at(delta, start[fit], 1)
-            np.add.at(delta, end[fit] + 1, -1)
-            on = np.concatenate(([0], (np.cumsum(delta)[:-1] > 0).astype(np.int8), [0]))
-            step = np.diff(on)
-            for d1, d2 in zip(np.flatnonzero(step == 1), np.flatnonzero(step == -1) - 1, strict=True):
-                yield r[1], r[2] - int(d2), r[2] - int(d1)
+            first, last = (np.bincount(who * (reach + 2) + x, minlength=len(some) * (reach + 2)) for x in (start[fit], end[fit] + 1))
+            on = np.cumsum((first - last).reshape(len(some), -1), axis=1) > 0
+            step = np.diff(on.astype(np.int8), axis=1, prepend=0)
+            # each row's runs begin and end in turn, the last end within reach + 1
+            at, d1 = np.nonzero(step == 1)
+            d2 = np.nonzero(step == -1)[1] - 1
+            for j, a, b in zip(some[at].tolist(), d1.tolist(), d2.tolist(), strict=True):
+                yield rows[j][1], rows[j][2] - b, rows[j][2] - a
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rows: list[tuple] = []
+        whole: dict[int, list[list[tuple]]] = {}  # groups by their size
+        held = 0
         out: list[tuple[int, int, int]] = []
 
+        def compare():
+            for groups in whole.values():
+                out.extend(spans(groups))
+            whole.clear()
+
         def flush():
             batch = pa.record_batch([pa.array(x, t) for x, t in zip(zip(*out, strict=True), schema.types, strict=True)], schema=schema)
             out.clear()
@@ -239,12 +255,19 @@ def _compare(threshold: int):
         for batch in batches:
             for r in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 if rows and rows[0][0] != r[0]:
-                    out.extend(group(rows))
+                    if len(rows) > 1:
+                        whole.setdefault(len(rows), []).append(rows)
+                        held += len(rows)
                     rows = []
+                    if held > HELD:
+                        compare()
+                        held = 0
                 rows.append(r)
             if len(out) > 50_000:
                 yield flush()
-        out.extend(group(rows))
+        if len(rows) > 1:
+            whole.setdefault(len(rows), []).append(rows)
+        compare()
         if out:
             yield flush()
 
